@@ -20,6 +20,7 @@ stays null. Further columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ STEPS = 300
 ETA = 4.0
 BUCKETS = 256
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_200_000
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 _TOKENIZERS: dict[str, tuple] = {}
@@ -54,36 +55,40 @@ def _tokenizer(path: str) -> tuple:
 
 #: A sign that is one token by itself; words that hold it are encoded alone.
 PART = "\x01"
+#: An ASCII word and the signs after it: the vocabulary parts tokens between them and ignores case.
+CORE = re.compile(rb"(?!.*<\\|)([\x21-\x7e]*[0-9A-Za-z])([^0-9A-Za-z\x80-\xff]+)")
 
 
-def _ids(tokenizer, words: list[str]) -> list[bytes]:
+def _ids(tokenizer, words: list[bytes]) -> list[bytes]:
     """The ids of each word. Many go as one text with PART between them, which costs less than a text each."""
-    if not words:
-        return []
-    mark = tokenizer.encode(PART, add_special_tokens=False).ids
-    alone = [PART in w for w in words]
     out: list[bytes] = []
+    mark = tokenizer.encode(PART, add_special_tokens=False).ids
     for at in range(0, len(words), 2000):
-        part = [w for w, own in zip(words[at : at + 2000], alone[at : at + 2000]) if not own]
-        ids = np.array(tokenizer.encode_batch_fast([f" {PART} ".join(["", *part])], add_special_tokens=False)[0].ids, "<u4")
+        part = [w.decode() for w in words[at : at + 2000]]
+        joined = [w for w in part if PART not in w]
+        ids = np.array(tokenizer.encode_batch_fast([f" {PART} ".join(["", *joined])], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(ids == mark[-1])
-        assert len(mark) == 1 and len(starts) == len(part), "the sign between words is no token of its own"
-        raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
-        found = iter([raw[s:e] for s, e in zip((starts * 4 + 4).tolist(), ends)])
-        for w, own in zip(words[at : at + 2000], alone[at : at + 2000]):
-            out.append(np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() if own else next(found))
+        assert len(mark) == 1 and len(starts) == len(joined), "the sign between words is no token of its own"
+        raw, starts = ids.tobytes(), (starts * 4).tolist()
+        found = iter([raw[s + 4 : e] for s, e in zip(starts, [*starts[1:], len(raw)])])
+        out += [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() if PART in w else next(found) for w in part]
     return out
 
 
-def encode(texts: list[str], path: str = VOCABULARY) -> list[bytes]:
-    """The ids of each text, as little-endian unsigned 32-bit numbers. White space parts tokens in this vocabulary, so words are encoded once."""
+def encode(texts: list[bytes], path: str = VOCABULARY) -> list[bytes]:
+    """The ids of each UTF-8 text, as little-endian unsigned 32-bit numbers. ASCII white space parts tokens in this vocabulary, so words are encoded once."""
     tokenizer, known = _tokenizer(path)
     split = [t.split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
+    new = {w for ws in split for w in ws if w not in known}
     if len(known) + len(new) > KEPT_WORDS:
         known.clear()
-        new = list({w for ws in split for w in ws})
-    known.update(zip(new, _ids(tokenizer, new)))
+        new = {w for ws in split for w in ws}
+    cut = CORE.fullmatch
+    parts = {w: (m[1].lower(), m[2]) if (m := cut(w)) else (w, b"") for w in new}
+    bare = list({x for pair in parts.values() for x in pair if x and x not in known})
+    known.update(zip(bare, _ids(tokenizer, bare)))
+    known[b""] = b""
+    known.update({w: known[a] + known[b] for w, (a, b) in parts.items()})
     get = known.__getitem__
     return [b"".join(map(get, ws)) for ws in split]
 
@@ -103,7 +108,7 @@ def token_pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACI
             for at in range(0, whole_batch.num_rows, 512):
                 batch = whole_batch.slice(at, 512)
                 out: list[list] = [[] for _ in names]
-                for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()], path)):
+                for doc, ids in zip(batch.column(0).to_pylist(), encode([t or b"" for t in batch.column(1).to_pylist()], path)):
                     ids += end
                     for piece, s in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[s : s + 4 * capacity]
@@ -112,7 +117,7 @@ def token_pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACI
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def dearest(price: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
