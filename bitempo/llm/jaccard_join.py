@@ -22,6 +22,7 @@ belong to the class of their own text, and further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from .components import components
 #: Most classes in one task's tree.
 CHUNK = 200
 #: Bits of the Bloom filter, as a power of two.
-BLOOM_BITS = 26
+BLOOM_BITS = 24
 KEPT_WORDS = 400_000
 
 _U = np.uint64
@@ -97,11 +98,16 @@ class Rule:
         return (100 + self.p) * shared >= self.p * (n + m)
 
 
+#: The largest size of each band; it grows as sizes come.
+TOPS = [1]
+
+
 def part_sums(s: np.ndarray, rule: Rule) -> np.ndarray:
     """What a set sends to be matched: hashes of (band of sizes, part, sum of the part's shingles).
 
-    Band b holds sizes 2^b to 2^(b+1) - 1 and rules the pairs whose larger set it
-    holds. It has m parts, at least one more than such sets can differ in. If x can
+    Each band of sizes reaches a quarter further than the one before and rules the
+    pairs whose larger set it holds, so parts hold five shingles or more and seldom
+    agree by chance. A band has m parts, at least one more than such sets can differ in. If x can
     differ from any partner in at most d elements and has e empty parts, at least
     a = m - d - e parts with elements agree with a partner, so one of its first
     m - a + 1 parts does, for both. Where a < 1, all agreeing parts can be empty in
@@ -111,13 +117,13 @@ def part_sums(s: np.ndarray, rule: Rule) -> np.ndarray:
     if not n:
         return s
     out = []
-    own = n.bit_length() - 1
-    for band in (own, own + 1):
-        if band > own and rule.partner(n) < 2**band:
-            continue
-        top = 2 ** (band + 1) - 1
+    far = rule.partner(n)
+    while TOPS[-1] < far:
+        TOPS.append(TOPS[-1] * 5 // 4 + 1)
+    for band in range(bisect_left(TOPS, n), bisect_left(TOPS, far) + 1):
+        top = TOPS[band]
         most = rule.differ(2 * top)
-        d = rule.differ(n + min(rule.partner(n), top))
+        d = rule.differ(n + min(far, top))
         if not d:
             continue  # only equal sets link, and those are one class
         m = most + 2 + most // 20
@@ -138,7 +144,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter of 2 ** BLOOM_BITS bits (8 MB), whatever the number of keys; keys are spread 64-bit numbers."""
+    """A filter of 2 ** BLOOM_BITS bits (2 MB), whatever the number of keys; keys are spread 64-bit numbers."""
     mask = (1 << BLOOM_BITS) - 1
     k = F.col(column)
     at = F.explode(F.array(k.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(k, BLOOM_BITS).bitwiseAND(F.lit(mask))))
@@ -271,8 +277,8 @@ def links(blocks: DataFrame, sets: DataFrame, rule: Rule, chunk: int = CHUNK) ->
         reps = now.groupBy("block", "comp").agg(F.min("node").alias("node"))
         many = reps.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
         total = many.agg(F.sum("n")).first()[0] or 0
-        if not total or total == reps_before:
-            break
+        if not total or reps_before and 2 * total > reps_before:
+            break  # none is left open, or too few were joined for another round to pay
         reps_before = total
         shared = reps.join(many, "block").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(total)), F.ceil(F.col("n") / chunk)).cast("int"))
         held = shared.join(placed.select("block", "node", "data"), ["block", "node"])
