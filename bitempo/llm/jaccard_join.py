@@ -107,11 +107,12 @@ def part_sums(s: np.ndarray, rule: Rule) -> np.ndarray:
 
     Each band of sizes reaches a quarter further than the one before and rules the
     pairs whose larger set it holds, so parts hold five shingles or more and seldom
-    agree by chance. A band has m parts, at least one more than such sets can differ in. If x can
-    differ from any partner in at most d elements and has e empty parts, at least
-    a = m - d - e parts with elements agree with a partner, so one of its first
-    m - a + 1 parts does, for both. Where a < 1, all agreeing parts can be empty in
-    both; such sets also meet under one sum of the band.
+    agree by chance. A band has m parts, more than such sets can differ in. Parts of
+    fewer than two shingles are weak: a common line makes them agree. If x can differ
+    from any partner in at most d elements and has w weak parts, at least
+    a = m - d - w strong parts agree with a partner, so one of its first m - a + 1
+    parts does, for both. Where a < 1 all agreeing parts can be weak in both, and such
+    sets send the weak ones too; where all can be empty, one sum of the band as well.
     """
     n = len(s)
     if not n:
@@ -126,16 +127,18 @@ def part_sums(s: np.ndarray, rule: Rule) -> np.ndarray:
         d = rule.differ(n + min(far, top))
         if not d:
             continue  # only equal sets link, and those are one class
-        m = most + 2 + most // 20
+        m = most + 2 + most * 12 // 100
         part = ((s >> _U(32)) * _U(m)) >> _U(32)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        a = m - d - (m - len(at))
         sums, part = np.add.reduceat(s, at), part[at]
+        strong = np.diff(at, append=n) > 1
+        a = m - d - (m - int(strong.sum()))
         if a >= 1:
-            sums, part = sums[part <= m - a], part[part <= m - a]
-        out.append(mix(mix(sums * _ODD[5] + part) + np.array([band], _U) * _ODD[6]))
-        if a < 1:
+            strong &= part <= m - a
+            sums, part = sums[strong], part[strong]
+        elif len(at) <= d:
             out.append(mix(np.array([band], _U) * _ODD[3] + _ODD[4]))
+        out.append(mix(mix(sums * _ODD[5] + part) + np.array([band], _U) * _ODD[6]))
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
