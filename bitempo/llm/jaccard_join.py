@@ -10,8 +10,8 @@ tree whose nodes hold the OR of the token bitmaps and the range of sizes below;
 tree is traversed against itself, pairs of nodes whose greatest possible overlap is
 too small are pruned, pairs already connected are skipped, the rest are checked on
 the exact sets. A block of more than CHUNK classes is cut into chunks by hash: each
-by itself, then the first of each component met, then chunks that still hold
-different components against each other. No pair is lost, and a group of n near
+by itself, then the first of each component met, then the classes that share a sum
+and still are of different components. No pair is lost, and a group of n near
 copies costs about n checks.
 
 A Bloom filter of fixed size keeps what cannot match from being sent; it grows with
@@ -258,8 +258,8 @@ def _block_links(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def links(blocks: DataFrame, sets: DataFrame, rule: Rule, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that connect all nodes of a block that exact links connect. blocks: block, node; sets: node, data."""
+def links(blocks: DataFrame, sets: DataFrame, matches: DataFrame, rule: Rule, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that connect all nodes of a block that exact links connect. blocks: block, node; sets: node, data; matches: sig, node."""
     sizes = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     parts = sizes.select("block", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
     placed = blocks.join(parts, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -288,11 +288,15 @@ def links(blocks: DataFrame, sets: DataFrame, rule: Rule, chunk: int = CHUNK) ->
         found = written(found.unionByName(_block_links(held, ["block", "chunk"], rule)), "links")
     if not total:
         return found
-    # blocks that still hold several components: their chunks meet in pairs
-    open_ = now.join(many.select("block"), "block", "left_semi")
-    pairs = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("with <> chunk")
+    # blocks that still hold several components: what shares a sum meets, unless it is one component already
+    open_ = now.join(many.select("block"), "block", "left_semi").select("node", "comp")
+    met = written(matches.join(open_, "node"), "met")
+    mixed = met.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
+    cut = met.join(mixed, "sig").withColumn("chunk", F.pmod(F.xxhash64("node", "sig"), F.col("k")).cast("int"))
+    pairs = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("with <> chunk OR k = 1")
     pairs = pairs.withColumn("low", F.least("chunk", "with")).withColumn("high", F.greatest("chunk", "with"))
-    return written(found.unionByName(_block_links(pairs, ["block", "low", "high"], rule)), "links")
+    held = pairs.join(placed.select("node", "data"), "node")
+    return written(found.unionByName(_block_links(held, ["sig", "low", "high"], rule)), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk: int = CHUNK) -> DataFrame:
@@ -346,7 +350,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk
     known = written(texts.mapInArrow(per_batch(read), "doc_id long, node long, n long, sigs array<long>"), "read")
     classes = written(known.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     # matches as stars: each class of a sum with its lowest class
-    stars = known.select("node", F.explode("sigs").alias("sig")).distinct().join(matched, "sig").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    matches = written(known.select("node", F.explode("sigs").alias("sig")).distinct().join(matched, "sig"), "matches")
+    stars = matches.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     blocks = written(components(stars).select(F.col("comp").alias("block"), "node"), "blocks")
     # the exact sets of these classes, from one text of each
     wanted = blocks.join(classes, "node").select("node", "rep", F.xxhash64("rep").alias("key"))
@@ -365,8 +370,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk
         ok = [node_of(s) == n for n, s in zip(nodes, sets)]
         yield pa.RecordBatch.from_arrays([pa.array([n for n, k in zip(nodes, ok) if k], pa.int64()), pa.array([s.tobytes() for s, k in zip(sets, ok) if k], pa.binary())], names=["node", "data"])
 
-    sets = written(kept.join(wanted.select("node", "rep"), "rep").select("node", "data").mapInArrow(per_batch(hashed), "node long, data binary").dropDuplicates(["node"]), "sets")
-    found = links(blocks, sets, rule, chunk)
+    sets = kept.join(wanted.select("node", "rep"), "rep").select("node", "data").mapInArrow(per_batch(hashed), "node long, data binary").dropDuplicates(["node"])
+    found = links(blocks, sets, matches.select("sig", "node"), rule, chunk)
     # components by the smallest document of each class
     by_rep = found.join(classes.select(F.col("node").alias("a"), F.col("rep").alias("x")), "a").join(classes.select(F.col("node").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     reps = components(by_rep).select(F.col("node").alias("rep"), "comp")
