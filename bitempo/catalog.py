@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .functions.dialect import Duck, Spark
+from .plans.queries import PLANS
+from .sources.adapters import run
+
+
+def _planned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return run(spark, sf_dir, PLANS[name](Spark()))
+
+
+QUERIES: dict = {name: partial(_planned, name=name) for name in PLANS}
+ORACLE_SQL: dict[str, str] = {name: f(Duck()) for name, f in PLANS.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Robust anomaly of each facility, species and day against its own 8 to 56 days before."""
+    return QUERIES["robust_baseline_z"](spark, sf_dir)
