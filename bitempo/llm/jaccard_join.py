@@ -291,10 +291,17 @@ def links(blocks: DataFrame, sets: DataFrame, matches: DataFrame, rule: Rule, ch
     # blocks that still hold several components: what shares a sum meets, unless it is one component already
     open_ = now.join(many.select("block"), "block", "left_semi").select("node", "comp")
     met = written(matches.join(open_, "node"), "met")
-    mixed = met.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
-    cut = met.join(mixed, "sig").withColumn("chunk", F.pmod(F.xxhash64("node", "sig"), F.col("k")).cast("int"))
-    pairs = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("with <> chunk OR k = 1")
-    pairs = pairs.withColumn("low", F.least("chunk", "with")).withColumn("high", F.greatest("chunk", "with"))
+    # most of a sum's classes are of one component: only the others need meet them, and each other
+    counts = met.groupBy("sig", "comp").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("sig").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = mixed.select("sig", "main", F.ceil(F.col("n") / chunk).cast("int").alias("k"), F.ceil((F.col("all") - F.col("n")) / chunk).cast("int").alias("others"))
+    cut = met.join(mixed, "sig").withColumn("of_main", F.col("comp") == F.col("main"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.when(F.col("of_main"), F.col("k")).otherwise(F.col("others"))).cast("int"))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.col("own").alias("low"), j.alias("high")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda c: F.struct(c.alias("low"), F.col("own").alias("high")))
+    apart = F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda j: j != F.col("own"))
+    among = F.transform(apart, lambda j: F.struct((-1 - F.least(F.col("own"), j)).alias("low"), F.greatest(F.col("own"), j).alias("high")))
+    pairs = cut.withColumn("at", F.explode(F.when(F.col("of_main"), with_others).otherwise(F.concat(with_main, among)))).select("sig", "node", "comp", "at.low", "at.high")
     held = pairs.join(placed.select("node", "data"), "node")
     return written(found.unionByName(_block_links(held, ["sig", "low", "high"], rule)), "links")
 
