@@ -15,7 +15,8 @@ rows without vec_id. Vectors of other lengths are padded with 0. Candidates are
 every row with another vec_id than the query's; repeated rows each count. Where a
 vec_id stands on several rows, each distinct vector of it is a query of its own
 and the best k over all of them are returned. Arithmetic is exact: 32-bit floats
-where every sum is below 2^24, 64-bit where below 2^53, else Python integers.
+where every sum is below 2^24, 64-bit where below 2^53, else Python integers;
+scores beyond 64 bits are returned as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         qids = right["vec_id"].to_numpy()
         q, i, s = search(left["vec_id"].to_numpy(), _matrix(left["v"], width), qids, _matrix(right["v"], width), k)
-        return pa.table({"query_id": pa.array(qids[q], pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array([int(x) for x in s], pa.int64())})
+        return pa.table({"query_id": pa.array(qids[q], pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array([max(-(2**63), min(2**63 - 1, int(x))) for x in s], pa.int64())})
 
     met = docs.groupBy("range", "chunk").cogroup(asks.groupBy("range", "chunk")).applyInArrow(pair, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
