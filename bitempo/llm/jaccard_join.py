@@ -35,7 +35,9 @@ from .common import shuffle_width, table, written
 from .components import components
 
 #: Most classes in one task's tree.
-CHUNK = 200
+CHUNK = 600
+#: Times that a block's classes are sent on average, at most, before its sums are used instead.
+MOST_SENT = 8
 #: Bits of the Bloom filter, as a power of two.
 BLOOM_BITS = 24
 KEPT_WORDS = 400_000
@@ -246,7 +248,7 @@ def _block_links(rows: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
         for batch in batches:
             *ks, node, comp, data = (c.to_pylist() for c in batch.columns)
             for k, i, c, d in zip(zip(*ks), node, comp, data):
-                if k != now:
+                if k != now:  # keys follow each other in order
                     yield from made()
                     now, ids, comps, sets = k, [], [], []
                 ids.append(i)
@@ -288,22 +290,35 @@ def links(blocks: DataFrame, sets: DataFrame, matches: DataFrame, rule: Rule, ch
         found = written(found.unionByName(_block_links(held, ["block", "chunk"], rule)), "links")
     if not total:
         return found
-    # blocks that still hold several components: what shares a sum meets, unless it is one component already
-    open_ = now.join(many.select("block"), "block", "left_semi").select("node", "comp")
-    met = written(matches.join(open_, "node"), "met")
-    # most of a sum's classes are of one component: only the others need meet them, and each other
-    counts = met.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("sig").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("n"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = mixed.select("sig", "main", F.ceil(F.col("n") / chunk).cast("int").alias("k"), F.ceil((F.col("all") - F.col("n")) / chunk).cast("int").alias("others"))
-    cut = met.join(mixed, "sig").withColumn("of_main", F.col("comp") == F.col("main"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("node", "sig"), F.when(F.col("of_main"), F.col("k")).otherwise(F.col("others"))).cast("int"))
+    # blocks that still hold several components: where few classes are outside the main one, these meet
+    # the block's other classes; else what shares a sum meets, unless it is one component already
+    open_ = written(now.join(many.select("block"), "block", "left_semi").select("block", "node", "comp"), "open")
+    tally = _tally(open_, "block", chunk)
+    few = tally.where(f"n * others + rest * (k + others - 1) <= {MOST_SENT} * (n + rest)").select("block")
+    by_block = _meetings(open_.join(few, "block", "left_semi"), "block", chunk)
+    wide = open_.join(few, "block", "left_anti").select("node", "comp")
+    by_sum = _meetings(written(matches.join(wide, "node"), "met"), "sig", chunk)
+    held = by_block.unionByName(by_sum).join(placed.select("node", "data"), "node")
+    return written(found.unionByName(_block_links(held, ["key", "low", "high"], rule)), "links")
+
+
+def _tally(rows: DataFrame, by: str, chunk: int) -> DataFrame:
+    """by, main (its largest component), n and rest (classes in and outside it), k and others (their chunks), where there are several."""
+    counts = rows.groupBy(by, "comp").agg(F.count("*").alias("n"))
+    found = counts.groupBy(by).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("all")).withColumn("rest", F.col("all") - F.col("n")).where("rest > 0")
+    return found.select(by, "main", "n", "rest", F.ceil(F.col("n") / chunk).cast("int").alias("k"), F.ceil(F.col("rest") / chunk).cast("int").alias("others"))
+
+
+def _meetings(rows: DataFrame, by: str, chunk: int) -> DataFrame:
+    """key, low, high, node, comp: within each group of by, chunks outside the main component meet its chunks and each other."""
+    cut = rows.join(_tally(rows, by, chunk), by).withColumn("of_main", F.col("comp") == F.col("main"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node", by), F.when(F.col("of_main"), F.col("k")).otherwise(F.col("others"))).cast("int"))
     with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.col("own").alias("low"), j.alias("high")))
     with_main = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda c: F.struct(c.alias("low"), F.col("own").alias("high")))
     apart = F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda j: j != F.col("own"))
     among = F.transform(apart, lambda j: F.struct((-1 - F.least(F.col("own"), j)).alias("low"), F.greatest(F.col("own"), j).alias("high")))
-    pairs = cut.withColumn("at", F.explode(F.when(F.col("of_main"), with_others).otherwise(F.concat(with_main, among)))).select("sig", "node", "comp", "at.low", "at.high")
-    held = pairs.join(placed.select("node", "data"), "node")
-    return written(found.unionByName(_block_links(held, ["sig", "low", "high"], rule)), "links")
+    at = F.explode(F.when(F.col("of_main"), with_others).otherwise(F.concat(with_main, among)))
+    return cut.withColumn("at", at).select(F.struct(F.lit(by).alias("by"), F.col(by).alias("id")).alias("key"), "node", "comp", "at.low", "at.high")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk: int = CHUNK) -> DataFrame:

@@ -61,7 +61,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     by_doc = written(gone.groupBy("doc").agg(F.collect_set("pos").alias("_bt_gone")).select(F.coalesce(F.col("doc"), F.lit(0)).alias("_bt_doc"), F.col("doc").isNull().alias("_bt_none"), "_bt_gone"), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_bt_row"))
     rows = rows.withColumn("_bt_doc", F.coalesce(F.col("_bt_row.doc_id"), F.lit(0))).withColumn("_bt_none", F.col("_bt_row.doc_id").isNull())
-    told = rows.join(by_doc, ["_bt_doc", "_bt_none"], "left")
+    told = rows.join(by_doc.hint("merge"), ["_bt_doc", "_bt_none"], "left")  # one plan at every size
     parts = F.split(F.col("_bt_row.text"), "\n")
     stay = F.filter(parts, lambda line, i: ~(F.array_contains("_bt_gone", i) & (F.length(_bare(line)) >= MIN_CHARS)))
     text = F.when(F.col("_bt_gone").isNull(), F.col("_bt_row.text")).otherwise(F.array_join(stay, "\n"))
