@@ -90,6 +90,10 @@ class Spark:
     def bytes(self, x: str) -> str:
         return f"CAST(octet_length({x}) AS BIGINT)"
 
+    def upto(self, n: int) -> str:
+        """The numbers from 0 to n - 1."""
+        return f"sequence(0, {n - 1})"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -163,6 +167,9 @@ class Duck(Spark):
     def bytes(self, x: str) -> str:
         return f"CAST(strlen({x}) AS BIGINT)"
 
+    def upto(self, n: int) -> str:
+        return f"range(0, {n})"
+
 
 def round_js(x: str, digits: int = 6) -> str:
     """Halves go up, also below zero."""

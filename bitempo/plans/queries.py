@@ -736,3 +736,84 @@ def evidence_conversion(d):
 @query
 def set_operations(d):
     return "SELECT n_nationkey AS k FROM nation INTERSECT SELECT s_nationkey FROM supplier UNION SELECT r_regionkey FROM region EXCEPT SELECT 3 AS k"
+
+
+# -- fixed-width daily lines: 24 levels of 3 characters, date, station, 4 + 4 extrema of 7 characters
+
+
+def _lines(d) -> str:
+    """A line of 136 characters for each report; some repeat a facility and day, with the same text or another."""
+    base = f"SELECT report_id, facility, {d.month('day')} AS m, day % 28 + 1 AS dd, facility * 31 + day + CASE WHEN report_id % 5 = 0 THEN 1 ELSE 0 END AS b FROM reports"
+    level = f"lpad({d.text('(b * 3 + i * 17) % 300')}, 3, ' ')"
+    minute = "((b * 37 + i * 180) % 1440)"
+    clock = f"lpad({d.text(f'CAST(floor({minute} / 60) AS BIGINT) * 100 + {minute} % 60')}, 4, '0')"
+    extreme = f"CASE WHEN (b + i) % 5 = 0 THEN '9999999' WHEN (b + i) % 31 = 0 THEN concat('9999', {level}) ELSE concat({clock}, {level}) END"
+    date = f"concat(substring({d.text('m')}, 3, 4), lpad({d.text('dd')}, 2, '0'))"
+    return f"SELECT report_id, concat({d.join(d.each(d.upto(24), 'i', level), '')}, {date}, 'S', {d.text('facility')}, {d.join(d.each(d.upto(8), 'i', extreme), '')}) AS line FROM ({base}) AS b"
+
+
+def _level(d, i: str) -> str:
+    return d.int_or_null(f"trim(substring(line, CAST(1 + 3 * ({i}) AS INT), 3))")
+
+
+@query
+def parse_fixed_width(d):
+    at = "substring(line, CAST(81 + 7 * i AS INT), 7)"
+    told = f"CASE WHEN {at} = '9999999' THEN '' WHEN substring({at}, 1, 4) = '9999' OR substring({at}, 5, 3) = '999' THEN 'error' ELSE concat(substring({at}, 1, 4), '=', trim(substring({at}, 5, 3))) END"
+    hours = d.join(d.each(d.upto(24), "i", f"coalesce({d.text(_level(d, 'i'))}, '?')"), ",")
+    return plan(d, "reports", f"SELECT report_id, length(line) AS width, substring(line, 79, 2) AS station, {d.int_or_null('substring(line, 73, 2)')} AS yy, {d.int_or_null('substring(line, 75, 2)')} AS mm, {d.int_or_null('substring(line, 77, 2)')} AS dd, {hours} AS levels, {d.join(d.each(d.upto(8), 'i', told), ',')} AS extrema FROM ({_lines(d)}) AS l")
+
+
+@query
+def fixed_width_to_obs(d):
+    kept = f"SELECT substring(line, 73, 8) AS k, min(line) AS line, count(*) - 1 AS repeats FROM ({_lines(d)}) AS l GROUP BY substring(line, 73, 8) HAVING count(DISTINCT line) = 1"
+    return plan(d, "reports", f"SELECT substring(k, 7, 2) AS station, substring(k, 1, 6) AS ymd, hour, {_level(d, 'hour')} AS level, repeats FROM ({kept}) AS x {d.explode(d.upto(24), 'hour')}")
+
+
+@query
+def fixed_width_conflicts(d):
+    return plan(d, "reports", f"SELECT substring(line, 73, 8) AS k, count(*) AS lines, count(DISTINCT line) AS texts FROM ({_lines(d)}) AS l GROUP BY substring(line, 73, 8) HAVING count(DISTINCT line) > 1")
+
+
+@query
+def slice_by_month(d):
+    return plan(d, "reports", f"SELECT substring(line, 79, 2) AS station, substring(line, 73, 4) AS yymm, count(DISTINCT substring(line, 77, 2)) AS days, count(DISTINCT substring(line, 77, 2)) = 28 AS whole FROM ({_lines(d)}) AS l GROUP BY substring(line, 79, 2), substring(line, 73, 4)")
+
+
+@query
+def station_mappings_build(d):
+    km = round_js(haversine("a.lat", "a.lon", "b.lat", "b.lon", RADIUS_KM["graph"]), 3)
+    return plan(d, "nodes mappings", f"SELECT m.station, m.node, {km} AS km FROM mappings m JOIN nodes a ON a.node = m.station JOIN nodes b ON b.node = m.node WHERE (SELECT count(*) FROM mappings x LEFT JOIN nodes n ON n.node = x.node WHERE n.node IS NULL) = 0")
+
+
+# -- further rules and validators
+
+
+@query
+def presence_semantics(d):
+    return plan(d, "obs", "SELECT report_id, species, CASE WHEN catch > 0 THEN 'present' WHEN NOT operating THEN 'closed' WHEN complete AND catch = 0 THEN 'absent' ELSE 'unknown' END AS presence FROM obs")
+
+
+@query
+def wind_facing(d):
+    return "SELECT event_id, CASE WHEN diff <= 30 THEN 'near' WHEN diff >= 150 THEN 'opposite' ELSE 'cross' END AS facing FROM (SELECT event_id, least(abs(a - b), 360 - abs(a - b)) AS diff FROM (SELECT event_id, event_id * 7 % 360 AS a, user_id * 11 % 360 AS b FROM events) AS x) AS y"
+
+
+@query
+def east_bucket(d):
+    return plan(d, "rates", f"SELECT facility, day, species, CASE WHEN z IS NULL THEN 'unavailable' WHEN z >= 0.5 THEN 'high' WHEN z <= -0.5 THEN 'low' ELSE 'normal' END AS bucket FROM ({_baseline(d)}) AS b WHERE facility = 3")
+
+
+@query
+def validate_mapping(d):
+    return plan(d, "nodes mappings", "SELECT m.station, m.node, m.valid_from, concat_ws(',', CASE WHEN n.node IS NULL THEN 'unknown-node' END, CASE WHEN m.valid_to <= m.valid_from THEN 'empty-interval' END, CASE WHEN m.valid_from < 0 THEN 'before-start' END) AS errors FROM mappings m LEFT JOIN nodes n ON n.node = m.node")
+
+
+@query
+def validate_station(d):
+    return "SELECT s_suppkey, concat_ws(',', CASE WHEN s_name IS NULL OR trim(s_name) = '' THEN 'name' END, CASE WHEN s_nationkey NOT BETWEEN 0 AND 24 THEN 'nation' END, CASE WHEN count(*) OVER (PARTITION BY s_name) > 1 THEN 'duplicate-name' END, CASE WHEN count(*) OVER (PARTITION BY s_suppkey) > 1 THEN 'duplicate-id' END) AS errors FROM supplier"
+
+
+@query
+def validate_evidence(d):
+    return plan(d, "evidence", f"SELECT doc_id, concat_ws(',', CASE WHEN lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180 THEN 'coordinates' END, CASE WHEN text IS NULL OR trim(text) = '' THEN 'no-text' END, CASE WHEN {d.size('tokens')} = 0 THEN 'no-words' END, CASE WHEN source IS NULL THEN 'no-source' END) AS errors FROM evidence")

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from bitempo import catalog
+from bitempo.operators.graph import connected_components
 from bitempo.sources.adapters import TABLES
 from bitempo.streaming.ingest import ingest, latest
 
@@ -51,3 +52,13 @@ def test_replay_equals_batch(spark, tmp_path):
     for k, value in ((7, 1.0), (9, 2.0)):
         assert latest(stored, ["node", "h"], "collected", k).where("node = 1").first()["value"] == value
     assert Path(out).exists()
+
+
+def test_components_of_chains_and_odd_rows(spark):
+    ends = [(i, i + 1) for i in range(40)] + [(52, 51), (51, 52), (60, 60), (None, 3), (70, None), (5, 999)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(41), 51, 52, 60, 60, 70, None]], "node long")
+    found = connected_components(nodes, spark.createDataFrame(ends, "src long, dst long"))
+    want = {i: 0 for i in range(41)} | {51: 51, 52: 51, 60: 60, 70: 70}
+    assert sorted(map(tuple, found.collect())) == sorted(want.items())
+    none = connected_components(nodes.limit(0), spark.createDataFrame([], "src long, dst long"))
+    assert none.count() == 0
