@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import Duck, Spark
 from .operators.graph import connected_components
+from .plans import records  # noqa: F401 - adds its plans
 from .plans.queries import PLANS
 from .sources.adapters import plan, run
 

@@ -94,6 +94,21 @@ class Spark:
         """The numbers from 0 to n - 1."""
         return f"sequence(0, {n - 1})"
 
+    def positions(self, a: str) -> str:
+        """The places of an array that is not empty, from 0."""
+        return f"sequence(0, size({a}) - 1)"
+
+    def ranked(self, x: str, by: str) -> str:
+        """The values of a group as an array, by a key and then by themselves."""
+        return f"transform(array_sort(collect_list(struct({by} AS k, {x} AS v))), z -> z.v)"
+
+    def listed(self, x: str, by: str) -> str:
+        """The texts of a group in one, comma between, by a key and then by themselves."""
+        return f"array_join({self.ranked(x, by)}, ',')"
+
+    def json_array(self, x: str, key: str, kind: str) -> str:
+        return f"from_json(get_json_object({x}, '$.{key}'), 'ARRAY<{kind}>')"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -170,6 +185,18 @@ class Duck(Spark):
     def upto(self, n: int) -> str:
         return f"range(0, {n})"
 
+    def positions(self, a: str) -> str:
+        return f"range(0, len({a}))"
+
+    def ranked(self, x: str, by: str) -> str:
+        return f"list({x} ORDER BY {by}, {x})"
+
+    def listed(self, x: str, by: str) -> str:
+        return f"string_agg({x}, ',' ORDER BY {by}, {x})"
+
+    def json_array(self, x: str, key: str, kind: str) -> str:
+        return f"CAST(json_extract({x}, '$.{key}') AS {kind}[])"
+
 
 def round_js(x: str, digits: int = 6) -> str:
     """Halves go up, also below zero."""
