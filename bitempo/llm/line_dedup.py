@@ -1,7 +1,9 @@
 """Line dedup by the spread of a line over distinct sites.
 
 A line is compared without the white space around it, by a 64-bit hash with its
-length; lines of fewer than MIN_CHARS code points are left alone. HyperLogLog
+length; a line without any other sign is left alone. The query op5_line_dedup, as
+OP5_SQL defines it, also leaves lines of fewer than MIN_CHARS code points alone;
+``cleaned``, which the pipeline uses, counts them. HyperLogLog
 sketches of the sites of each line are merged by aggregation. An estimate beyond
 NEAR of the threshold decides; lines within it get exact distinct counts. A line
 of at least ``min_sites`` sites is boilerplate: only its first place stays (lowest
@@ -31,16 +33,16 @@ def _bare(line: Column) -> Column:
     return F.regexp_replace(line, TRIM, "")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc, site, pos and key of each line that counts."""
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """doc, site, pos and key of each line of at least min_chars code points."""
     cut = docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("source"), F.lit("\0")).alias("site"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line"))
-    bare = cut.select("doc", "site", "pos", _bare(F.col("line")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    bare = cut.select("doc", "site", "pos", _bare(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
     return bare.select("doc", "site", "pos", F.struct(F.xxhash64("line").alias("h"), F.length("line").alias("n")).alias("key"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
     """key, first_doc, first_pos of each line on at least min_sites sites."""
-    lines = _lines(docs)
+    lines = _lines(docs, min_chars)
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos")
     spread = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(place).alias("first"), F.count("*").alias("n"))
     # a line that stands fewer times than min_sites cannot be on so many sites
@@ -53,17 +55,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return both.select("key", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
     """Rows of docs as ``_bt_row`` with ``_bt_text`` (boilerplate lines removed), ``_bt_lines`` and ``_bt_removed`` (counts)."""
-    known = written(boilerplate(docs, min_sites), "boilerplate")
-    hits = _lines(docs).select("doc", "pos", "key").join(known, "key")
+    known = written(boilerplate(docs, min_sites, min_chars), "boilerplate")
+    hits = _lines(docs, min_chars).select("doc", "pos", "key").join(known, "key")
     gone = hits.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
     by_doc = written(gone.groupBy("doc").agg(F.collect_set("pos").alias("_bt_gone")).select(F.coalesce(F.col("doc"), F.lit(0)).alias("_bt_doc"), F.col("doc").isNull().alias("_bt_none"), "_bt_gone"), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_bt_row"))
     rows = rows.withColumn("_bt_doc", F.coalesce(F.col("_bt_row.doc_id"), F.lit(0))).withColumn("_bt_none", F.col("_bt_row.doc_id").isNull())
     told = rows.join(by_doc.hint("merge"), ["_bt_doc", "_bt_none"], "left")  # one plan at every size
     parts = F.split(F.col("_bt_row.text"), "\n")
-    stay = F.filter(parts, lambda line, i: ~(F.array_contains("_bt_gone", i) & (F.length(_bare(line)) >= MIN_CHARS)))
+    stay = F.filter(parts, lambda line, i: ~(F.array_contains("_bt_gone", i) & (F.length(_bare(line)) >= min_chars)))
     text = F.when(F.col("_bt_gone").isNull(), F.col("_bt_row.text")).otherwise(F.array_join(stay, "\n"))
     made = told.withColumn("_bt_text", text)
     return made.withColumn("_bt_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("_bt_removed", F.when(F.col("_bt_gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay)).cast("long"))
@@ -77,7 +79,7 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    made = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), min_chars=MIN_CHARS)
     return made.select("_bt_row.doc_id", F.col("_bt_lines").alias("n_lines"), F.col("_bt_removed").alias("n_removed"), F.col("_bt_text").alias("text"))
 
 
