@@ -7,11 +7,13 @@ OP5_SQL defines it, also leaves lines of fewer than MIN_CHARS code points alone;
 sketches of the sites of each line are merged by aggregation. An estimate beyond
 NEAR of the threshold decides; lines within it get exact distinct counts. A line
 of at least ``min_sites`` sites is boilerplate: only its first place stays (lowest
-doc_id, then lowest line number), so no passage is lost altogether.
+doc_id, then lowest line number, then lowest hash of the text), so no passage is
+lost altogether.
 
 A null source is one site of its own; a null text stays null, an empty one empty.
 Rows that repeat a doc_id and text stand for the same document: each keeps the
-document's first places. A null doc_id never holds a first place unless all do.
+document's first places. Rows of one doc_id or none with different texts are
+documents of their own. A null doc_id never holds a first place unless all do.
 Every row is returned, with its own columns whatever their names.
 """
 
@@ -34,16 +36,16 @@ def _bare(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc, site, pos and key of each line of at least min_chars code points."""
-    cut = docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("source"), F.lit("\0")).alias("site"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line"))
-    bare = cut.select("doc", "site", "pos", _bare(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
-    return bare.select("doc", "site", "pos", F.struct(F.xxhash64("line").alias("h"), F.length("line").alias("n")).alias("key"))
+    """doc, print (of the whole text), site, pos and key of each line of at least min_chars code points."""
+    cut = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("print"), F.coalesce(F.col("source"), F.lit("\0")).alias("site"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line"))
+    bare = cut.select("doc", "print", "site", "pos", _bare(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
+    return bare.select("doc", "print", "site", "pos", F.struct(F.xxhash64("line").alias("h"), F.length("line").alias("n")).alias("key"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
-    """key, first_doc, first_pos of each line on at least min_sites sites."""
+    """key, first_doc, first_print, first_pos of each line on at least min_sites sites."""
     lines = _lines(docs, min_chars)
-    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos")
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos", "print")
     spread = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(place).alias("first"), F.count("*").alias("n"))
     # a line that stands fewer times than min_sites cannot be on so many sites
     spread = written(spread.where((F.col("n") >= min_sites) & (F.col("sites") >= min_sites * (1 - NEAR))), "spread")
@@ -52,20 +54,20 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1)
     pairs = lines.select("key", "site").join(near.select("key"), "key", "left_semi").distinct()
     exact = pairs.groupBy("key").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
     both = sure.select("key", "first").unionByName(near.join(exact, "key", "left_semi").select("key", "first"))
-    return both.select("key", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    return both.select("key", F.col("first.doc").alias("first_doc"), F.col("first.print").alias("first_print"), F.col("first.pos").alias("first_pos"))
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
     """Rows of docs as ``_bt_row`` with ``_bt_text`` (boilerplate lines removed), ``_bt_lines`` and ``_bt_removed`` (counts)."""
     known = written(boilerplate(docs, min_sites, min_chars), "boilerplate")
-    hits = _lines(docs, min_chars).select("doc", "pos", "key").join(known, "key")
-    gone = hits.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
-    by_doc = written(gone.groupBy("doc").agg(F.collect_set("pos").alias("_bt_gone")).select(F.coalesce(F.col("doc"), F.lit(0)).alias("_bt_doc"), F.col("doc").isNull().alias("_bt_none"), "_bt_gone"), "gone")
+    hits = _lines(docs, min_chars).select("doc", "print", "pos", "key").join(known, "key")
+    gone = hits.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("print") == F.col("first_print")) & (F.col("pos") == F.col("first_pos"))))
+    by_doc = written(gone.groupBy("doc", "print").agg(F.collect_set("pos").alias("_bt_gone")).select(F.coalesce(F.col("doc"), F.lit(0)).alias("_bt_doc"), F.col("doc").isNull().alias("_bt_none"), F.col("print").alias("_bt_print"), "_bt_gone"), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_bt_row"))
-    rows = rows.withColumn("_bt_doc", F.coalesce(F.col("_bt_row.doc_id"), F.lit(0))).withColumn("_bt_none", F.col("_bt_row.doc_id").isNull())
-    told = rows.join(by_doc.hint("merge"), ["_bt_doc", "_bt_none"], "left")  # one plan at every size
+    rows = rows.withColumn("_bt_doc", F.coalesce(F.col("_bt_row.doc_id"), F.lit(0))).withColumn("_bt_none", F.col("_bt_row.doc_id").isNull()).withColumn("_bt_print", F.xxhash64("_bt_row.text"))
+    told = rows.join(by_doc.hint("merge"), ["_bt_doc", "_bt_none", "_bt_print"], "left")  # one plan at every size
     parts = F.split(F.col("_bt_row.text"), "\n")
-    stay = F.filter(parts, lambda line, i: ~(F.array_contains("_bt_gone", i) & (F.length(_bare(line)) >= min_chars)))
+    stay = F.filter(parts, lambda line, i: ~F.array_contains("_bt_gone", i))
     text = F.when(F.col("_bt_gone").isNull(), F.col("_bt_row.text")).otherwise(F.array_join(stay, "\n"))
     made = told.withColumn("_bt_text", text)
     return made.withColumn("_bt_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("_bt_removed", F.when(F.col("_bt_gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay)).cast("long"))

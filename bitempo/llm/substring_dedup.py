@@ -8,7 +8,8 @@ least MIN_RUN bytes is a span to remove (a chance repeat of one chunk or a commo
 short line is none). A passage of over 50 words holds such a run wherever it
 stands, and its first document keeps it.
 
-A document's own repeats don't count, nor do rows that share a doc_id. A null
+A document's own repeats don't count, nor do rows that share a doc_id; where these
+differ in text, each text has spans of its own. A null
 doc_id has no place in the order: its rows repeat nothing and nothing repeats them.
 A null or empty text has no chunks. Every row is returned; further columns are
 ignored.
@@ -58,53 +59,54 @@ def cuts(data: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame, places: bool) -> DataFrame:
-    """digest and doc of each chunk; with places also ``at``: start * 512 + size, in bytes."""
-    names = ["digest", "doc"] + ["at"] * places
+    """digest and doc of each chunk; with places also print (of the whole text) and ``at``: start * 512 + size, in bytes."""
+    names = ["digest", "doc"] + ["print", "at"] * places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            ds, owners, sizes, at = [], [], [], []
+            ds, owners, prints, sizes, at = [], [], [], [], []
 
             def made() -> pa.RecordBatch:
-                cols = [np.array(ds, np.uint64).view(np.int64), np.repeat(np.array(owners, np.int64), sizes)] + ([np.concatenate(at)] if places else [])
+                cols = [np.array(ds, np.uint64).view(np.int64), np.repeat(np.array(owners, np.int64), sizes)] + ([np.repeat(np.array(prints, np.int64), sizes), np.concatenate(at)] if places else [])
                 return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, print_, data in zip(*(c.to_pylist() for c in batch.columns)):
                 ends = cuts(data)
                 if not ends:
                     continue
                 starts = [0, *ends[:-1]]
                 ds += [digest(data[s:e]) for s, e in zip(starts, ends)]
                 owners.append(doc)
+                prints.append(print_)
                 sizes.append(len(ends))
                 if places:
                     s = np.array(starts, np.int64)
                     at.append(s * 512 + np.array(ends, np.int64) - s)
                 if len(ds) > 200_000:
                     yield made()
-                    ds, owners, sizes, at = [], [], [], []
+                    ds, owners, prints, sizes, at = [], [], [], [], []
             if ds:
                 yield made()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("data")).where("doc IS NOT NULL AND data IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("print"), F.col("text").cast("binary").alias("data")).where("doc IS NOT NULL AND data IS NOT NULL")
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-SPANS = "doc long, n_dup_chunks long, starts array<long>, ends array<long>, dup_of array<long>"
+SPANS = "doc long, print long, n_dup_chunks long, starts array<long>, ends array<long>, dup_of array<long>"
 
 
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """doc, n_dup_chunks, starts and ends (UTF-8 bytes) and dup_of (first documents) of each doc_id that holds a span to remove."""
+    """doc, print (xxhash64 of the text), n_dup_chunks, starts and ends (UTF-8 bytes) and dup_of (first documents) of each doc_id and text that holds a span to remove."""
     first = chunks(docs, False).groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     known = written(first.where("first < last").select("digest", "first"), "repeats")
     hits = chunks(docs, True).join(known, "digest").where("first < doc")
-    by_doc = hits.groupBy("doc").agg(F.collect_set(F.struct("at", "first")).alias("hits"))
+    by_doc = hits.groupBy("doc", "print").agg(F.collect_set(F.struct("at", "first")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: list[list] = [[], [], [], [], [], []]
+            for doc, print_, found in zip(*(c.to_pylist() for c in batch.columns)):
                 runs: list[list] = []
                 for at, owner in sorted((x["at"], x["first"]) for x in found):
                     start, size = divmod(at, 512)
@@ -116,11 +118,11 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                         runs.append([start, start + size, 1, {owner}])
                 runs = [r for r in runs if r[1] - r[0] >= min_run]
                 if runs:
-                    for c, v in zip(out, (doc, sum(r[2] for r in runs), [r[0] for r in runs], [r[1] for r in runs], sorted(set().union(*(r[3] for r in runs))))):
+                    for c, v in zip(out, (doc, print_, sum(r[2] for r in runs), [r[0] for r in runs], [r[1] for r in runs], sorted(set().union(*(r[3] for r in runs))))):
                         c.append(v)
             if out[0]:
-                kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc", "n_dup_chunks", "starts", "ends", "dup_of"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc", "print", "n_dup_chunks", "starts", "ends", "dup_of"])
 
     return by_doc.mapInArrow(run, SPANS)
 
@@ -129,7 +131,7 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """Rows of docs as ``_bt_row`` with ``_bt_text``, the text without the spans."""
     spans = written(repeated_spans(docs, min_run), "spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_bt_row"))
-    told = rows.join(spans, F.col("_bt_row.doc_id") == F.col("doc"), "left")
+    told = rows.join(spans, (F.col("_bt_row.doc_id") == F.col("doc")) & (F.xxhash64("_bt_row.text") == F.col("print")), "left")
     data = F.col("_bt_row.text").cast("binary")
     kept = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), "ends"), F.concat("starts", F.array(F.octet_length(data).cast("long"))), lambda a, b: F.substring(data, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
     return told.select("_bt_row", F.when(F.col("doc").isNull(), F.col("_bt_row.text")).otherwise(F.array_join(kept, "")).alias("_bt_text"))
@@ -138,7 +140,8 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     spans = repeated_spans(docs.select("doc_id", "text"))
-    told = docs.select("doc_id").join(spans, F.col("doc_id") == F.col("doc"), "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("of"))
+    told = rows.join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("of") == F.col("print")), "left")
     text = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), ",")
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return told.select("doc_id", F.col("doc").isNotNull().alias("has_repeats"), F.coalesce("n_dup_chunks", F.lit(0)).cast("long").alias("n_dup_chunks"), F.coalesce(removed, F.lit(0)).cast("long").alias("removed_bytes"), F.coalesce(text, F.lit("")).alias("spans"), F.coalesce("dup_of", F.array().cast("array<bigint>")).alias("dup_of"))

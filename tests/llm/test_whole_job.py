@@ -5,10 +5,27 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from bitempo.llm import line_dedup
+from bitempo.llm import line_dedup, substring_dedup
 
 
 def test_short_lines_of_many_sites_go(spark):
     rows = [(i, f"Share this\n\nown words of document number {i}", f"s{i}") for i in range(15)]
     made = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert made[0] == rows[0][1] and all(made[i] == f"\nown words of document number {i}" for i in range(1, 15))
+
+
+def test_lines_of_another_text_of_the_doc_id_stay(spark):
+    line = "this line stands on many many sites"
+    rows = [(i, f"top of document number {i}\n{line}", f"s{i}") for i in range(15)]
+    rows += [(None, f"head of one without id\n{line}", "s1"), (None, "head of another\nthis line stands only here of all", "s2"), (3, "second text of three\nand its very own second line", "s3")]
+    made = {r["text"] for r in line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert made == {rows[0][1], *(f"top of document number {i}" for i in range(1, 15)), "head of one without id", rows[16][1], rows[17][1]}
+
+
+def test_spans_of_another_text_of_the_doc_id_stay(spark):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    own = " ".join(f"own{i}" for i in range(90))
+    rows = [(1, "head " + passage), (2, "some other start here: " + passage + "; another end"), (2, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {r["_bt_row"]["text"]: r["_bt_text"] for r in substring_dedup.without_repeats(docs).collect()}
+    assert len(made) == 3 and made[own] == own and len(made[rows[1][1]]) < 0.4 * len(passage)
