@@ -32,12 +32,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id in each component stays, once. Without doc_id or words, rows stay."""
-    found = jaccard_components(docs.select("doc_id", "text"), WIDTH, PERCENT)
-    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_bt_gone")).distinct(), "near")
-    kept = docs.join(gone, F.col("doc_id") == F.col("_bt_gone"), "left_anti")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each component stays, once: that of the smallest doc_id, a null one last. Rows without words stay.
+
+    A document is a doc_id, null or not, with a text; the join knows it by a hash of both.
+    """
+    known = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_bt_id"))
+    links = jaccard_components(known.select(F.col("_bt_id").alias("doc_id"), "text"), WIDTH, PERCENT).where("n_shingles > 0")
+    found = written(links.select(F.col("doc_id").alias("_bt_id"), "component_id").distinct(), "found")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_bt_id")
+    first = known.select("doc_id", "_bt_id").join(found, "_bt_id").groupBy("component_id").agg(F.min(place).alias("first"), F.min("_bt_id").alias("low"), F.max("_bt_id").alias("high"))
+    first = first.where("low < high").select("component_id", F.col("first._bt_id").alias("_bt_first"))
+    gone = written(found.join(first, "component_id").where("_bt_id <> _bt_first").select(F.col("_bt_id").alias("_bt_gone")), "near")
+    kept = docs.join(gone, F.xxhash64("doc_id", "text") == F.col("_bt_gone"), "left_anti")
+    single = F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(single).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~single))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

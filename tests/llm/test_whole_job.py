@@ -5,6 +5,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+import corpus_pipeline
 from bitempo.llm import line_dedup, substring_dedup
 
 
@@ -29,3 +30,13 @@ def test_spans_of_another_text_of_the_doc_id_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     made = {r["_bt_row"]["text"]: r["_bt_text"] for r in substring_dedup.without_repeats(docs).collect()}
     assert len(made) == 3 and made[own] == own and len(made[rows[1][1]]) < 0.4 * len(passage)
+
+
+def test_near_duplicates_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c + " end"), (None, a + " tail"), (None, "d " * 9 + b), (None, "some words of its own"), (None, "some words of its own"), (None, None), (None, None), (4, " ")]
+    made = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in made.collect())
+    threes = [t for i, t in got if i == 3]
+    assert len(threes) == 1 and threes[0] in (c, c + " end")
+    assert [x for x in got if x[0] != 3] == sorted([(0, ""), (0, ""), (0, "some words of its own"), (1, a), (2, b), (4, " ")])
