@@ -3,14 +3,14 @@
 Documents become token ids and an end mark; only longer ones are cut, into pieces
 of CAPACITY. The program's rows are the piece lengths with their counts, its columns
 configurations (how many pieces of each length fill one sequence). Multiplicative
-weights price the lengths: a knapsack by dynamic programming finds the dearest
-configuration, it is taken in whole multiples (rounded down, up to half of what is
-left of its scarcest length), and the weights of what it covers fall. What stays
-after STEPS rounds or in the end is packed best fit, longest first, by groups of
-equal sequences. All of this sees only the histogram of lengths, whose size is
-fixed; groups of sequences are then dealt out to pieces by their rank among the
-pieces of their length, which is counted in hash buckets so that no length is one
-task's.
+weights price the lengths and a knapsack by dynamic programming finds the dearest
+configurations, which add up to a fractional solution (``fractional``). Its columns
+are rounded to whole sequences, and what stays is solved and rounded again
+(``rounded``); pieces that no column takes, a small rest, go best fit into the room
+that is left or into sequences of their own. All of this sees only the histogram of
+lengths, whose size is fixed. Groups of equal sequences are then dealt out to pieces
+by their rank among the pieces of their length, which is counted in hash buckets, as
+many as the number of pieces asks for, so that no length is one task's.
 
 A null text is empty: the end mark alone. Rows that repeat a doc_id are documents
 of their own; ties of rank are settled by doc_id, piece and checksum. A null doc_id
@@ -19,9 +19,8 @@ stays null. Further columns are ignored.
 
 from __future__ import annotations
 
-import math
-import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,9 +34,12 @@ from .common import table, written
 
 CAPACITY = 2048
 END = 0
-STEPS = 300
-ETA = 4.0
-BUCKETS = 256
+#: Steps of the program, how fast its prices move, and how full a column is that is rounded, of the fullest.
+STEPS, ETA, NEARLY = 16, 8.0, 0.998
+#: What counts as nothing when covers are compared.
+EDGE = 1e-9
+#: Pieces of one length that one task ranks, about.
+RANKED = 50_000
 #: Words whose ids a Python worker keeps.
 KEPT_WORDS = 1_200_000
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -55,8 +57,6 @@ def _tokenizer(path: str) -> tuple:
 
 #: A sign that is one token by itself; words that hold it are encoded alone.
 PART = "\x01"
-#: An ASCII word and the signs after it: the vocabulary parts tokens between them and ignores case.
-CORE = re.compile(rb"(?!.*<\\|)([\x21-\x7e]*[0-9A-Za-z])([^0-9A-Za-z\x80-\xff]+)")
 
 
 def _ids(tokenizer, words: list[bytes]) -> list[bytes]:
@@ -83,12 +83,8 @@ def encode(texts: list[bytes], path: str = VOCABULARY) -> list[bytes]:
     if len(known) + len(new) > KEPT_WORDS:
         known.clear()
         new = {w for ws in split for w in ws}
-    cut = CORE.fullmatch
-    parts = {w: (m[1].lower(), m[2]) if (m := cut(w)) else (w, b"") for w in new}
-    bare = list({x for pair in parts.values() for x in pair if x and x not in known})
+    bare = list(new)
     known.update(zip(bare, _ids(tokenizer, bare)))
-    known[b""] = b""
-    known.update({w: known[a] + known[b] for w, (a, b) in parts.items()})
     get = known.__getitem__
     return [b"".join(map(get, ws)) for ws in split]
 
@@ -120,42 +116,111 @@ def token_pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACI
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
-def dearest(price: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
-    """The lengths that fill a sequence at the highest total price: an unbounded knapsack."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    p = price[lengths]
+def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room up to capacity, the highest total price of pieces that fit: a knapsack by dynamic programming."""
+    best = np.zeros(capacity + 1)
     ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        n = ends[c]
-        if n:
-            v = best[c - lengths[:n]] + p[:n]
-            k = v.argmax()
-            if v[k] > best[c - 1]:
-                best[c], last[c] = v[k], lengths[k]
-                continue
-        best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if last[c]:
-            out.append(int(last[c]))
-            c -= int(last[c])
-        else:
-            c -= 1
-    return out
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        if n := ends[room]:
+            best[room] = max(best[room], (best[room - lengths[:n]] + price[:n]).max())
+    return best
+
+
+def configuration(row: int, best: np.ndarray, price: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """The dearest way to fill a sequence that holds lengths[row], of what there is: places in lengths and how many of each, at most most."""
+    held, room, left = {row: 1}, capacity - int(lengths[row]), most.copy()
+    left[row] -= 1
+    while room >= lengths[0]:
+        fit = np.flatnonzero(left[: np.searchsorted(lengths, room, side="right")] > 0)
+        if not len(fit):
+            break
+        worth = best[room - lengths[fit]] + price[fit]
+        k = int(fit[len(fit) - 1 - worth[::-1].argmax()])  # of equals the longest
+        n = int(min(left[k], room // lengths[k])) if lengths[k] * 8 < room else 1
+        held[k] = held.get(k, 0) + n
+        left[k] -= n
+        room -= n * int(lengths[k])
+    return held
 
 
 Group = tuple[tuple[int, ...], int]  # lengths in a sequence, number of such sequences
+Column = tuple[tuple[int, int], ...]  # (place in lengths, pieces of it), by place
+
+
+def fractional(counts: dict[int, int], capacity: int, steps: int = STEPS) -> tuple[np.ndarray, dict[Column, float], float]:
+    """lengths, a fractional solution of the configuration program, and a lower bound of its value by its dual.
+
+    The covering rows rise together: after step k of steps, every row is covered to at
+    least k / steps. A row that is behind takes the dearest configuration that holds it
+    and no row that is a step ahead, as much as it lacks or until one of its rows is a
+    step ahead. The price of a row falls exponentially with its cover.
+    """
+    lengths = np.array(sorted(counts), np.int64)
+    many = np.array([counts[int(n)] for n in lengths], np.int64)
+    covered, x = np.zeros(len(lengths)), Counter()
+    start, bound = lengths / capacity, 0.0
+    for step in range(steps):
+        price = start * np.exp(-ETA * (covered - step / steps))
+        best = knapsack(price, lengths, capacity)
+        bound = max(bound, float(price @ many) / best[capacity])  # prices over the dearest configuration's are a dual solution
+        target, ahead = (step + 1) / steps, min((step + 2) / steps, 1.0)
+        open_ = np.where(covered < ahead - EDGE, many, 0)
+        for row in np.lexsort((-lengths, covered)):
+            while covered[row] < target - EDGE:
+                held = configuration(int(row), best, price, lengths, open_, capacity)
+                ks, ns = np.array(list(held)), np.array(list(held.values()))
+                amount = min((target - covered[row]) * many[row] / held[int(row)], float(((ahead - covered[ks]) * many[ks] / ns).min()))
+                x[tuple(sorted(held.items()))] += amount
+                covered[ks] += ns * amount / many[ks]
+                open_[ks[covered[ks] >= ahead - EDGE]] = 0
+    return lengths, x, bound
+
+
+def rounded(counts: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
+    """Whole sequences of the program's columns, none of whose pieces is there twice.
+
+    Columns about as full as the fullest are rounded down, then, by what was cut off, up
+    where all their pieces are left. What stays is a smaller program, solved and rounded
+    again while that places a tenth of its pieces or more.
+    """
+    groups: Counter = Counter()
+    left = {n: k for n, k in counts.items() if k}
+    while left:
+        lengths, x, _ = fractional(left, capacity)
+        room, before = dict(left), sum(left.values())
+
+        def take(column: Column, most: int) -> None:
+            times = min(most, *(room[int(lengths[k])] // n for k, n in column))
+            if times > 0:
+                groups[tuple(int(lengths[k]) for k, n in reversed(column) for _ in range(n))] += times
+                for k, n in column:
+                    room[int(lengths[k])] -= n * times
+
+        full = {c: sum(int(lengths[k]) * n for k, n in c) for c in x}
+        least = NEARLY * max(full.values())
+        good = sorted((c for c in x if full[c] >= least), key=lambda c: (-full[c], -x[c], c))
+        for column in good:
+            take(column, int(x[column]))
+        for column in sorted(good, key=lambda c: (-full[c], int(x[c]) - x[c])):
+            take(column, 1)
+        left = {n: k for n, k in room.items() if k}
+        if 10 * sum(left.values()) > 9 * before:
+            break
+    return list(groups.items())
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[Group]:
-    """Best fit, longest first, with equal sequences as one group."""
+def best_fit(counts: dict[int, int], capacity: int, begun: list[Group] = []) -> list[Group]:
+    """begun and the pieces of counts, each in the fullest sequence that has room for it, longest first; equal sequences are one group."""
     free: dict[int, dict[tuple[int, ...], int]] = {}
-    room: list[int] = []  # what is in free, sorted
+    for content, many in begun:
+        free.setdefault(capacity - sum(content), {})[content] = many
+    room = sorted(free)  # what is in free
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            fit = next((r for r in room if r >= length), None)
-            if fit is None:
+            fit = bisect_left(room, length)
+            if fit == len(room):
                 each = capacity // length
                 full, rest = divmod(left, each)
                 for n, many in ((each, full), (rest, 1 if rest else 0)):
@@ -164,12 +229,12 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Group]:
                         at[(length,) * n] = at.get((length,) * n, 0) + many
                 left = 0
             else:
-                content, many = free[fit].popitem()
-                each = min(fit // length, left)
+                content, many = free[room[fit]].popitem()
+                each = min(room[fit] // length, left)
                 used = min(many, left // each)
                 if many > used:
-                    free[fit][content] = many - used
-                at = free.setdefault(fit - each * length, {})
+                    free[room[fit]][content] = many - used
+                at = free.setdefault(room[fit] - each * length, {})
                 more = content + (length,) * each
                 at[more] = at.get(more, 0) + used
                 left -= used * each
@@ -177,28 +242,16 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Group]:
     return [(content, many) for groups in free.values() for content, many in groups.items()]
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[Group]:
+def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
     """Groups of sequences that hold every piece of the histogram once."""
     groups: list[Group] = [((capacity,), counts[capacity])] if counts.get(capacity) else []
-    left = {n: k for n, k in counts.items() if k and n < capacity}
-    had, price = dict(left), np.arange(capacity + 1) / capacity
-    for _ in range(steps):
-        if not left:
-            break
-        chosen = Counter(dearest(price, np.array(sorted(left)), capacity))
-        chosen = {n: min(k, left[n]) for n, k in chosen.items()}
-        if sum(n * k for n, k in chosen.items()) < capacity * 0.995:
-            break  # best fit does as well from here
-        times = max(1, min(left[n] // k for n, k in chosen.items()) // 2)
-        groups.append((tuple(n for n in sorted(chosen, reverse=True) for _ in range(chosen[n])), times))
-        for n, k in chosen.items():
-            price[n] *= math.exp(-ETA * k * times / had[n] / 10)
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-    plain = best_fit({n: k for n, k in counts.items() if k}, capacity)
-    mixed = groups + best_fit(left, capacity)
-    return min(mixed, plain, key=lambda g: sum(many for _, many in g))
+    short = {n: k for n, k in counts.items() if k and n < capacity}
+    columns = rounded(short, capacity)
+    held = Counter()
+    for content, many in columns:
+        for n in content:
+            held[n] += many
+    return groups + best_fit({n: k - held[n] for n, k in short.items() if k > held[n]}, capacity, columns)
 
 
 def places(groups: list[Group]) -> list[tuple[int, int, int, int, int, int]]:
@@ -218,9 +271,10 @@ def places(groups: list[Group]) -> list[tuple[int, int, int, int, int, int]]:
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read four times: let it be a written table."""
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("_bt_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most CAPACITY rows
+    buckets = 1 + max(histogram.values(), default=0) // RANKED
+    keyed = pieces.withColumn("_bt_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("length", "_bt_bucket").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most CAPACITY rows
     plan = places(pack(histogram, capacity))
     slots = spark.createDataFrame(plan, "_bt_length long, _bt_first long, _bt_ranks long, _bt_each long, _bt_seq long, _bt_at long")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_bt_bucket")) - F.col("n")
@@ -228,7 +282,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("length", "_bt_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = keyed.withColumn("_bt_within", within).join(bases, ["length", "_bt_bucket"]).withColumn("_bt_rank", F.col("_bt_base") + F.col("_bt_within"))
     here = (F.col("length") == F.col("_bt_length")) & (F.col("_bt_rank") >= F.col("_bt_first")) & (F.col("_bt_rank") < F.col("_bt_first") + F.col("_bt_ranks"))
-    # slots: a group has at most CAPACITY lengths, and groups follow from the histogram alone
+    # slots: their number follows from the histogram's lengths and the steps of the program, not from the number of pieces
     met = ranked.join(F.broadcast(slots), here)
     j = F.col("_bt_rank") - F.col("_bt_first")
     sequence = F.col("_bt_seq") + F.floor(j / F.col("_bt_each"))

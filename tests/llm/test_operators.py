@@ -199,7 +199,7 @@ def test_packing(docs, odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
-@pytest.mark.parametrize("counts", [{}, {2048: 5}, {1: 5000}, {1025: 7}, {1500: 10, 548: 9, 3: 4}, {n: n % 7 + 1 for n in range(1, 2048, 13)}])
+@pytest.mark.parametrize("counts", [{}, {2048: 5}, {1: 5000}, {1025: 7}, {1500: 10, 548: 9, 3: 4}, {n: n % 7 + 1 for n in range(1, 2048, 13)}, {1: 3, 2: 10**9, 2047: 10**6}])
 def test_pack_holds_each_piece_once(counts):
     held = Counter()
     for content, many in packing.pack(counts):
@@ -209,6 +209,43 @@ def test_pack_holds_each_piece_once(counts):
     assert held == Counter(counts)
 
 
+def lengths_of(spark, sf, path="/root/testdata"):
+    return {r["length"]: r["n"] for r in packing.token_pieces(spark.read.parquet(f"{path}/{sf}/documents.parquet")).groupBy("length").agg(F.count("*").alias("n")).collect()}
+
+
+def sequences(groups):
+    return sum(many for _, many in groups)
+
+
+def test_columns_make_the_packing(spark):
+    counts = lengths_of(spark, "sf0.1")
+    short = {n: k for n, k in counts.items() if n < 2048}
+    bound = math.ceil(sum(n * k for n, k in counts.items()) / 2048)
+    columns = sequences(packing.rounded(short))
+    made = sequences(packing.pack(counts))
+    assert columns >= 0.95 * (made - counts[2048]) and made <= 1.001 * bound
+    _, x, dual = packing.fractional(short, 2048)
+    assert dual <= made - counts[2048] and sum(x.values()) <= 1.1 * dual
+
+
+@pytest.mark.parametrize("many", [1, 50])
+def test_columns_beat_best_fit(many):
+    counts = {n: k * many for n, k in ((1030, 6), (524, 6), (518, 6), (500, 12))}
+    assert sequences(packing.rounded(counts)) == sequences(packing.pack(counts)) == 9 * many
+    assert sequences(packing.best_fit(counts, 2048)) == 11 * many
+
+
+def test_fractional_solution_covers_every_row():
+    counts = {1500: 10, 548: 9, 700: 30, 3: 4, 1: 1}
+    lengths, x, dual = packing.fractional(counts, 2048)
+    cover = Counter()
+    for column, amount in x.items():
+        assert sum(int(lengths[k]) * n for k, n in column) <= 2048
+        for k, n in column:
+            cover[int(lengths[k])] += n * amount
+    assert all(cover[n] >= k - 1e-6 for n, k in counts.items()) and dual <= sum(x.values()) + 1e-6
+
+
 def test_tokens_as_the_library_gives_them():
     texts = ["don't, DON'T. x'', a.b., 'S 's. I'll! (x) [y], 12.5% ### \x01a. <|endoftext|>. A<|endoftext|>, <|ENDOFTEXT|>!", "Ça va\xa0bien oui 123 ½² é ́x ​", "\x1c a\x1fb \x85 c", "ΑΣ ΣΑΣ. İx ẞ", ""]
     tokenizer = packing._tokenizer(packing.VOCABULARY)[0]
