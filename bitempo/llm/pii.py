@@ -1,27 +1,34 @@
 """PII: patterns propose, checksums confirm, context words adjust the score. Built-in expressions only.
 
-Kinds: email, ip, card and phone are the base rules; iban (mod-97) and ssn are added
-by the method. A proposal starts at the prior of its kind, gains CONFIRMED if its
-checksum or range test holds (a test that fails drops it), gains HELPFUL if a word
-of its kind stands within REACH code points before it, and loses DOUBTFUL if a word
-that speaks against it does; it is a span if the score reaches LEAST. Base
-proposals that pass their test always stay, with their score.
+Kinds: email, ip, card and phone are the base rules; iban (mod-97), ssn and secret
+(keys and tokens) are added by the method. A proposal starts at the prior of its
+kind, gains CONFIRMED if its checksum or range test holds (a test that fails drops
+it), gains HELPFUL if a word of its kind stands near, and loses DOUBTFUL if a word
+that speaks against it does; it is a span if the score reaches LEAST. Context decides
+for the added kinds: an iban that passes mod-97 goes where a word speaks against it,
+an ssn or a secret stays only where a word speaks for it. Base proposals that pass
+their test always stay, with their score. Near are the REACH code points before and
+after, as far as the neighbouring matches of the pattern.
 
 Places are code points, end exclusive. A regular expression's places come from the
 pieces between its matches, so they are exact in any script. Long runs that match
 nothing cost linear time: quantifiers are possessive and a match starts only where
-a run starts or the last match ended. A null or empty text has no spans; each row
-is scanned alone, so repeated rows, ties and further columns change nothing.
+a run starts or the last match ended; n matches of a text are placed block by block,
+at n to the power of 1.5 at most. A null or empty text has no spans; each row is
+scanned alone, so repeated rows and ties change nothing. Rows come back as a struct,
+so further columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "secret"]
 BASE = KINDS[:4]
 PATTERN = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -30,6 +37,7 @@ PATTERN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"[A-Za-z0-9_+/-]{20,}+",
 }
 #: What a text must hold for a kind to be sought in it at all.
 NEEDS = {
@@ -39,8 +47,9 @@ NEEDS = {
     "phone": r"\+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}",
     "ssn": r"[0-9]-[0-9]{2}-[0-9]",
+    "secret": r"[A-Za-z0-9_+/-]{20}",
 }
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "ssn": 0.3}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.3, "ssn": 0.3, "secret": 0.4}
 CONFIRMED, HELPFUL, DOUBTFUL, LEAST, REACH = 0.4, 0.3, 0.3, 0.6, 40
 HELPS = {
     "email": r"e-?mail|contact|write to",
@@ -49,8 +58,11 @@ HELPS = {
     "phone": r"phone|tel|mobile|call|fax",
     "iban": r"iban|bank|account|konto|compte|cuenta",
     "ssn": r"ssn|social security",
+    "secret": r"token|secret|passw|credential|bearer|api.?key|access.?key|private.?key",
 }
 DOUBTS = r"version|order|invoice|isbn|part no|serial"
+#: Kinds without a test of their own.
+UNTESTED = ("email", "ssn", "secret")
 
 
 def digits(m: Column) -> Column:
@@ -89,47 +101,69 @@ def holds(kind: str, m: Column) -> Column:
         return F.length(digits(m)).between(8, 15)
     if kind == "iban":
         return F.length(F.regexp_replace(m, " ", "")).between(15, 34) & mod97(m)
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]")
     if kind == "ssn":
         return ~F.left(m, F.lit(3)).isin("000", "666") & (F.left(m, F.lit(1)) != "9") & (F.right(m, F.lit(4)) != "0000") & (F.substr(m, F.lit(5), F.lit(2)) != "00")
     return F.lit(True)
 
 
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is computed once: a lambda over one element binds it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _starts(pairs: Column) -> Column:
+    """Where each match starts, from an array of {gap before it, length n}: sums within blocks, then of blocks."""
+
+    def step(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts"))
+
+    def added(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def placed(ps: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(ps))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(ps) / width).cast("int") - 1), lambda b: F.aggregate(F.slice(ps, b * width + 1, width), none, step))
+        return _bound(blocks, lambda bs: F.flatten(F.zip_with(bs, F.aggregate(bs, none, added)["starts"], lambda x, o: F.transform(x["starts"], lambda s: s + o))))
+
+    return F.when(F.size(pairs) > 0, _bound(pairs, placed)).otherwise(F.array().cast("array<int>"))
+
+
 def proposals(kind: str, text: Column) -> Column:
     """Array of {kind, start, end, score} for the matches of one kind that pass its test."""
-    pattern = F.lit(PATTERN[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    # a split at the same matches; its pieces are what lies between them
-    between = F.transform(F.split(text, PATTERN[kind], -1), lambda p: F.length(p))
-    place = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    made = F.aggregate(
-        F.zip_with(found, between, lambda m, gap: F.struct(F.length(m).alias("n"), gap.alias("gap"))),
-        place,
-        lambda a, x: F.when(x["n"].isNull(), a).otherwise(F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts"))),
-        lambda a: a["starts"],
-    )
-    spans = F.zip_with(found, made, lambda m, s: F.struct(m.alias("m"), s.alias("s")))
-    passed = F.filter(spans, lambda x: holds(kind, x["m"]))
-
-    def scored(x: Column) -> Column:
-        low = F.greatest(x["s"] - REACH, F.lit(0))
-        near = F.lower(F.substr(text, low + 1, x["s"] - low))
-        score = F.lit(PRIOR[kind]) + (0 if kind in ("email", "ssn") else CONFIRMED)
-        score = score + F.when(near.rlike(HELPS[kind]), F.lit(HELPFUL)).otherwise(F.lit(0.0)) - F.when(near.rlike(DOUBTS), F.lit(DOUBTFUL)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
-
-    all_ = F.transform(passed, scored)
-    kept = all_ if kind in BASE else F.filter(all_, lambda x: x["score"] >= LEAST)
-    return F.when(text.rlike(NEEDS[kind]), kept).otherwise(F.array().cast(SPANS))
+    found = F.regexp_extract_all(text, F.lit(PATTERN[kind]), F.lit(0))
+    between = F.split(text, PATTERN[kind], -1)  # at the same matches: what lies before, between and after them
+
+    def made(found: Column, between: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, gap: F.struct(F.length(m).alias("n"), F.length(gap).alias("gap")))
+        spans = F.transform(F.arrays_zip(found.alias("m"), _starts(pairs).alias("s")), lambda x, i: F.struct(x["m"].alias("m"), x["s"].alias("s"), i.alias("i")))
+        passed = F.filter(spans, lambda x: holds(kind, x["m"]))
+
+        def scored(x: Column) -> Column:
+            near = F.lower(F.concat(F.right(F.get(between, x["i"]), F.lit(REACH)), F.lit("\n"), F.left(F.get(between, x["i"] + 1), F.lit(REACH))))
+            score = F.lit(PRIOR[kind]) + (0 if kind in UNTESTED else CONFIRMED)
+            score = score + F.when(near.rlike(HELPS[kind]), F.lit(HELPFUL)).otherwise(F.lit(0.0)) - F.when(near.rlike(DOUBTS), F.lit(DOUBTFUL)).otherwise(F.lit(0.0))
+            return F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
+
+        all_ = F.transform(passed, scored)
+        return all_ if kind in BASE else F.filter(all_, lambda x: x["score"] >= LEAST)
+
+    both = F.struct(found.alias("found"), between.alias("between"))
+    return F.when(text.rlike(NEEDS[kind]), _bound(both, lambda x: made(x["found"], x["between"]))).otherwise(F.array().cast(SPANS))
 
 
 SPANS = "array<struct<k:int,start:int,end:int,score:double>>"
 
 
-def find_pii(docs: DataFrame, column: str = "text", into: str = "pii") -> DataFrame:
-    """docs with an array of {k: place in KINDS, start, end, score}, by kind, then start."""
-    text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
+def find_pii(docs: DataFrame, column: str = "text") -> DataFrame:
+    """Rows of docs as the struct ``_bt_row`` with ``_bt_pii``, an array of {k: place in KINDS, start, end, score}, by kind, then start."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_bt_row"))
+    text = F.coalesce(F.col(f"_bt_row.`{column}`"), F.lit(""))
     any_ = text.rlike("[0-9@]")
-    return docs.withColumn(into, F.when(any_, F.concat(*[proposals(k, text) for k in KINDS])).otherwise(F.array().cast(SPANS)))
+    return rows.withColumn("_bt_pii", F.when(any_, F.concat(*[proposals(k, text) for k in KINDS])).otherwise(F.array().cast(SPANS)))
 
 
 def joined(spans: Column) -> Column:
@@ -139,6 +173,8 @@ def joined(spans: Column) -> Column:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter(F.col("pii"), lambda x: x["k"] < len(BASE))
-    counts = [F.size(F.filter(F.col("pii"), lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    pii = F.col("_bt_pii")
+    base = F.filter(pii, lambda x: x["k"] < len(BASE))
+    counts = [F.size(F.filter(pii, lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    scores = F.array_join(F.transform(pii, lambda x: x["score"].cast("string")), ",")
+    return found.select("_bt_row.doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(pii).alias("spans"), scores.alias("scores"))
