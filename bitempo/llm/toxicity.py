@@ -3,16 +3,19 @@
 Every white-space token opens a character lattice: a character stands for itself or,
 as leetspeak, for letters (LEET); separators between letters may fall out or part
 words; a run of three or more of one letter stands for one or two; single letters in
-a row may be one word spaced out. A Viterbi pass picks the reading of the highest
+a row may be one word spaced out. Where digits stand among letters, the likeliest
+reading without digits counts too. A Viterbi pass picks the reading of the highest
 probability under a character trigram model that counts every text of the corpus.
-A token without such signs has one path through its lattice, itself, and is not
-decoded again. The restored words are scored: weights of words and of their first
-four and five letters are smoothed log odds of toxic against other labelled
-documents, lowered by their standard error, and a logistic curve over a document's
-two heaviest words gives the score.
-
-Labels are learned from at most MAX_LABELLED rows (lowest xxhash64 of doc_id first)
-of those whose crc32(doc_id as text) mod 4 is not 2; only text is scored. A null or
+A token that holds only letters, or no sign that may stand for something else, has
+one path through its lattice, itself, and is not decoded again; of all others,
+numbers and long ones too, the model decides. The restored words are scored: weights
+of words and of their first five to seven letters are smoothed log odds of toxic
+against other labelled documents, lowered by their standard error. A logistic curve
+over the root of the summed squares of all words that weigh anything, and the log of
+the number of tokens, gives the score.
+
+Labels are learned from at most MAX_LABELLED doc_ids (lowest xxhash64 first, of a
+repeated one the least text) of those whose crc32(doc_id as text) mod 4 is not 2; only text is scored. A null or
 empty text has no words and gets the score of no evidence. Without labels of both
 kinds every score is 0. Repeated rows are scored alike; a null doc_id is not held
 out and has no label. Further columns are ignored.
@@ -20,7 +23,6 @@ out and has no label. Further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -116,13 +118,11 @@ SPACED = re.compile(r"(?<!\S)(?:[^\s.,;:?]\s){2,}[^\s.,;:?](?!\S)")
 
 def obfuscated(core: str) -> bool:
     """More than one path leads through the lattice of this token."""
-    if PLAIN.fullmatch(core):
-        return bool(RUN.search(core))
-    return len(core) <= 40 and sum(c.isalpha() for c in core) >= 2 and any(c in LEET or c in SEPARATORS for c in core)
+    return bool(RUN.search(core)) or not PLAIN.fullmatch(core) and any(c in LEET or c in SEPARATORS for c in core)
 
 
-def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
-    """The likeliest reading of a token; spaces in it part words."""
+def decode(token: str, model: np.ndarray, spaced: bool = False, letters: bool = False) -> str:
+    """The likeliest reading of a token, of those alone that read every sign they can as letters if so told; spaces in it part words."""
     runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.DOTALL)]
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for char, n in runs:
@@ -136,7 +136,8 @@ def decode(token: str, model: np.ndarray, spaced: bool = False) -> str:
                 options += [(letter * k, COST["leet"] * k) for k in ({n} if n < 3 else {1, 2})]
             if char in SEPARATORS or n > 2:
                 options += [("", COST["drop"]), (" ", COST["part"])]
-            options.append((char * min(n, 3), 0.0 if char.isdigit() else 1.0))
+            if not (letters and options):
+                options.append((char * min(n, 3), 0.0 if char.isdigit() else 1.0))
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, said) in paths.items():
             for text, cost in options:
@@ -159,42 +160,49 @@ def restored(token: str, model: np.ndarray) -> tuple[str, ...]:
     found = list(PLAIN.findall(core))
     for form in {core, token.lstrip("\"'([{«").rstrip(".,;:?\"')]}»")}:
         if obfuscated(form):
-            said = decode(form, model)
-            found += PLAIN.findall(said)
+            found += PLAIN.findall(decode(form, model))
+            if any(c.isalpha() for c in form) and any(c.isdigit() for c in form):  # a model that has seen many numbers keeps digits
+                found += PLAIN.findall(decode(form, model, letters=True))
     return tuple(dict.fromkeys(found))
 
 
 def features(word: str) -> tuple[str, ...]:
-    return (f"={word}", word[:4], word[:5]) if len(word) > 5 else (f"={word}", word[:4]) if len(word) > 4 else (f"={word}",)
+    return (f"={word}", *(word[:n] for n in (5, 6, 7) if len(word) > n))
 
 
 class Reader:
     """Weighs texts; keeps what it knows of tokens."""
 
-    def __init__(self, model: np.ndarray, weight: dict[str, float]):
-        self.model, self.weight, self.known = model, weight, {}
+    def __init__(self, model: np.ndarray, weight: dict[str, float], channel: bool = True):
+        self.model, self.weight, self.channel, self.known = model, weight, channel, {}
 
     def of(self, token: str) -> float:
-        w = max((self.weight.get(f, 0.0) for word in restored(token, self.model) for f in features(word)), default=0.0)
+        plain = PLAIN.findall(token.lower())
+        words = restored(token, self.model) if self.channel else plain
+        w = max((self.weight.get(f, 0.0) for word in words for f in features(word)), default=0.0)
+        for word in set(words).difference(plain):  # a restored word may be several run together
+            w = max([w, *(self.weight.get(f"={word[i:j]}", 0.0) for i in range(len(word)) for j in range(i + 4, min(i + 13, len(word) + 1)))])
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         self.known[token] = w
         return w
 
-    def evidence(self, text: str | None) -> float:
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """What all words weigh, and the log of the number of tokens."""
         if not text:
-            return 0.0
-        known, found = self.known, []
-        for token in set(text.split()):
+            return 0.0, 0.0
+        known, total, tokens = self.known, 0.0, text.split()
+        for token in set(tokens):
             w = known.get(token)
             if w is None:
                 w = self.of(token)
             if w > 0:
-                found.append(w)
-        for m in SPACED.finditer(text):
-            words = PLAIN.findall(decode(m[0].lower().replace("\n", " "), self.model, spaced=True))
-            found += [w for word in words if (w := max(self.weight.get(f, 0.0) for f in features(word))) > 0]
-        return sum(x / (1 + i) for i, x in enumerate(heapq.nlargest(2, found)))
+                total += w * w
+        for m in SPACED.finditer(text) if self.channel else ():
+            for word in PLAIN.findall(decode(m[0].lower().replace("\n", " "), self.model, spaced=True)):
+                w = max(self.weight.get(f, 0.0) for f in features(word))
+                total += w * w
+        return math.sqrt(total), math.log1p(len(tokens))
 
 
 def words_of(text: str, model: np.ndarray, known: dict) -> set[str]:
@@ -237,19 +245,17 @@ def feature_weights(sample: DataFrame, model: np.ndarray) -> dict[str, float]:
     return {r["feature"]: r["w"] for r in best.collect()}
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept, by Newton's method with a ridge."""
-    slope, base = 0.0, 0.0
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slope of each column of x, and the intercept, by Newton's method with a ridge."""
+    x = np.column_stack([x, np.ones(len(x))])
+    b = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + base, -30, 30)))
-        w = p * (1 - p)
-        g = np.array([np.sum((y - p) * x) - 0.01 * slope, np.sum(y - p) - 0.01 * base])
-        h = np.array([[np.sum(w * x * x) + 0.01, np.sum(w * x)], [np.sum(w * x), np.sum(w) + 0.01]])
-        step = np.linalg.solve(h, g)
-        slope, base = slope + step[0], base + step[1]
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(b)), x.T @ (y - p) - 0.01 * b)
+        b = b + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(slope), float(base)
+    return b
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
@@ -259,7 +265,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
     told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_bt_id")).agg(F.max("toxic").alias("toxic"))
     told = told.orderBy(F.xxhash64("_bt_id"), "_bt_id").limit(limit)
     rows = docs.select("doc_id", "text")
-    sample = written(rows.join(F.broadcast(told), rows["doc_id"] == F.col("_bt_id")).select("text", "toxic"), "labelled")
+    met = rows.join(F.broadcast(told), rows["doc_id"] == F.col("_bt_id"))
+    sample = written(met.groupBy("_bt_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")  # at most limit rows
     model = char_model(rows)
     weight = feature_weights(sample, model)
     bc = spark.sparkContext.broadcast((model, weight))
@@ -268,14 +275,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
         reader = Reader(*bc.value)
         for batch in batches:
             text, kept = batch.column(batch.num_columns - 1).to_pylist(), batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([reader.evidence(t) for t in text], pa.float64())], names=[*batch.schema.names[:-1], "evidence"])
+            weight_, size = zip(*map(reader.evidence, text)) if text else ((), ())
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(weight_, pa.float64()), pa.array(size, pa.float64())], names=[*batch.schema.names[:-1], "evidence", "size"])
 
-    slope, base = 0.0, -50.0
+    slope, by_size, base = 0.0, 0.0, -50.0
     if weight:
-        known = sample.select("toxic", "text").mapInArrow(weighed, "toxic int, evidence double").toPandas()  # at most limit rows for each label
-        slope, base = logistic(known["evidence"].to_numpy(), known["toxic"].to_numpy())
-    made = rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(weighed, "doc_id long, evidence double")
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), slope * F.col("evidence") + base))))
+        known = sample.select("toxic", "text").mapInArrow(weighed, "toxic int, evidence double, size double").toPandas()  # at most limit rows
+        slope, by_size, base = (float(x) for x in logistic(known[["evidence", "size"]].to_numpy(), known["toxic"].to_numpy()))
+    made = rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(weighed, "doc_id long, evidence double, size double")
+    at = slope * F.col("evidence") + by_size * F.col("size") + base
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), at))))
     return made.select("doc_id", held(F.col("doc_id")).alias("held_out"), score.alias("score"))
 
 
