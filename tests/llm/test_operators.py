@@ -144,14 +144,27 @@ def brute_pii(text):
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
 
 
-def test_pii(spark, docs, none):
-    hard = ["a@b.c%d@e.f x@y@z.com 😀 é me@x.io.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3.99999999999", "+1 (262) 555-3752 +12 4470-3207 9887 8305 9 4703207988783059", "9" * 5000 + " " + "a." * 4000, "iban DE89 3704 0044 0532 0130 00 ssn 123-45-6789", "", None, "4264720996315236-4264720996315236"]
+def test_pii(spark, docs, odd, none):
+    hard = ["a@b.c%d@e.f x@y@z.com 😀 é me@x.io.", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 1.2.3.99999999999", "+1 (262) 555-3752 +12 4470-3207 9887 8305 9 4703207988783059", "9" * 5000 + " " + "a." * 4000, "iban DE89 3704 0044 0532 0130 00 ssn 123-45-6789", "", None, "4264720996315236-4264720996315236", "é 1.2.3.4 a@b.co " * 1000]
     rows = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(hard)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     for r in pii.find_pii(rows).collect():
-        assert [(pii.KINDS[x["k"]], x["start"], x["end"]) for x in r["pii"] if x["k"] < 4] == brute_pii(r["text"] or "")
-        if r["doc_id"] == 1004:
-            assert {pii.KINDS[x["k"]] for x in r["pii"]} >= {"iban", "ssn"}
-    assert pii.find_pii(none).count() == 0
+        assert [(pii.KINDS[x["k"]], x["start"], x["end"]) for x in r["_bt_pii"] if x["k"] < 4] == brute_pii(r["_bt_row"]["text"] or "")
+        if r["_bt_row"]["doc_id"] == 1004:
+            assert {pii.KINDS[x["k"]] for x in r["_bt_pii"]} >= {"iban", "ssn"}
+    assert pii.find_pii(none).count() == 0 and pii.find_pii(odd).count() == odd.count()
+
+
+def test_pii_context_decides(spark):
+    key, iban = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", "DE89370400440532013000"
+    cases = {f'token = "{key}"': ["secret"], f"digest {key} of it": [], f"pay {iban} now": ["iban"], f"invoice {iban}": [], f"invoice to bank account {iban}": ["iban"], "ssn 123-45-6789": ["ssn"], "123-45-6789 is a number": [],
+             "SSN 666-45-6789": [], "DE88370400440532013000": [], f"secret {'x' * 50}": [], "write to me@x.io": ["email"], f"é token: {key[:20]}, password: {key[20:]}z and none": ["secret", "secret"]}
+    rows = spark.createDataFrame([(t, "kept", 1) for t in cases] * 2, "text string, pii string, _bt_k int")
+    for r in pii.find_pii(rows).collect():
+        assert r["_bt_row"]["pii"] == "kept"
+        text = r["_bt_row"]["text"]
+        assert [pii.KINDS[x["k"]] for x in r["_bt_pii"]] == cases[text], text
+        for x in r["_bt_pii"]:
+            assert text[x["start"] : x["end"]].replace("z", "").strip() and " " not in text[x["start"] : x["end"]].strip() and 0.6 <= x["score"] <= 1
 
 
 def test_lines(spark, odd, none):
@@ -162,6 +175,29 @@ def test_lines(spark, odd, none):
     assert line_dedup.cleaned(odd).count() == odd.count() and line_dedup.cleaned(odd).columns == odd.columns and line_dedup.cleaned(none).count() == 0
 
 
+def made_all(known, told):
+    return toxicity.toxicity(known, told).where("doc_id >= 300").agg(F.sum("score")).first()[0]
+
+
+def test_toxicity_of_rows_held_out(spark):
+    known, told = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.toxicity(known, told).join(told, "doc_id").where("held_out").toPandas()
+    said, toxic = held.score >= toxicity.THRESHOLD, held.toxic == 1
+    assert (said & toxic).sum() >= 0.9 * toxic.sum() and (said & toxic).sum() >= 0.9 * said.sum()
+
+
+def test_channel_finds_what_plain_words_do_not(spark):
+    known, told = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.char_model(known)
+    weight = toxicity.feature_weights(known.join(told, "doc_id").select("text", F.col("toxic")), model)
+    with_, without = toxicity.Reader(model, weight), toxicity.Reader(model, weight, channel=False)
+    hidden = ["the 1d10t of the and", "and 5tup!d ones", "the l.o.s.e.r and", "it is tr@$h", "the m o r o n is", "stuuuuuupid of the", "cl0wn", "!" + "i.d.i.o.t" * 5, "1d107", "p@7h371c", "wor" + "r" * 60 + "thless"]
+    for text in hidden:
+        assert with_.evidence(text)[0] > 3 > without.evidence(text)[0], text
+    for text in ["plain 1999 and 3.14, 12:30", "a - b / c 555-1234", "e.g. the U.S. of", "9" * 5000]:
+        assert with_.evidence(text)[0] == without.evidence(text)[0], text
+
+
 def test_toxicity(spark, docs, labels, odd, none):
     model = toxicity.char_model(docs)
     assert toxicity.restored("plain,", model) == ("plain",)
@@ -170,6 +206,8 @@ def test_toxicity(spark, docs, labels, odd, none):
     made = toxicity.toxicity(known, told).join(told, "doc_id").toPandas()
     held = made[made.held_out]
     assert ((held.score >= toxicity.THRESHOLD) == (held.toxic == 1)).mean() > 0.9
+    twice = toxicity.toxicity(known.unionByName(known.where("doc_id < 300")), told)  # repeated rows change no weight
+    assert twice.where("doc_id >= 300").agg(F.sum("score")).first()[0] == pytest.approx(made_all(known, told), rel=1e-6)
     got = toxicity.toxicity(odd, told).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.toxicity(none, told).count() == 0
@@ -248,6 +286,12 @@ def test_fractional_solution_covers_every_row():
 
 def test_tokens_as_the_library_gives_them():
     texts = ["don't, DON'T. x'', a.b., 'S 's. I'll! (x) [y], 12.5% ### \x01a. <|endoftext|>. A<|endoftext|>, <|ENDOFTEXT|>!", "Ça va\xa0bien oui 123 ½² é ́x ​", "\x1c a\x1fb \x85 c", "ΑΣ ΣΑΣ. İx ẞ", ""]
+    rng = np.random.default_rng(9)
+    texts += ["".join(rng.choice(list("aAzZ09'sStTmMdDlLrReEvV.,;!?<|>_-\"()#&*\\/\x01\x7f éÉßñ漢 \n"), rng.integers(1, 40))) for _ in range(4000)]
+    texts += ["".join(rng.choice(["don't", "DON'T", "'S", "<|endoftext|>", "<|", "|>", "A", "b", ".", "'", " ", "...", "9"], rng.integers(1, 9))) for _ in range(4000)]
+    rng = np.random.default_rng(9)
+    texts += ["".join(rng.choice(list("aAzZ09'sStTmMdDlLrReEvV.,;!?<|>_-\"()#&*\\/\x01\x7f éÉßñ漢 \n"), rng.integers(1, 40))) for _ in range(4000)]
+    texts += ["".join(rng.choice(["don't", "DON'T", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "A", "b", ".", "'", " ", "...", "9"], rng.integers(1, 9))) for _ in range(4000)]
     tokenizer = packing._tokenizer(packing.VOCABULARY)[0]
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
