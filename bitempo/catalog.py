@@ -7,26 +7,17 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import Duck, Spark
-from .operators.graph import connected_components
-from .plans import records  # noqa: F401 - adds its plans
+from .plans import graphs, records, states, values  # noqa: F401 - they add their plans
 from .plans.queries import PLANS
-from .sources.adapters import plan, run
+from .sources.adapters import run
 
 
 def _planned(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run(spark, sf_dir, PLANS[name](Spark()))
 
 
-def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Spark()
-    nodes = run(spark, sf_dir, plan(d, "nodes", "SELECT node FROM nodes"))
-    return connected_components(nodes, run(spark, sf_dir, plan(d, "edges", "SELECT src, dst FROM edges")))
-
-
-COMPONENTS_SQL = plan(Duck(), "nodes arcs", "SELECT node, min(origin) AS component FROM walk GROUP BY node", "walk AS (SELECT node AS origin, node FROM nodes UNION SELECT w.origin, a.dst FROM walk w JOIN arcs a ON a.src = w.node)")
-
-QUERIES: dict = {name: partial(_planned, name=name) for name in PLANS} | {"connected_components": _components}
-ORACLE_SQL: dict[str, str] = {name: f(Duck()) for name, f in PLANS.items()} | {"connected_components": COMPONENTS_SQL}
+QUERIES: dict = {name: partial(_planned, name=name) for name in PLANS if name not in graphs.OPERATED} | graphs.OPERATED
+ORACLE_SQL: dict[str, str] = {name: f(Duck()) for name, f in PLANS.items() if name not in graphs.OPERATED} | graphs.OPERATED_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,25 @@ class Spark:
         """The texts of a group in one, comma between, by a key and then by themselves."""
         return f"array_join({self.ranked(x, by)}, ',')"
 
+    def iso(self, day: str) -> str:
+        """The date of a day number since 1995-01-01, as text."""
+        return f"date_format(date_add(DATE'1995-01-01', CAST({day} AS INT)), 'yyyy-MM-dd')"
+
+    def between(self, low: str, high: str) -> str:
+        """The whole numbers from low to high, both included."""
+        return f"sequence({low}, {high})"
+
+    def first_seen(self, a: str) -> str:
+        """The distinct values in the order of their first places."""
+        return f"array_distinct({a})"
+
+    def contains(self, a: str, x: str) -> str:
+        return f"array_contains({a}, {x})"
+
+    def frame(self, x: str, keys: str, order: str, low: int, high: int) -> str:
+        """The values of x, sorted and without nulls, of the rows whose order lies low to high before, as an array."""
+        return f"array_sort(collect_list({x}) OVER (PARTITION BY {keys} ORDER BY {order} RANGE BETWEEN {low} PRECEDING AND {high} PRECEDING))"
+
     def json_array(self, x: str, key: str, kind: str) -> str:
         return f"from_json(get_json_object({x}, '$.{key}'), 'ARRAY<{kind}>')"
 
@@ -194,6 +213,21 @@ class Duck(Spark):
     def listed(self, x: str, by: str) -> str:
         return f"string_agg({x}, ',' ORDER BY {by}, {x})"
 
+    def iso(self, day: str) -> str:
+        return f"strftime(DATE '1995-01-01' + CAST({day} AS INT), '%Y-%m-%d')"
+
+    def between(self, low: str, high: str) -> str:
+        return f"range({low}, {high} + 1)"
+
+    def first_seen(self, a: str) -> str:
+        return f"list_filter({a}, lambda v, i: list_position({a}, v) = i)"
+
+    def contains(self, a: str, x: str) -> str:
+        return f"list_contains({a}, {x})"
+
+    def frame(self, x: str, keys: str, order: str, low: int, high: int) -> str:
+        return f"list_sort(list_filter(coalesce(list({x}) OVER (PARTITION BY {keys} ORDER BY {order} RANGE BETWEEN {low} PRECEDING AND {high} PRECEDING), []), lambda q: q IS NOT NULL))"
+
     def json_array(self, x: str, key: str, kind: str) -> str:
         return f"CAST(json_extract({x}, '$.{key}') AS {kind}[])"
 

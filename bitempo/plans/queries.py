@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.dialect import Spark, clamp, median_of, round_js
+from ..functions.dialect import clamp, round_js
 from ..sources.adapters import plan
 
 PLANS: dict = {}
@@ -116,21 +116,11 @@ def chunk_by_params(d):
     return "SELECT event_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 11.0) AS BIGINT) AS statement FROM events"
 
 
-@query
-def chunk_by_bytes(d):
-    return f"SELECT doc_id, CAST(floor((sum({d.bytes('text')}) OVER (PARTITION BY source ORDER BY doc_id) - {d.bytes('text')}) / 1500000.0) AS BIGINT) AS chunk, {d.bytes('text')} > 1500000 AS oversize FROM documents"
-
-
 @query
 def prepare_batch(d):
     return plan(d, "snapshots", "SELECT node, source, h, collected, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT value) AS BIGINT) AS versions, CASE WHEN count(DISTINCT value) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'insert' END AS outcome FROM snapshots GROUP BY node, source, h, collected")
 
 
-@query
-def idempotent_batch_write(d):
-    return plan(d, "reports", "SELECT n.report_id, CASE WHEN s.report_id IS NULL THEN 'insert' WHEN s.visitors IS NOT DISTINCT FROM n.visitors THEN 'duplicate' ELSE 'conflict' END AS outcome FROM reports n LEFT JOIN (SELECT report_id, CASE WHEN report_id % 6 = 0 THEN visitors + 1 ELSE visitors END AS visitors FROM reports WHERE day < 1200) s ON s.report_id = n.report_id")
-
-
 @query
 def insert_or_ignore_replace(d):
     return plan(d, "snapshots", "SELECT node, source, h, min(event_id) AS ignored_keeps, max(event_id) AS replaced_keeps, count(*) - 1 AS duplicates FROM snapshots GROUP BY node, source, h")
@@ -265,11 +255,6 @@ def published_value(d):
     return f"SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL ELSE {round_js('p_retailprice', 2)} END AS value, CASE WHEN p_size % 9 = 0 THEN 'suspended' WHEN p_name = '' THEN 'blank' END AS reason FROM part"
 
 
-@query
-def count_map(d):
-    return "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 12"
-
-
 @query
 def valid_intensity(d):
     return plan(d, "rates", "SELECT report_id, species, valid FROM rates")
@@ -313,13 +298,6 @@ def unmapped_stations(d):
     return plan(d, "hydro mappings", "SELECT station, count(*) AS n FROM hydro o WHERE NOT EXISTS (SELECT 1 FROM mappings m WHERE m.station = o.station AND o.h >= m.valid_from AND (m.valid_to IS NULL OR o.h < m.valid_to)) GROUP BY station")
 
 
-@query
-def join_lookback_vintage(d):
-    cells = "(SELECT station, metric, h, vintage, avg(value) AS level FROM hydro GROUP BY station, metric, h, vintage)"
-    parts = [f"SELECT t.station, t.metric, t.h, {n} AS hours, {round_js('t.level - s.level')} AS change, CASE WHEN s.h IS NOT NULL THEN 'same' WHEN o.h IS NOT NULL THEN 'other-vintage-only' ELSE 'missing' END AS basis FROM {cells} t LEFT JOIN {cells} s ON s.station = t.station AND s.metric = t.metric AND s.vintage = t.vintage AND s.h = t.h - {n} LEFT JOIN (SELECT DISTINCT station, metric, h FROM hydro) o ON o.station = t.station AND o.metric = t.metric AND o.h = t.h - {n}" for n in (1, 3, 6)]
-    return plan(d, "hydro", " UNION ALL ".join(parts))
-
-
 @query
 def lead_lag_band_join(d):
     return plan(d, "rates", f"SELECT a.facility, a.day, count(*) AS pairs, {round_js('avg(b.catch)', 4)} AS later FROM (SELECT * FROM rates WHERE species = 0) a JOIN (SELECT * FROM rates WHERE species = 1) b ON b.facility = a.facility AND b.day BETWEEN a.day + 1 AND a.day + 3 GROUP BY a.facility, a.day")
@@ -340,44 +318,6 @@ def orphan_rows(d):
     return "SELECT l_orderkey, l_linenumber FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 50 <> 0) o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey IS NULL"
 
 
-@query
-def duplicate_candidates(d):
-    far = haversine("a.lat", "a.lon", "b.lat", "b.lon", 6371.0)
-    jac = f"{d.common('a.tokens', 'b.tokens')} / CAST({d.size('a.tokens')} + {d.size('b.tokens')} - {d.common('a.tokens', 'b.tokens')} AS DOUBLE)"
-    score = f"(CASE WHEN a.source = b.source THEN 0.2e0 ELSE 0 END + CASE WHEN b.h - a.h <= 4 THEN 0.16e0 WHEN b.h - a.h <= 24 THEN 0.08e0 ELSE 0 END + CASE WHEN km <= 1 THEN 0.16e0 WHEN km <= 3 THEN 0.08e0 ELSE 0 END + CASE WHEN a.species = b.species THEN 0.1e0 ELSE 0 END + CASE WHEN jac > 0.45 THEN 0.08e0 ELSE 0 END)"
-    score = score.replace("a.source", "s1").replace("b.source", "s2").replace("b.h - a.h", "dt").replace("a.species", "p1").replace("b.species", "p2")
-    near = f"SELECT a.doc_id AS id1, b.doc_id AS id2, a.source AS s1, b.source AS s2, a.species AS p1, b.species AS p2, b.h - a.h AS dt, {far} AS km, CASE WHEN {d.size('a.tokens')} = 0 OR {d.size('b.tokens')} = 0 THEN 0 ELSE {jac} END AS jac FROM (SELECT *, day + i AS slot FROM (SELECT *, CAST(floor(h / 24) AS BIGINT) AS day FROM evidence) AS e CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) AS two) a JOIN (SELECT *, CAST(floor(h / 24) AS BIGINT) AS slot FROM evidence) b ON b.slot = a.slot AND a.doc_id < b.doc_id AND b.h - a.h BETWEEN 0 AND 24"
-    return plan(d, "evidence", f"SELECT id1, id2, {round_js(score, 4)} AS score, CASE WHEN {score} >= 0.82 THEN 'exact' WHEN {score} >= 0.62 THEN 'likely' ELSE 'possible' END AS grade FROM ({near}) AS n WHERE {score} >= 0.42")
-
-
-@query
-def conflicting_evidence(d):
-    far = haversine("a.lat", "a.lon", "b.lat", "b.lon", 6371.0)
-    e = "(SELECT doc_id, species, h, lat, lon, CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN -1 ELSE 0 END AS polarity, CAST(floor(h / 8) AS BIGINT) AS slot FROM evidence)"
-    return plan(d, "evidence", f"SELECT a.doc_id AS id1, b.doc_id AS id2, {round_js(far, 3)} AS km FROM {e} a JOIN {e} b ON a.species = b.species AND b.slot BETWEEN a.slot AND a.slot + 1 AND a.doc_id < b.doc_id AND b.h - a.h <= 8 AND a.polarity * b.polarity = -1 WHERE {far} <= 3")
-
-
-@query
-def env_contradictions(d):
-    cells = "(SELECT node, source, h, avg(value) AS v FROM snapshots GROUP BY node, source, h)"
-    return plan(d, "snapshots", f"SELECT a.node, a.source AS s1, b.source AS s2, a.h AS h1, b.h AS h2, CASE WHEN abs(a.v - b.v) >= 80 THEN 'alert' ELSE 'watch' END AS level FROM {cells} a JOIN {cells} b ON a.node = b.node AND a.source < b.source AND b.h BETWEEN a.h - 1 AND a.h + 1 WHERE abs(a.v - b.v) >= 40")
-
-
-@query
-def related_siblings(d):
-    return plan(d, "evidence", "SELECT species, source, count(*) - 1 AS siblings FROM evidence GROUP BY species, source")
-
-
-@query
-def cross_product_matrix(d):
-    return "SELECT r_regionkey, t.event_type, CASE WHEN r_regionkey % 2 = 0 THEN 'direct' ELSE 'proxy' END AS grade FROM region CROSS JOIN (SELECT DISTINCT event_type FROM events) t"
-
-
-@query
-def observability_matrix(d):
-    return "SELECT event_type, " + ", ".join(f"{d.count_if(f'user_id % 3 = {i}')} AS {n}" for i, n in enumerate(("direct", "proxy", "none"))) + " FROM events GROUP BY event_type"
-
-
 @query
 def corridor_proxy_semi(d):
     return plan(d, "nodes mappings", "SELECT node, EXISTS (SELECT 1 FROM mappings m WHERE m.node = n.node) AS direct, EXISTS (SELECT 1 FROM mappings m WHERE m.node = n.node + 1) AS proxy FROM nodes n")
@@ -408,11 +348,6 @@ def accumulated_rain(d):
     return plan(d, "snapshots", f"SELECT s.node, {cols} FROM snapshots s JOIN (SELECT node, max(h) AS top FROM snapshots GROUP BY node) m ON m.node = s.node GROUP BY s.node")
 
 
-@query
-def wind_continuity(d):
-    return plan(d, "snapshots", f"SELECT s.node, count(*) AS n, {round_js('avg(s.value)', 4)} AS mean_speed, {round_js('1 - avg(least(abs(s.event_id * 37 % 360 - l.dir), 360 - abs(s.event_id * 37 % 360 - l.dir))) / 180e0', 4)} AS stability, max(l.dir) AS latest_dir FROM snapshots s JOIN (SELECT node, h AS top, event_id * 37 % 360 AS dir FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY h DESC, collected DESC, event_id DESC) AS rn FROM snapshots) AS x WHERE rn = 1) l ON l.node = s.node AND s.h >= l.top - 24 GROUP BY s.node")
-
-
 @query
 def quality_summary(d):
     return plan(d, "snapshots", f"SELECT node, source, count(*) AS n, {d.count_if(f'collected < {K} - 24')} AS stale, max(collected) AS last_known, {round_js('avg(CASE WHEN value < 10 THEN 1e0 ELSE 0 END)', 4)} AS low_rate FROM snapshots WHERE collected <= {K} GROUP BY node, source")
@@ -476,31 +411,11 @@ def trip_audit(d):
     return f"SELECT role, count(*) AS parsed, {d.count_if('''length(text) > 100''')} AS related, {d.count_if('''length(text) > 100 AND turn > 0''')} AS targeted, {round_js(d.count_if('''length(text) > 100''') + ' / CAST(count(*) AS DOUBLE)', 4)} AS related_rate, CASE WHEN {d.count_if('length(text) > 100')} / CAST(count(*) AS DOUBLE) >= 0.8 THEN 'strong' WHEN {d.count_if('length(text) > 100')} / CAST(count(*) AS DOUBLE) >= 0.4 THEN 'moderate' ELSE 'weak' END AS coverage FROM conversations GROUP BY role"
 
 
-@query
-def occurrences(d):
-    return "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 12"
-
-
-@query
-def compare_sources(d):
-    return f"SELECT event_type, {round_js('avg(CASE WHEN value > 50 THEN 1e0 ELSE 0 END) - 0.4e0', 4)} AS rate_delta, count(*) - 1000 AS count_delta FROM events GROUP BY event_type"
-
-
 @query
 def coastal_facility_audit(d):
     return plan(d, "rates", f"SELECT facility, {d.month('day')} AS month, count(DISTINCT day) AS report_days, {round_js('avg(CASE WHEN catch > 0 THEN 1e0 ELSE 0 END)', 4)} AS positive_rate, {round_js(d.pct('catch', 0.5), 4)} AS median_catch, max(catch) AS max_catch FROM rates GROUP BY facility, {d.month('day')}")
 
 
-@query
-def measure_species_group(d):
-    return plan(d, "obs", "SELECT report_id, species % 3 AS grp, CASE WHEN count(catch) < count(*) THEN NULL ELSE sum(catch) END AS total, bool_and(operating AND complete) AS settled FROM obs GROUP BY report_id, species % 3")
-
-
-@query
-def having_bundle_check(d):
-    return plan(d, "caught", "SELECT report_id, count(*) AS n FROM caught GROUP BY report_id HAVING count(*) <> 4 OR count(DISTINCT species) <> 4")
-
-
 @query
 def duplicate_key_check(d):
     return plan(d, "snapshots", "SELECT node, source, h, count(*) AS n FROM snapshots GROUP BY node, source, h HAVING count(*) > 1")
@@ -521,12 +436,6 @@ def component_source_metadata(d):
     return plan(d, "snapshots", f"SELECT node, max(collected) AS last, {d.collect_set('source')} AS providers FROM snapshots WHERE h BETWEEN {T - 24} AND {T} GROUP BY node")
 
 
-@query
-def channel_summary(d):
-    x = "(SELECT a.day, avg(a.rate) AS west, avg(b.rate) AS east FROM rates a JOIN rates b ON b.day = a.day AND b.species = a.species AND a.facility < 3 AND b.facility = 3 GROUP BY a.day)"
-    return plan(d, "rates", f"SELECT count(*) AS days, {round_js('corr(west, east)', 4)} AS pearson, {round_js(d.pct('west - east', 0.1), 4)} AS p10, {round_js(d.pct('west - east', 0.5), 4)} AS median, {round_js(d.pct('west - east', 0.9), 4)} AS p90 FROM {x} AS x")
-
-
 # -- as-of and window
 
 
@@ -585,16 +494,6 @@ def seasonal_anomaly(d):
     return plan(d, "latest", f"SELECT report_id, {round_js('visitors - avg(visitors) OVER (PARTITION BY facility, m)', 4)} AS anomaly FROM (SELECT *, {d.month('day')} % 100 AS m FROM latest) AS x")
 
 
-@query
-def rapid_change(d):
-    return plan(d, "snapshots", f"SELECT * FROM (SELECT node, source, event_id, {round_js('value - lag(value) OVER (PARTITION BY node, source ORDER BY h, collected, event_id)', 6)} AS delta FROM snapshots) AS x WHERE CASE WHEN source = 'view' THEN -delta ELSE delta END >= 30")
-
-
-@query
-def topk_gradient(d):
-    return plan(d, "latest", "SELECT report_id, day, visitors FROM latest WHERE visitors IS NOT NULL ORDER BY visitors DESC, day, report_id LIMIT 10")
-
-
 @query
 def even_monthly_sample(d):
     return plan(d, "latest", f"SELECT report_id, m, rn FROM (SELECT report_id, {d.month('day')} AS m, row_number() OVER (PARTITION BY {d.month('day')} ORDER BY day, facility, report_id) AS rn FROM latest) AS x ORDER BY rn, m LIMIT 120")
@@ -615,34 +514,7 @@ def parse_hourly_rolling_sum(d):
     return plan(d, "snapshots", f"SELECT event_id, {round_js('sum(value) OVER (PARTITION BY node, source ORDER BY h, collected, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)', 3)} AS six, {round_js('value - lag(value) OVER (PARTITION BY node, source ORDER BY h, collected, event_id)', 3)} AS trend FROM snapshots")
 
 
-# -- robust statistics: the flagship
-
-
-def _baseline(d) -> str:
-    xs = d.collect("b.x")
-    med = median_of(d, "xs")
-    mad = median_of(d, "devs")
-    scored = f"SELECT t.facility, t.species, t.day, t.valid, t.x, {xs} AS xs FROM (SELECT *, ln(1 + rate) AS x FROM rates) t LEFT JOIN (SELECT *, ln(1 + rate) AS x FROM rates WHERE valid) b ON b.facility = t.facility AND b.species = t.species AND b.day BETWEEN t.day - 56 AND t.day - 8 GROUP BY t.facility, t.species, t.day, t.valid, t.x"
-    devs = f"SELECT *, {d.size('ys')} AS n, {med.replace('xs', 'ys')} AS med FROM (SELECT *, {d.keep('xs', 'v', 'v IS NOT NULL')} AS ys FROM ({scored}) AS s) AS y"
-    devs = f"SELECT *, {d.sorted(d.each('ys', 'v', 'abs(v - med)'))} AS devs FROM ({devs}) AS m"
-    z = f"SELECT *, greatest(1.4826e0 * {mad}, 0.25e0) AS scale FROM ({devs}) AS e"
-    return f"SELECT facility, species, day, n, valid, CASE WHEN n >= 21 THEN med END AS med, CASE WHEN n >= 21 THEN scale END AS scale, CASE WHEN n >= 21 AND valid THEN {clamp('(x - med) / scale', '-4', '4')} END AS z FROM ({z}) AS f"
-
-
-@query
-def robust_baseline_z(d):
-    state = "CASE WHEN n < 21 THEN 'UNAVAILABLE' WHEN NOT valid THEN 'UNKNOWN' WHEN z <= -1.5 THEN 'VERY_LOW' WHEN z <= -0.5 THEN 'LOW' WHEN z < 0.5 THEN 'NORMAL' WHEN z < 1.5 THEN 'HIGH' ELSE 'VERY_HIGH' END"
-    return plan(d, "rates", f"SELECT facility, species, day, CAST(n AS BIGINT) AS n, {round_js('med', 5)} AS med, {round_js('scale', 5)} AS scale, {round_js('z', 4)} AS z, {state} AS state FROM ({_baseline(d)}) AS b")
-
-
-@query
-def core_bait_signal(d):
-    return plan(d, "rates", f"SELECT facility, day, CASE WHEN count(z) >= 3 THEN {round_js(d.pct('z', 0.5), 4)} END AS signal, count(z) AS covered, {d.count_if('z >= 0.5')} AS broad, {d.count_if('z >= 1.5')} AS strong FROM (SELECT * FROM ({_baseline(d)}) AS b WHERE species < 4) AS c GROUP BY facility, day")
-
-
-@query
-def west_consensus(d):
-    return plan(d, "rates", f"SELECT day, species, count(z) AS facilities, CASE WHEN count(z) >= 2 THEN {round_js(d.pct('z', 0.5), 4)} END AS median_z, CASE WHEN count(z) >= 2 THEN {round_js('max(z) - min(z)', 4)} END AS dispersion, CASE WHEN count(z) < 2 THEN 'UNAVAILABLE' WHEN min(z) >= 0.5 THEN 'SHARED_HIGH' WHEN max(z) <= -0.5 THEN 'SHARED_LOW' ELSE 'MIXED' END AS consensus FROM (SELECT * FROM ({_baseline(d)}) AS b WHERE facility < 3) AS c GROUP BY day, species")
+# -- a share of visitors
 
 
 @query
@@ -654,52 +526,14 @@ def detection_confidence(d):
 # -- graph
 
 
-@query
-def graph_summary(d):
-    return plan(d, "nodes edges", f"SELECT n.nodes, e.edges, {round_js('2e0 * e.edges / n.nodes', 3)} AS avg_degree, n.types FROM (SELECT count(*) AS nodes, count(DISTINCT region) AS types FROM nodes) n CROSS JOIN (SELECT count(*) AS edges FROM edges) e")
-
-
-@query
-def validate_graph(d):
-    return plan(d, "nodes arcs", "SELECT count(*) AS arcs, count(CASE WHEN src = dst THEN 1 END) AS self_loops, count(CASE WHEN NOT EXISTS (SELECT 1 FROM nodes n WHERE n.node = a.dst) THEN 1 END) AS dangling, count(*) - count(DISTINCT src * 1000 + dst) AS repeated FROM arcs a")
-
-
 @query
 def neighbors(d):
     return plan(d, "arcs", f"SELECT src, count(*) AS degree, {d.collect_set(d.text('dst'))} AS near FROM arcs GROUP BY src")
 
 
-@query
-def reachability(d):
-    walk = "walk AS (SELECT node AS origin, node, 0 AS depth FROM nodes UNION ALL SELECT w.origin, a.dst, w.depth + 1 FROM walk w JOIN arcs a ON a.src = w.node WHERE w.depth < 6)"
-    return plan(d, "nodes arcs", "SELECT origin, count(DISTINCT node) - 1 AS reachable FROM walk GROUP BY origin", walk)
-
-
-@query
-def shortest_path(d):
-    km = haversine("a.lat1", "a.lon1", "a.lat2", "a.lon2", 6371.0088)
-    walk = f"walk AS (SELECT node AS origin, node, CAST(0 AS DOUBLE) AS km, 0 AS hops FROM nodes UNION ALL SELECT w.origin, a.dst, w.km + {km}, w.hops + 1 FROM walk w JOIN arcs a ON a.src = w.node WHERE w.hops < 6 AND a.dst <> w.origin)"
-    return plan(d, "nodes arcs", f"SELECT origin, node AS target, {round_js('min(km)', 3)} AS km FROM walk GROUP BY origin, node", walk)
-
-
 # -- rules
 
 
-@query
-def state_chain(d):
-    e = "CASE WHEN x IS NULL OR x < 0 THEN 'unknown' WHEN x < {a} THEN 'weak' WHEN x {op} {b} THEN 'moderate' ELSE 'strong' END"
-    wind, flow = e.format(a=3, b=8, op="<").replace("x", "wind"), e.format(a=5, b=20, op="<=").replace("x", "flow")
-    base = f"SELECT event_id, {wind} AS wind, {flow} AS flow FROM (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN value / 10 END AS wind, CAST(user_id % 30 AS DOUBLE) AS flow FROM events) AS v"
-    merged = "CASE WHEN wind = 'strong' OR flow = 'strong' THEN 'energetic' WHEN wind = 'moderate' OR flow = 'moderate' THEN 'moderate' WHEN wind = 'weak' AND flow = 'weak' THEN 'calm' ELSE 'unknown' END"
-    axes = f"SELECT *, {merged} AS exchange, CASE WHEN flow = 'strong' AND wind = 'weak' THEN 'supportive' WHEN wind = 'strong' THEN 'limiting' WHEN wind = 'unknown' THEN 'unknown' ELSE 'neutral' END AS activation, CASE WHEN flow IN ('moderate', 'strong') AND wind = 'weak' THEN 'supportive' WHEN flow = 'unknown' THEN 'unknown' ELSE 'neutral' END AS presence, CASE WHEN wind = 'strong' THEN 'limiting' WHEN wind = 'weak' THEN 'supportive' ELSE 'neutral' END AS shore FROM ({base}) AS b"
-    return f"SELECT event_id, exchange, activation, presence, shore, CASE WHEN wind = 'unknown' AND flow = 'unknown' THEN 'INSUFFICIENT' WHEN activation = 'limiting' OR presence = 'limiting' OR shore = 'limiting' THEN 'DEPRIORITIZE' WHEN presence = 'unknown' OR activation = 'unknown' THEN 'INSUFFICIENT' WHEN activation = 'supportive' AND presence = 'supportive' AND shore = 'supportive' THEN 'PRIORITIZE' ELSE 'CONSIDER' END AS decision FROM ({axes}) AS a"
-
-
-@query
-def tide_trend(d):
-    return plan(d, "hydro", "SELECT event_id, CASE WHEN dv IS NULL THEN 'unknown' WHEN dv > 0 THEN 'rising' WHEN dv < 0 THEN 'falling' ELSE 'slack' END AS phase FROM (SELECT event_id, value - lag(value) OVER (PARTITION BY station, metric ORDER BY h, collected, event_id) AS dv FROM hydro) AS x")
-
-
 @query
 def reliability_score(d):
     return plan(d, "evidence", f"SELECT e.doc_id, {round_js(clamp('0.24e0 * (0.5e0 + (e.doc_id % 5) / 10e0) + 0.18e0 * exp(-(e.doc_id % 72) / 18e0) + 0.18e0 * 0.8e0 + 0.22e0 * greatest(0e0, 1 - 0.22e0 * s.n) + 0.18e0 * 0.5e0 - 0.15e0 * least(0.5e0, 0.18e0 * s.n)', '0', '1'), 6)} AS score FROM evidence e JOIN (SELECT source, species, count(*) - 1 AS n FROM evidence GROUP BY source, species) s ON s.source = e.source AND s.species = e.species")
@@ -799,11 +633,6 @@ def wind_facing(d):
     return "SELECT event_id, CASE WHEN diff <= 30 THEN 'near' WHEN diff >= 150 THEN 'opposite' ELSE 'cross' END AS facing FROM (SELECT event_id, least(abs(a - b), 360 - abs(a - b)) AS diff FROM (SELECT event_id, event_id * 7 % 360 AS a, user_id * 11 % 360 AS b FROM events) AS x) AS y"
 
 
-@query
-def east_bucket(d):
-    return plan(d, "rates", f"SELECT facility, day, species, CASE WHEN z IS NULL THEN 'unavailable' WHEN z >= 0.5 THEN 'high' WHEN z <= -0.5 THEN 'low' ELSE 'normal' END AS bucket FROM ({_baseline(d)}) AS b WHERE facility = 3")
-
-
 @query
 def validate_mapping(d):
     return plan(d, "nodes mappings", "SELECT m.station, m.node, m.valid_from, concat_ws(',', CASE WHEN n.node IS NULL THEN 'unknown-node' END, CASE WHEN m.valid_to <= m.valid_from THEN 'empty-interval' END, CASE WHEN m.valid_from < 0 THEN 'before-start' END) AS errors FROM mappings m LEFT JOIN nodes n ON n.node = m.node")

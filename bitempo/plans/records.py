@@ -5,13 +5,12 @@ Some records are made to break each rule, so that no validator agrees on clean r
 
 from __future__ import annotations
 
-from ..functions.dialect import clamp, round_js
+from ..functions.dialect import round_js
 from ..sources.adapters import plan
 from .queries import RADIUS_KM, haversine, query
 
 #: Fixed values of the model.
-NEAR_KM, STATEMENT_BYTES, LOOKBACKS = 50, 4000, (1, 3, 6)
-FORBIDDEN = r"(?i)\b(INSERT OR IGNORE|INSERT OR REPLACE|UPDATE|DELETE|DROP|ALTER|CREATE|BEGIN|COMMIT)\b"
+NEAR_KM, LOOKBACKS = 50, (1, 3, 6)
 MUTATING = r"(?i)\b(INSERT|UPDATE|DELETE|DROP|ALTER|CREATE|REPLACE|PRAGMA|ATTACH|VACUUM)\b"
 
 
@@ -90,12 +89,6 @@ def mad(d):
     return plan(d, "rates", f"SELECT facility, species, {round_js('min(med)')} AS med, {round_js(d.pct('abs(rate - med)', 0.5))} AS mad FROM rates JOIN ({half}) AS m ON m.f = facility AND m.s = species WHERE valid GROUP BY facility, species")
 
 
-@query
-def pearson(d):
-    both = "SELECT a.facility, a.species AS left_species, b.species AS right_species, a.rate AS x, b.rate AS y FROM rates a JOIN rates b ON b.facility = a.facility AND b.day = a.day AND b.species > a.species WHERE a.valid AND b.valid"
-    return plan(d, "rates", f"SELECT facility, left_species, right_species, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN {round_js('corr(x, y)')} END AS r FROM ({both}) AS p GROUP BY facility, left_species, right_species")
-
-
 @query
 def log1p_rate(d):
     return plan(d, "rates", f"SELECT facility, day, species, CASE WHEN valid THEN {round_js('ln(1 + rate)')} END AS log_rate FROM rates")
@@ -178,14 +171,6 @@ def read_only_sql_guard(d):
     return f"SELECT o_orderkey, {d.like('q', '(?i)^[ ]*(SELECT|WITH)[ ]')} AND NOT {d.like('q', MUTATING)} AS allowed FROM ({made}) AS x"
 
 
-@query
-def sanity_flags(d):
-    told = f"SELECT facility, count(*) AS n, {d.count_if('rate IS NULL')} / count(*) AS unknown, {d.count_if('rate = 0')} / count(*) AS zero, {d.count_if('NOT operating')} / count(*) AS closed FROM rates GROUP BY facility"
-    flags = " UNION ALL ".join(f"SELECT facility, '{k}' AS flag FROM told WHERE {x}" for k, x in (("unknown", "unknown > 0.2"), ("all-zero", "zero > 0.9 AND n >= 10"), ("half-zero", "zero > 0.5"), ("closed", "closed > 0.05")))
-    made = plan(d, "rates", "")
-    return f"{made.rstrip()},\ntold AS ({told})\n{flags}"
-
-
 @query
 def diagnostic_attribution(d):
     """Conflicting keys, told to the nodes that their station is mapped to at that hour."""
@@ -266,15 +251,6 @@ def evidence_ingest_preflight(d):
     return f"SELECT operator, event_key, trip, CASE WHEN kinds > 1 THEN 'COLLISION' WHEN floor(start_h / 24) % 2 = 0 THEN 'EXISTING' ELSE 'WOULD_CREATE' END AS verdict, max(kinds) OVER (PARTITION BY operator) > 1 AS aborted FROM ({told}) AS t"
 
 
-@query
-def tide_backfill_sql(d):
-    """Rows of station 2 and chosen months, dealt to statements by running bytes, with a hash of each and the guard's verdict."""
-    rows = f"SELECT event_id, floor(h / 24) AS day, concat('(', {d.text('station')}, ', ', {d.text('h')}, ', ''', CASE WHEN event_id % 997 = 0 THEN 'DROP me' ELSE metric END, ''')') AS tuple FROM hydro WHERE station = 2 AND h BETWEEN 0 AND 600"
-    dealt = f"SELECT event_id, tuple, floor((sum({d.bytes('tuple')} + 2) OVER (PARTITION BY day ORDER BY event_id)) / {STATEMENT_BYTES}) AS part, day FROM ({rows}) AS r"
-    body = d.listed("tuple", "event_id")
-    return plan(d, "hydro", f"SELECT CAST(day AS BIGINT) AS day, CAST(part AS BIGINT) AS part, count(*) AS n, {d.sha(body)} AS sha, NOT {d.like(body, FORBIDDEN)} AS safe FROM ({dealt}) AS s GROUP BY day, part")
-
-
 @query
 def bulk_insert_json(d):
     """Rows bound as one JSON array a batch, taken apart again."""
@@ -282,12 +258,6 @@ def bulk_insert_json(d):
     return f"SELECT batch, k FROM (SELECT batch, {d.json_array('body', 'keys', 'BIGINT')} AS ks FROM ({batch}) AS b) AS x {d.explode('ks', 'k')}"
 
 
-@query
-def repost_suspicion(d):
-    words = "CASE WHEN doc_id % 4 = 0 THEN 0.45e0 ELSE 0e0 END"
-    return plan(d, "evidence", f"SELECT doc_id, {clamp(f'greatest({words}, least(0.5e0, 0.18e0 * (count(*) OVER (PARTITION BY text) - 1)))', '0e0', '1e0')} AS suspicion FROM evidence WHERE text IS NOT NULL")
-
-
 @query
 def station_summary(d):
     return plan(d, "hydro", f"SELECT station, metric, count(*) AS n, count(DISTINCT vintage) AS vintages, {d.count_if('collected > h + 3')} AS late, min(h) AS first_h, max(h) AS last_h FROM hydro GROUP BY station, metric")

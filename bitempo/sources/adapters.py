@@ -29,6 +29,7 @@ def views(d: Spark) -> dict[str, str]:
         "edges": "SELECT a.node AS src, b.node AS dst, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM nodes a JOIN (SELECT node, lat, lon, lag(node) OVER (PARTITION BY region ORDER BY node) AS before FROM nodes) b ON b.before = a.node",
         "arcs": "SELECT src, dst, lat1, lon1, lat2, lon2 FROM edges UNION ALL SELECT dst, src, lat2, lon2, lat1, lon1 FROM edges",
         "mappings": "SELECT s_suppkey % 5 AS station, s_nationkey % 12 AS node, min(s_suppkey % 10) * 48 AS valid_from, CASE WHEN min(s_suppkey) % 3 = 0 THEN NULL ELSE min(s_suppkey % 10) * 48 + 240 END AS valid_to FROM supplier GROUP BY s_suppkey % 5, s_nationkey % 12",
+        "env": f"SELECT event_id, user_id % 12 AS node, event_type AS source, {d.hours('ts')} AS h, {d.hours('ts')} + event_id % 7 AS collected, CASE WHEN event_id % 5 = 0 THEN {d.hours('ts')} + event_id % 31 - 12 END AS issued, CASE WHEN event_id % 7 > 0 THEN floor(value) / 8 END AS wind, CASE WHEN event_id % 6 > 0 THEN CAST(event_id * 37 % 360 AS DOUBLE) END AS dir, CASE WHEN event_id % 9 > 0 THEN floor(value) / 5 END AS gust, CASE WHEN event_id % 8 > 0 THEN 990 + floor(value) / 4 END AS pressure, CASE WHEN event_id % 10 > 0 THEN floor(value) / 50 - 1 END AS trend, CASE WHEN event_id % 4 > 0 THEN event_id % 10 / 2e0 END AS rain, CASE WHEN event_id % 11 > 0 THEN 5 + floor(value) / 10 END AS air, CASE WHEN event_id % 5 > 0 THEN floor(value) / 64 END AS wave, CASE WHEN event_id % 6 > 1 THEN CAST(event_id * 41 % 360 AS DOUBLE) END AS wave_dir, CASE WHEN event_id % 7 > 1 THEN 2 + event_id % 9 / 2e0 END AS wave_period, CASE WHEN event_id % 3 > 0 THEN event_id % 6 / 4e0 END AS swell, CASE WHEN event_id % 13 > 0 THEN 8 + event_id % 40 / 4e0 END AS sst, CASE WHEN event_id % 4 > 1 THEN event_id % 16 / 8e0 END AS flow, CASE WHEN event_id % 4 <> 1 THEN CAST(event_id * 29 % 360 AS DOUBLE) END AS flow_dir, CASE WHEN event_id % 3 <> 1 THEN event_id % 32 / 16e0 - 1 END AS sea FROM events",
         "evidence": f"SELECT doc_id, source, lang AS species, doc_id * 3 AS h, 35 + (doc_id % 50) * 0.002e0 AS lat, 139 + (doc_id % 40) * 0.002e0 AS lon, {d.distinct(d.words('text'))} AS tokens, text FROM documents",
     }
 
