@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_format": chat_format.OP1_SQL,
-    "op3_quality_rules": quality_rules.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_topk_search": topk_search.OP9_SQL,
 }

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -123,13 +124,58 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {40: 40, 50: 40, 60: 40, 70: 70, 71: 70}
 
 
+def brute_quality(rows, trusted_ids):
+    """doc_id -> (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score), by plain loops."""
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def grams(ws):
+        ones = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+        return [signed(h) % quality_rules.BUCKETS for h in ones] + [signed(xxhash.xxh64_intdigest(w.encode(), h)) % quality_rules.BUCKETS for h, w in zip(ones, ws[1:])]
+
+    split = [(i, t or "", [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]) for i, t in rows]
+    raw, target = Counter(), Counter()
+    for i, _, ws in split:
+        found = Counter(grams(ws))
+        raw.update(found)
+        if i in trusted_ids:
+            target.update(found)
+    all_raw, all_target, prior = sum(raw.values()), sum(target.values()), quality_rules.PRIOR * quality_rules.BUCKETS
+    weight = {b: math.log((target[b] + prior * (n / all_raw)) / (all_target + prior) / (n / all_raw)) for b, n in raw.items()}
+    out = {}
+    for i, t, ws in split:
+        windows = Counter(tuple(ws[k : k + 3]) for k in range(len(ws) - 2))
+        repeats = len({p for k in range(len(ws) - 2) if windows[tuple(ws[k : k + 3])] > 1 for p in (k, k + 1, k + 2)})
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        g = grams(ws)
+        out[i] = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeats, len(ws) < 50 or 100 * repeats > 50 * len(ws), sum(weight[b] for b in g) / len(g) if g else 0.0)
+    return out
+
+
 def test_quality(odd, none, labels, docs):
+    trusted = labels.where("quality = 1").select("doc_id")
+    want = brute_quality([(r["doc_id"], r["text"]) for r in docs.collect()], {r["doc_id"] for r in trusted.collect()})
+    for r in quality_rules.quality_scores(docs, trusted).collect():
+        told = want[r["_bt_row"]["doc_id"]]
+        assert tuple(r[c] for c in quality_rules.ADDED[:6]) == told[:6] and r["score"] == pytest.approx(told[6], abs=2e-6)
+        assert r["kept"] == (not told[5] and told[6] >= quality_rules.THRESHOLD) or abs(told[6] - quality_rules.THRESHOLD) < 1e-5
     got = {r["_bt_row"]["doc_id"]: r for r in quality_rules.quality_scores(odd, labels.select("doc_id")).collect()}
     assert got[3]["n_words"] == 0 and got[3]["base_failed"] and got[9]["n_words"] == 2 and got[11]["n_repeat_words"] == 80 and got[11]["base_failed"]
+    clash = odd.withColumn("w", F.lit("x")).withColumn("bucket", F.lit(1)).withColumn("good", F.lit(0)).withColumn("ws", F.lit("y"))
+    assert sorted(r["score"] for r in quality_rules.quality_scores(clash, labels.select("doc_id")).collect()) == sorted(r["score"] for r in quality_rules.quality_scores(odd, labels.select("doc_id")).collect())
     assert quality_rules.quality_scores(none, labels.select("doc_id")).count() == 0
     assert quality_rules.quality_scores(docs, labels.where("false").select("doc_id")).where("NOT base_failed AND NOT kept").count() == 0
-    good = docs.join(labels.where("quality = 1"), "doc_id").select(docs.columns)
-    assert quality_rules.quality_scores(docs, labels.where("quality = 1").select("doc_id")).where("NOT base_failed AND NOT kept").join(good.select(F.col("doc_id").alias("g")), F.col("_bt_row.doc_id") == F.col("g")).count() == 0
+
+
+def test_quality_of_rows_held_out(spark):
+    """Weights learned without them part the good and the bad of the rows that are held out."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    made = quality_rules.quality_scores(docs, labels.where("quality = 1").where(~held).select("doc_id")).where("NOT base_failed")
+    told = made.select(F.col("_bt_row.doc_id").alias("doc_id"), "kept").join(labels.where(held), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    got = {r["quality"]: r["kept"] for r in told.collect()}
+    assert got[1] >= 0.99 and got[0] <= 0.1
 
 
 def brute_pii(text):
