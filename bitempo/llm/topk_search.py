@@ -6,9 +6,11 @@ each range is cut into blocks of BLOCK neighbouring ids that keep a forward inde
 (one matrix) and the maximum and minimum of each term. For every query, the blocks
 of a range are ordered by their bound, the sum over terms of the larger of
 query x maximum and query x minimum, and scored until the next bound is below the
-query's kth score; bounds equal to it are still scored, for ties. Ranges and chunks
-of queries meet in pairs, so a task holds RANGE candidates and CHUNK queries at
-most, whatever the size of the table; the best k of each pair are merged.
+query's kth score; bounds equal to it are still scored, for ties. First each query
+searches one range, the one its own id lies in, which sets its kth score from below;
+then ranges and chunks of queries meet in pairs, with that score as the floor from
+which blocks are pruned everywhere. A task holds RANGE candidates and CHUNK queries
+at most, whatever the size of the table; the best k of each pair are merged.
 
 Vectors that are null or hold null or non-finite components take no part, nor do
 rows without vec_id. Vectors of other lengths are padded with 0. Candidates are
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -60,8 +62,11 @@ def _kind(a: np.ndarray, b: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
-def search(ids: np.ndarray, docs: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's row, vec_id, score) of the best k of each query, by score, then smaller vec_id."""
+def search(ids: np.ndarray, docs: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None, scored: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, vec_id, score) of the best k of each query, by score, then smaller vec_id, of those that reach its floor.
+
+    ``scored`` gets the number of blocks that each query's bounds let through.
+    """
     kind = _kind(docs, queries)
     if kind is object:
         docs, queries = (np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (docs, queries))
@@ -77,13 +82,16 @@ def search(ids: np.ndarray, docs: np.ndarray, qids: np.ndarray, queries: np.ndar
     ranked = np.argsort(-bounds, axis=1, kind="stable")
     n = len(queries)
     best_s, best_i = np.full((n, k), -np.inf if kind is not object else float("-inf"), kind if kind is object else np.float64), np.full((n, k), np.iinfo(np.int64).max)
+    floor = np.full(n, float("-inf"), best_s.dtype) if floors is None else floors.astype(best_s.dtype)
     live = np.arange(n)
     for step in range(len(blocks)):
         now = ranked[live, step]
-        still = bounds[live, now] >= best_s[live, k - 1]  # bounds fall from step to step
+        still = bounds[live, now] >= np.maximum(best_s[live, k - 1], floor[live])  # bounds fall from step to step
         live, now = live[still], now[still]
         if not len(live):
             break
+        if scored is not None:
+            scored.append(len(live))
         for b in np.unique(now):
             qs = live[now == b]
             bid, vec = blocks[b]
@@ -98,10 +106,14 @@ def search(ids: np.ndarray, docs: np.ndarray, qids: np.ndarray, queries: np.ndar
             all_i = np.concatenate([best_i[qs], np.broadcast_to(bid, (len(qs), len(bid)))], axis=1)
             top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
             best_s[qs], best_i[qs] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
-    q, r = np.nonzero(best_s.astype(float) > -np.inf)
+    q, r = np.nonzero((best_s.astype(float) > -np.inf) & (best_s >= floor[:, None]))
     return q, best_i[q, r], best_s[q, r]
 
 
+def _clipped(x) -> int:
+    return max(-(2**63), min(2**63 - 1, int(x)))
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates (vec_id, v) of each query (vec_id, v)."""
     facts = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
@@ -113,20 +125,45 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         at = [i / ranges for i in range(1, ranges)]
         cuts = candidates.agg(F.percentile_approx("vec_id", at, max(10_000, 20 * ranges)).alias("c")).first()["c"]
     lit = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    n_below = F.size(F.filter(lit, lambda c: c < F.col("vec_id")))
-    docs = candidates.withColumn("range", n_below if cuts else F.lit(0)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asks = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+
+    def n_range(column: str) -> Column:
+        return F.size(F.filter(lit, lambda c: c < F.col(column))) if cuts else F.lit(0)
+
+    ranged = candidates.withColumn("range", n_range("vec_id"))
+    # columns of their own: the queries may come from the same table
+    queries = queries.select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"))
+
+    def met(left: pa.Table, right: pa.Table, floors: np.ndarray | None) -> tuple:
+        return search(left["vec_id"].to_numpy(), _matrix(left["v"], width), right["q_id"].to_numpy(), _matrix(right["q_v"], width), k, floors)
+
+    def first(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each query of this range with its kth score here, if there are k."""
+        kth = [None] * right.num_rows
+        if left.num_rows and right.num_rows:
+            q, _, s = met(left, right, None)
+            held = np.bincount(q, minlength=right.num_rows)
+            ends = np.cumsum(held) - 1
+            kth = [_clipped(s[e]) if n == k else None for n, e in zip(held, ends)]
+        return pa.table({"q_id": right["q_id"], "q_v": right["q_v"], "floor": pa.array(kth, pa.int64())})
+
+    with_floor = "q_id long, q_v array<double>, floor long"
+    if ranges > 1:
+        floored = ranged.groupBy("range").cogroup(queries.withColumn("range", n_range("q_id")).groupBy("range")).applyInArrow(first, with_floor)
+    else:
+        floored = queries.withColumn("floor", F.lit(None).cast("long"))
+    docs = ranged.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asks = floored.withColumn("chunk", F.pmod(F.xxhash64("q_id"), F.lit(chunks)).cast("int")).withColumn("range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        qids = right["vec_id"].to_numpy()
-        q, i, s = search(left["vec_id"].to_numpy(), _matrix(left["v"], width), qids, _matrix(right["v"], width), k)
-        return pa.table({"query_id": pa.array(qids[q], pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array([max(-(2**63), min(2**63 - 1, int(x))) for x in s], pa.int64())})
+        floors = np.array([float("-inf") if x is None else x for x in right["floor"].to_pylist()], object)
+        q, i, s = met(left, right, floors)
+        return pa.table({"query_id": pa.array(right["q_id"].to_numpy()[q], pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array([_clipped(x) for x in s], pa.int64())})
 
-    met = docs.groupBy("range", "chunk").cogroup(asks.groupBy("range", "chunk")).applyInArrow(pair, "query_id long, vec_id long, score long")
+    found = docs.groupBy("range", "chunk").cogroup(asks.groupBy("range", "chunk")).applyInArrow(pair, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
