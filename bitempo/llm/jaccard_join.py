@@ -14,8 +14,8 @@ by itself, then the first of each component met, then the classes that share a s
 and still are of different components. No pair is lost, and a group of n near
 copies costs about n checks.
 
-A Bloom filter of fixed size keeps what cannot match from being sent; it grows with
-nothing, and exact joins follow it. Sets with no shingle link with nothing. A null
+A Bloom filter keeps what cannot match from being sent; it has BITS_A_KEY bits for
+each key, at most 32 MB in all, and exact joins follow it. Sets with no shingle link with nothing. A null
 doc_id links with nothing and its component is null. Rows that repeat a doc_id
 belong to the class of their own text, and further columns are ignored.
 """
@@ -38,8 +38,8 @@ from .components import components
 CHUNK = 600
 #: Times that a block's classes are sent on average, at most, before its sums are used instead.
 MOST_SENT = 8
-#: Bits of the Bloom filter, as a power of two.
-BLOOM_BITS = 24
+#: Bits of a Bloom filter for each key, and the most it may have (32 MB), as a power of two.
+BITS_A_KEY, MOST_BITS = 12, 28
 KEPT_WORDS = 400_000
 
 _U = np.uint64
@@ -148,22 +148,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
-def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter of 2 ** BLOOM_BITS bits (2 MB), whatever the number of keys; keys are spread 64-bit numbers."""
-    mask = (1 << BLOOM_BITS) - 1
-    k = F.col(column)
-    at = F.explode(F.array(k.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(k, BLOOM_BITS).bitwiseAND(F.lit(mask))))
+def bloom(keys: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """A filter of spread 64-bit numbers whose size follows theirs, up to 2 ** MOST_BITS bits; its power of two, and its words."""
+    power = min(MOST_BITS, max(16, (keys.count() * BITS_A_KEY).bit_length()))
+    mask, k = (1 << power) - 1, F.col(column)
+    at = F.explode(F.array(k.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(k, 64 - power).bitwiseAND(F.lit(mask))))
     words = keys.select(at.alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    out = np.zeros(1 << (power - 6), np.int64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint64)
+    return power, out.view(np.uint64)
 
 
-def may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    mask = _U((1 << BLOOM_BITS) - 1)
+def may_hold(filter_: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    power, bits = filter_
     ok = np.ones(len(keys), bool)
-    for at in (keys & mask, (keys >> _U(BLOOM_BITS)) & mask):
-        ok &= (filter_[at >> _U(6)] >> (at & _U(63))) & _U(1) == 1
+    for at in (keys & _U((1 << power) - 1), keys >> _U(64 - power)):
+        ok &= (bits[at >> _U(6)] >> (at & _U(63))) & _U(1) == 1
     return ok
 
 
@@ -338,30 +338,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk
     def node_of(s: np.ndarray) -> int:
         return int(_U(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
-    def sent(doc_ids: list, data: list) -> Iterator[pa.RecordBatch]:
-        sums, nodes, counts = [], [], []
-        for d in data:
-            s = shingle_set(d, width)
-            p = part_sums(s, rule)
-            if len(p):
-                sums.append(p)
-                nodes.append(node_of(s))
-                counts.append(len(p))
-        if sums:
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sums)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["sig", "node"])
-
-    linkable = texts.where("doc_id IS NOT NULL AND data IS NOT NULL")
-    matched = linkable.mapInArrow(per_batch(sent), "sig long, node long").groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    matched = written(matched.where("low < high").select("sig", "low"), "matched")
-    passing = spark.sparkContext.broadcast(bloom(matched, "sig"))
-
     def read(doc_ids: list, data: list) -> Iterator[pa.RecordBatch]:
         rows: list[list] = [[], [], []]
         sigs, ends = [], [0]
         for doc, d in zip(doc_ids, data):
             s = shingle_set(d, width)
             p = part_sums(s, rule) if doc is not None else s[:0]
-            p = p[may_hold(passing.value, p)] if len(p) else p
             for c, v in zip(rows, (doc, node_of(s), len(s))):
                 c.append(v)
             sigs.append(p)
@@ -369,10 +351,26 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(sigs).astype(_U)))
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows), lists], names=["doc_id", "node", "n", "sigs"])
 
-    known = written(texts.mapInArrow(per_batch(read), "doc_id long, node long, n long, sigs array<long>"), "read")
+    # each text is shingled here, once; its sums are written, those of one text of each class are sent to be matched
+    linkable = texts.where("doc_id IS NOT NULL AND data IS NOT NULL")
+    summed = written(texts.mapInArrow(per_batch(read), "doc_id long, node long, n long, sigs array<long>"), "sums")
+    matched = summed.select("node", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    matched = written(matched.where("low < high").select("sig", "low"), "matched")
+    passing = spark.sparkContext.broadcast(bloom(matched, "sig"))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            ok = may_hold(passing.value, values.view(_U))
+            nodes = np.repeat(batch.column(0).to_numpy(), ends)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[ok]), pa.array(values[ok])], names=["node", "sig"])
+
+    known = summed.select("doc_id", "node", "n")
+    sent = summed.where("size(sigs) > 0").select("node", "sigs").mapInArrow(passed, "node long, sig long")
     classes = written(known.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     # matches as stars: each class of a sum with its lowest class
-    matches = written(known.select("node", F.explode("sigs").alias("sig")).distinct().join(matched, "sig"), "matches")
+    matches = written(sent.distinct().join(matched, "sig"), "matches")
     stars = matches.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     blocks = written(components(stars).select(F.col("comp").alias("block"), "node"), "blocks")
     # the exact sets of these classes, from one text of each
