@@ -10,10 +10,12 @@ weights have a given entropy (nats; beyond what the shares reach, the nearest en
 A source's quota is its weight times the budget. It is realised as passes over
 permutations: whole passes take every row; in the last one, rows go by blocks of
 their hash in that pass, whole blocks while they fit, and in the block where the
-quota ends, single rows in hash order until it is met. Only sums by source and
-block and the rows of that one block are ever ordered.
+quota ends, single rows in hash order until it is met. Blocks are finer where
+sources are larger, so only sums by source and block and the rows of one small block
+are ever ordered.
 
-Output: each row once for each pass it is in, with the pass and the block. A null
+Output: each row once for each pass it is in, with the pass, the block and its key
+within: sorted by these three, the rows of a source are its permutation. A null
 source is a source of its own; rows without words go through the whole passes
 only. Repeated rows count as rows of their own, told apart by nothing, so those
 with one doc_id and text go together. Extra columns stay, whatever their names.
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 from .common import table, words, written
 
 MAX_PASSES = 1.5
-BLOCKS = 1024
+#: Blocks are the leading bits of the hash: at least MIN_BITS, more where a block of the largest source would hold over BLOCK_ROWS rows.
+MIN_BITS, BLOCK_ROWS = 10, 20_000
 SEED = 20240101
 STEPS = 60
-#: Sources whose sums the driver may hold; beyond that many, the smallest are one group by hash.
+#: Sources whose sums the driver may hold; more raise an error.
 MAX_SOURCES = 100_000
 
 
@@ -76,17 +79,23 @@ def _order(pass_: Column) -> Column:
 
 
 def mix(docs: DataFrame, max_passes: float | None = MAX_PASSES, target_entropy: float | None = None) -> DataFrame:
-    """Rows of docs as ``_bt_row`` with ``_bt_pass`` (from 0), ``_bt_block``, ``_bt_tokens`` and ``_bt_weight``."""
+    """Rows of docs as ``_bt_row`` with ``_bt_pass`` (from 0), ``_bt_block``, ``_bt_key``, ``_bt_tokens`` and ``_bt_weight``."""
     spark = docs.sparkSession
     src = F.coalesce(F.concat(F.lit("="), F.col("_bt_row.source").cast("string")), F.lit(""))
     # what decides is small: it is written once, the rows are read again for the result
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_bt_row"))
     rows = base.select("_bt_row", src.alias("_bt_src"), F.col("_bt_row.doc_id").alias("_bt_id"), F.xxhash64("_bt_row.text").alias("_bt_fp"), F.size(words(F.col("_bt_row.text"))).cast("long").alias("_bt_tokens"))
     facts = written(rows.select("_bt_src", "_bt_id", "_bt_fp", "_bt_tokens"), "facts")
-    sums = facts.groupBy("_bt_src").agg(F.sum("_bt_tokens").alias("n"))
+    sums = written(facts.groupBy("_bt_src").agg(F.sum("_bt_tokens").alias("n"), F.count("*").alias("rows")), "sources")
     if sums.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    tokens = {r["_bt_src"]: r["n"] for r in sums.collect() if r["n"]}
+    held = sums.collect()
+    tokens = {r["_bt_src"]: r["n"] for r in held if r["n"]}
+    bits = max(MIN_BITS, (max((r["rows"] for r in held), default=0) // BLOCK_ROWS).bit_length())
+
+    def block(order: Column) -> Column:
+        return F.shiftrightunsigned(order, 64 - bits).cast("long")
+
     plan = []
     if tokens:
         w = tempered(tokens, exponent(tokens, max_passes, target_entropy))
@@ -96,11 +105,11 @@ def mix(docs: DataFrame, max_passes: float | None = MAX_PASSES, target_entropy:
     quotas = spark.createDataFrame(plan, "_bt_src string, _bt_whole int, _bt_left long, _bt_weight double")
     # the last, partial pass
     cut = facts.where("_bt_tokens > 0").join(F.broadcast(quotas), "_bt_src").where("_bt_left > 0")
-    cut = cut.withColumn("_bt_order", _order(F.col("_bt_whole"))).withColumn("_bt_block", F.shiftrightunsigned("_bt_order", 54).cast("int"))
+    cut = cut.withColumn("_bt_order", _order(F.col("_bt_whole"))).withColumn("_bt_block", block(F.col("_bt_order")))
     by_block = cut.groupBy("_bt_src", "_bt_left", "_bt_block").agg(F.sum("_bt_tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_bt_src").orderBy("_bt_block")) - F.col("n")
     blocks = by_block.withColumn("_bt_before", before)
-    edge = blocks.where((F.col("_bt_before") < F.col("_bt_left")) & (F.col("_bt_before") + F.col("n") > F.col("_bt_left"))).select("_bt_src", F.col("_bt_block").alias("_bt_edge"), "_bt_before")
+    edge = blocks.where((F.col("_bt_before") < F.col("_bt_left")) & (F.col("_bt_before") + F.col("n") >= F.col("_bt_left"))).select("_bt_src", F.col("_bt_block").alias("_bt_edge"), "_bt_before")
     inside = cut.join(F.broadcast(edge), "_bt_src").where("_bt_block = _bt_edge")  # edge: one row a source
     run = F.sum("_bt_tokens").over(Window.partitionBy("_bt_src").orderBy("_bt_order").rangeBetween(Window.unboundedPreceding, -1))
     last = inside.withColumn("_bt_sofar", F.col("_bt_before") + F.coalesce(run, F.lit(0)))
@@ -109,12 +118,12 @@ def mix(docs: DataFrame, max_passes: float | None = MAX_PASSES, target_entropy:
     ends = written(quotas.join(edges, "_bt_src", "left"), "ends")
     told = rows.join(F.broadcast(ends), "_bt_src", "left").withColumn("_bt_whole", F.coalesce("_bt_whole", F.lit(1)))
     order = F.col("_bt_order")
-    block = F.shiftrightunsigned(order, 54).cast("int")
     full = (F.col("_bt_left") > 0) & F.col("_bt_edge").isNull()
-    partly = (F.col("_bt_tokens") > 0) & (F.col("_bt_left") > 0) & (full | (block < F.col("_bt_edge")) | ((block == F.col("_bt_edge")) & (order <= F.col("_bt_stop"))))
+    partly = (F.col("_bt_tokens") > 0) & (F.col("_bt_left") > 0) & (full | (block(order) < F.col("_bt_edge")) | ((block(order) == F.col("_bt_edge")) & (order <= F.col("_bt_stop"))))
     told = told.withColumn("_bt_order", _order(F.col("_bt_whole"))).withColumn("_bt_n", F.col("_bt_whole") + F.when(F.coalesce(partly, F.lit(False)), 1).otherwise(0))
     many = told.select("_bt_row", "_bt_id", "_bt_fp", "_bt_tokens", "_bt_weight", F.explode(F.sequence(F.lit(0), F.col("_bt_n") - 1)).alias("_bt_pass"))
-    return many.select("_bt_row", "_bt_pass", F.shiftrightunsigned(_order(F.col("_bt_pass")), 54).cast("int").alias("_bt_block"), "_bt_tokens", "_bt_weight")
+    key = _order(F.col("_bt_pass"))
+    return many.select("_bt_row", "_bt_pass", block(key).alias("_bt_block"), key.alias("_bt_key"), "_bt_tokens", "_bt_weight")
 
 
 def mixed(docs: DataFrame, max_passes: float | None = MAX_PASSES, target_entropy: float | None = None) -> DataFrame:
@@ -125,4 +134,4 @@ def mixed(docs: DataFrame, max_passes: float | None = MAX_PASSES, target_entropy
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return made.select("_bt_row.doc_id", "_bt_row.source", F.col("_bt_pass").cast("long").alias("pass"), F.col("_bt_block").cast("long").alias("block"), F.col("_bt_tokens").alias("tokens"), F.round("_bt_weight", 9).alias("weight"))
+    return made.select("_bt_row.doc_id", "_bt_row.source", F.col("_bt_pass").cast("long").alias("pass"), F.col("_bt_block").alias("block"), F.col("_bt_key").alias("key"), F.col("_bt_tokens").alias("tokens"), F.round("_bt_weight", 9).alias("weight"))
