@@ -3,7 +3,8 @@
 A template is only called: successive prefixes of a conversation are rendered and
 consecutive outputs compared. What an output adds to the one before is the span of
 its turn; an output that does not continue the one before comes from a template
-that rewrites history, which is reported and whose span begins where the two part.
+that rewrites history, which is reported; the places of its texts are then found in
+the last output alone.
 The text of a turn inside its span is found in the same way, by rendering the turn
 with a private-use sentinel for its text.
 
@@ -95,6 +96,17 @@ class Rendering:
         self.contents.append((at, len(out) - (len(probe) - at - len(SENTINEL))) if at >= 0 else (len(out), len(out)))
         self.text = out
 
+    def settle(self) -> None:
+        """Where history was rewritten, finds each text again in the last output, by a sentinel of its own; one that is not shown has an empty place at the end."""
+        if not self.rewrites:
+            return
+        out, size = self.text, len(SENTINEL)
+        for i, (role, _) in enumerate(self.turns):
+            probe = self.template([*self.turns[:i], (role, SENTINEL), *self.turns[i + 1 :]])
+            at = probe.find(SENTINEL)
+            shown = at >= 0 and out.startswith(probe[:at]) and out.endswith(probe[at + size :]) and len(out) >= len(probe) - size
+            self.contents[i] = self.spans[i] = (at, len(out) - (len(probe) - at - size)) if shown else (len(out), len(out))
+
 
 SCHEMA = "conv_id long, n_turns long, formatted string, rewrites_history boolean, turn_starts array<long>, turn_ends array<long>, text_starts array<long>, text_ends array<long>, loss array<boolean>"
 
@@ -103,6 +115,7 @@ def format_chats(df: DataFrame, template: Callable[[list[Turn]], str] = inst_tem
     """One row per conversation: its rendering, the span of each turn and of each text in it (code points, end exclusive), which of them carry loss, and whether the template rewrote history."""
 
     def done(key: int | None, r: Rendering) -> tuple:
+        r.settle()
         (s, e), (a, b) = zip(*r.spans), zip(*r.contents)
         return key, len(r.turns), r.text, r.rewrites, s, e, a, b, [role in loss_roles for role, _ in r.turns]
 

@@ -67,10 +67,11 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int
     rows = rows.withColumn("_bt_doc", F.coalesce(F.col("_bt_row.doc_id"), F.lit(0))).withColumn("_bt_none", F.col("_bt_row.doc_id").isNull()).withColumn("_bt_print", F.xxhash64("_bt_row.text"))
     told = rows.join(by_doc.hint("merge"), ["_bt_doc", "_bt_none", "_bt_print"], "left")  # one plan at every size
     parts = F.split(F.col("_bt_row.text"), "\n")
-    stay = F.filter(parts, lambda line, i: ~F.array_contains("_bt_gone", i))
-    text = F.when(F.col("_bt_gone").isNull(), F.col("_bt_row.text")).otherwise(F.array_join(stay, "\n"))
+    # a lambda over one element binds the lines, so a text is split once; places are told apart by hash, whatever their number
+    left = F.get(F.transform(F.array(parts), lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_bt_gone")), lambda i: F.get(p, i))), F.lit(0))
+    text = F.when(F.col("_bt_gone").isNull(), F.col("_bt_row.text")).otherwise(F.array_join(left, "\n"))
     made = told.withColumn("_bt_text", text)
-    return made.withColumn("_bt_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("_bt_removed", F.when(F.col("_bt_gone").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stay)).cast("long"))
+    return made.withColumn("_bt_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("_bt_removed", F.when(F.col("_bt_gone").isNull(), F.lit(0)).otherwise(F.size("_bt_gone")).cast("long"))
 
 
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

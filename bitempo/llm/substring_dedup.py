@@ -5,8 +5,11 @@ moves cuts only next to it; a chunk has LEAST to MOST bytes and ends between cod
 points. Chunks are grouped by a 64-bit digest. A chunk that a document with a
 smaller doc_id holds too is a repeat there; a run of neighbouring repeats of at
 least MIN_RUN bytes is a span to remove (a chance repeat of one chunk or a common
-short line is none). A passage of over 50 words holds such a run wherever it
-stands, and its first document keeps it.
+short line is none), and its first document keeps it. The chunks at both ends of a
+passage hold what stands around it, so up to some tens of bytes there stay, and a
+passage little longer than MIN_RUN may hold no run; where no cut falls within MOST
+bytes one is forced, which does move with insertions. Of planted passages of over 50
+words 0.97 are found on the check's tables, 0.96 of clean documents stay as they are.
 
 A document's own repeats don't count, nor do rows that share a doc_id; where these
 differ in text, each text has spans of its own. A null
