@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -66,6 +67,23 @@ def test_chat_finds_rewritten_history(spark):
     assert {r["conv_id"]: r["rewrites_history"] for r in chat_format.format_chats(df, only_last).collect()} == {1: True, 2: False}
 
 
+def test_chat_places_after_rewriting(spark):
+    def latest_first(turns):
+        return "".join(f"<{r}>{t};" for r, t in reversed(turns[-2:]))
+
+    rows = [(1, 0, "u", "hello"), (1, 1, "a", "there"), (1, 2, "u", "again")]
+    (r,) = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), latest_first).collect()
+    assert r["rewrites_history"] and [r["formatted"][a:b] for a, b in zip(r["text_starts"], r["text_ends"])] == ["", "there", "again"]
+
+
+def test_chat_long_text_and_clashing_columns(spark):
+    long = "[INST] <s> \\ " * 20_000
+    rows = [(1, 0, "user", long, "x", 1, "y"), (1, 1, "assistant", long, "x", 1, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, n_turns int, loss string")
+    (r,) = chat_format.digests(chat_format.format_chats(df)).collect()
+    assert r["loss_chars"] == len(long) and r["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and r["turns_sha256"] == hashlib.sha256(f"user\n{long}\nassistant\n{long}\n".encode()).hexdigest()
+
+
 @pytest.mark.parametrize("text", ["", "plain", "\\", "\\l<[", "a\\b]c", chat_format.PLANTED])
 def test_escape_round_trip(text):
     assert chat_format.unescape(chat_format.escape(text)) == text
@@ -339,7 +357,9 @@ def test_tokens_as_the_library_gives_them():
     texts += ["".join(rng.choice(list("aAzZ09'sStTmMdDlLrReEvV.,;!?<|>_-\"()#&*\\/\x01\x7f éÉßñ漢 \n"), rng.integers(1, 40))) for _ in range(4000)]
     texts += ["".join(rng.choice(["don't", "DON'T", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "A", "b", ".", "'", " ", "...", "9"], rng.integers(1, 9))) for _ in range(4000)]
     tokenizer = packing._tokenizer(packing.VOCABULARY)[0]
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += [" leading and trailing \t", "\x0b\x0c\r\n"]
+    assert [x.tolist() for x in packing.encode(pa.array(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.encode(pa.array([None, "a", None]).slice(1))] == [tokenizer.encode("a").ids, []]
 
 
 def test_mixing(spark, docs, odd, none):
@@ -357,6 +377,51 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() >= odd.count() and mixing.mixed(none).count() == 0
 
 
+def brute_mixing(rows):
+    """(source, doc_id, pass) of the mixture, by plain loops: quotas from the weights, rows in the order of their hash until the quota is met."""
+    size = Counter()
+    for _, source, n in rows:
+        size[source] += n
+    total, limit = sum(size.values()), mixing.MAX_PASSES
+
+    def most(a):
+        w = {s: (n / total) ** a for s, n in size.items()}
+        z = sum(w.values())
+        budget = max(n * z / w[s] for s, n in size.items())
+        return {s: max(1.0, w[s] / z * budget / n) for s, n in size.items()}
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if max(most(mid).values()) <= limit else (mid, high)
+    return most(high), size
+
+
+def test_mixing_quotas(spark):
+    rows = [(i, "abcde"[min(4, i // 400)], " ".join(["x"] * (i % 7 + 1))) for i in range(1700)]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).select("_bt_row.doc_id", "_bt_row.source", "_bt_pass", "_bt_block", "_bt_key", "_bt_tokens").toPandas()
+    want, size = brute_mixing([(i, s, i % 7 + 1) for i, s, _ in rows])
+    for s, p in want.items():
+        mine = made[made.source == s]
+        quota = p * size[s]
+        got = mine._bt_tokens.sum()
+        assert quota - 1 <= got <= quota + 7, (s, quota, got)  # the row that reaches the quota is the last one
+        last = mine[mine._bt_pass == 1].sort_values(["_bt_block", "_bt_key"])
+        once = mine[mine._bt_pass == 0]
+        assert len(once) == sum(r[1] == s for r in rows) and set(last.doc_id) <= set(once.doc_id)
+        assert not len(last) or last._bt_tokens.iloc[:-1].sum() < quota - size[s] + 1
+
+
+def test_mixing_stops_at_the_end_of_a_block(spark, monkeypatch):
+    """One-token rows, one to a block: the quota ends where a block does, and no source gets a pass too many."""
+    monkeypatch.setattr(mixing, "MIN_BITS", 40)
+    rows = [(i, "a" if i < 600 else "b" if i < 700 else "c", "x") for i in range(730)]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).select("_bt_row.source", "_bt_tokens").toPandas()
+    want, size = brute_mixing([(i, s, 1) for i, s, _ in rows])
+    got = made.groupby("source")._bt_tokens.sum()
+    assert {s: round(p * size[s]) for s, p in want.items()} == got.to_dict()
+
+
 def test_topk_odd(spark):
     rows = [(0, [0.5, 0.5]), (50, [0.5, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (None, [1.0, 1.0]), (5, [1.0]), (6, [1e30, -1e30]), (7, [])]
     vectors = topk_search.whole(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id <> 6")
@@ -365,6 +430,43 @@ def test_topk_odd(spark):
     assert topk_search.top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_topk_of_wide_numbers(spark):
+    rows = [(0, [1e30, -1e30]), (1, [1e30, 1.0]), (2, [1.0, 0.0]), (3, [-1e30, 2.0]), (4, [1e30, 1.5]), (50, [0.25, 0.5])]
+    vectors = topk_search.whole(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r["query_id"], r["vec_id"]) for r in topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 3).orderBy("query_id", "rank").collect()]
+    exact = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = {q: sorted((d for d in exact if d != q), key=lambda d: (-min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(exact[q], exact[d])))), d))[:3] for q in (0, 50)}
+    assert got == [(q, d) for q in (0, 50) for d in want[q]]
+
+
+def test_topk_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "RANGE", 300)
+    monkeypatch.setattr(topk_search, "CHUNK", 20)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 8))
+    rows = [(int(i), [float(x) for x in centres[i // 100] + 0.1 * rng.normal(size=8)]) for i in range(2000)]
+    vectors = topk_search.whole(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()}
+    m = np.floor(256 * np.array([v for _, v in rows]))
+    for q in range(0, 2000, 50):
+        s = m @ m[q]
+        s[q] = -np.inf
+        for rank, d in enumerate(np.lexsort((np.arange(2000), -s))[:5]):
+            assert got[q, rank + 1] == (d, int(s[d]))
+
+
+def test_topk_floor_prunes_blocks():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 8))
+    docs = np.floor(256 * (np.repeat(centres, 300, axis=0) + 0.05 * rng.normal(size=(6000, 8))))
+    ids, qs = np.arange(6000), docs[::600]
+    open_, floored = [], []
+    q, _, s = topk_search.search(ids, docs, ids[::600], qs, 5, None, open_)
+    kth = np.array([s[q == i][-1] for i in range(len(qs))], object)
+    again = topk_search.search(ids, docs, ids[::600], qs, 5, kth, floored)
+    assert (again[2] == s).all() and sum(floored) <= sum(open_) < 0.5 * len(qs) * (6000 / topk_search.BLOCK)
+
+
 def test_topk_blocks():
     rng = np.random.default_rng(1)
     docs, qs = rng.integers(-20, 20, (3000, 8)).astype(float), rng.integers(-20, 20, (40, 8)).astype(float)
