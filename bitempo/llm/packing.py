@@ -19,6 +19,8 @@ stays null. Further columns are ignored.
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,58 +38,118 @@ from .common import table, written
 CAPACITY = 2048
 END = 0
 #: Steps of the program, how fast its prices move, and how full a column is that is rounded, of the fullest.
-STEPS, ETA, NEARLY = 16, 8.0, 0.998
+STEPS, ETA, NEARLY = 8, 8.0, 0.998
 #: What counts as nothing when covers are compared.
 EDGE = 1e-9
 #: Pieces of one length that one task ranks, about.
-RANKED = 50_000
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 1_200_000
+RANKED = 2_000
+#: Bytes of text that are encoded at once, about.
+BATCH_BYTES = 24_000_000
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
+    """The tokenizer, its model alone (parting at spaces), and which ids end a word."""
     if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole = Tokenizer.from_file(path)
+        bare = Tokenizer(whole.model)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = whole.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _TOKENIZERS[path] = whole, bare, ends
     return _TOKENIZERS[path]
 
 
 #: A sign that is one token by itself; words that hold it are encoded alone.
 PART = "\x01"
+SIGNS = string.punctuation.encode()
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _bytes_of(ids: list[int]) -> tuple[np.ndarray, bytes]:
+    found = np.array(ids, "<u4")
+    return found, found.tobytes()
+
+
+def _plain_ids(bare, ends: np.ndarray, parts: list[bytes]) -> list[bytes]:
+    """The ids of parts that are one unit for the model: lower-case letters, or signs. The model alone sees them, many at a time."""
+    out: list[bytes] = []
+    for at in range(0, len(parts), 2000):
+        some = parts[at : at + 2000]
+        ids, raw = _bytes_of(bare.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids)
+        cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        assert len(cuts) == len(some), "a part is more than one unit"
+        out += [raw[s:e] for s, e in zip([0, *cuts], cuts)]
+    return out
 
 
 def _ids(tokenizer, words: list[bytes]) -> list[bytes]:
-    """The ids of each word. Many go as one text with PART between them, which costs less than a text each."""
+    """The ids of any words. Many go as one text with PART between them, which costs less than a text each."""
     out: list[bytes] = []
     mark = tokenizer.encode(PART, add_special_tokens=False).ids
     for at in range(0, len(words), 2000):
         part = [w.decode() for w in words[at : at + 2000]]
         joined = [w for w in part if PART not in w]
-        ids = np.array(tokenizer.encode_batch_fast([f" {PART} ".join(["", *joined])], add_special_tokens=False)[0].ids, "<u4")
+        ids, raw = _bytes_of(tokenizer.encode_batch_fast([f" {PART} ".join(["", *joined])], add_special_tokens=False)[0].ids)
         starts = np.flatnonzero(ids == mark[-1])
         assert len(mark) == 1 and len(starts) == len(joined), "the sign between words is no token of its own"
-        raw, starts = ids.tobytes(), (starts * 4).tolist()
+        starts = (starts * 4).tolist()
         found = iter([raw[s + 4 : e] for s, e in zip(starts, [*starts[1:], len(raw)])])
         out += [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() if PART in w else next(found) for w in part]
     return out
 
 
-def encode(texts: list[bytes], path: str = VOCABULARY) -> list[bytes]:
-    """The ids of each UTF-8 text, as little-endian unsigned 32-bit numbers. ASCII white space parts tokens in this vocabulary, so words are encoded once."""
-    tokenizer, known = _tokenizer(path)
-    split = [t.split() for t in texts]
-    new = {w for ws in split for w in ws if w not in known}
-    if len(known) + len(new) > KEPT_WORDS:
-        known.clear()
-        new = {w for ws in split for w in ws}
-    bare = list(new)
-    known.update(zip(bare, _ids(tokenizer, bare)))
-    get = known.__getitem__
-    return [b"".join(map(get, ws)) for ws in split]
+def _of_words(words: list[bytes], path: str) -> list[bytes]:
+    """The ids of distinct words.
+
+    The vocabulary ignores case and parts letters from signs: a word of Latin letters,
+    with or without signs after it, is its letters and its signs, which are encoded once.
+    """
+    tokenizer, bare, ends = _tokenizer(path)
+    out: list[bytes] = [b""] * len(words)
+    plain: list[tuple] = []
+    other, latin, letters, signs = [], LATIN.fullmatch, {}, {b"": 0}
+    for i, w in enumerate(words):
+        core = w.rstrip(SIGNS)
+        if core.isalpha():
+            low = core.lower()
+        elif not core.isascii() and latin(said := core.decode()):
+            low = said.lower().encode()
+        else:
+            low = b""
+        if low and b"<|" not in w:  # with it, perhaps a special token
+            plain.append((i, letters.setdefault(low, len(letters)), signs.setdefault(w[len(core) :], len(signs))))
+        elif w:
+            other.append(i)
+    of_letters = _plain_ids(bare, ends, list(letters))
+    of_signs = [b"", *_plain_ids(bare, ends, list(signs)[1:])]
+    for i, a, b in plain:
+        out[i] = of_letters[a] + of_signs[b]
+    for i, ids in zip(other, _ids(tokenizer, [words[i] for i in other])):
+        out[i] = ids
+    return out
+
+
+def encode(texts: pa.Array, path: str = VOCABULARY) -> Iterator[np.ndarray]:
+    """The ids of each text (null: none), as unsigned 32-bit numbers. ASCII white space parts tokens in this vocabulary, so each word of a batch is encoded once."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = split.flatten().dictionary_encode()
+    found = _of_words(coded.dictionary.cast(pa.large_binary()).to_pylist(), path)
+    flat = np.frombuffer(b"".join(found), "<u4")
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    starts = np.cumsum(lengths) - lengths
+    words, ends = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
+    ends = ends - ends[0]
+    for at, to in zip(ends[:-1], ends[1:]):
+        w = words[at:to]
+        n = lengths[w]
+        upto = np.cumsum(n)
+        yield flat[np.repeat(starts[w] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 def token_pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -99,21 +162,25 @@ def token_pieces(docs: DataFrame, path: str = VOCABULARY, capacity: int = CAPACI
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        end = np.array([END], "<u4").tobytes()
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 512):
-                batch = whole_batch.slice(at, 512)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole_batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < whole_batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+                batch = whole_batch.slice(at, to - at)
+                at = to
                 out: list[list] = [[] for _ in names]
-                for doc, ids in zip(batch.column(0).to_pylist(), encode([t or b"" for t in batch.column(1).to_pylist()], path)):
-                    ids += end
-                    for piece, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[s : s + 4 * capacity]
-                        row = [doc, piece, s // 4, len(cut) // 4, zlib.crc32(cut)]
-                        for c, v in zip(out, row + [np.frombuffer(cut, "<u4").astype(np.int64)] * with_ids):
+                for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1), path)):
+                    for piece, s in enumerate(range(0, len(ids) + 1, capacity)):
+                        cut = ids[s : s + capacity]
+                        if len(cut) < capacity:  # the last piece, with the end mark
+                            cut = np.append(cut, np.uint32(END))
+                        row = [doc, piece, s, len(cut), zlib.crc32(cut.astype("<u4").tobytes())]
+                        for c, v in zip(out, row + [cut.astype(np.int64)] * with_ids):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -272,7 +339,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read four times: let it be a written table."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most CAPACITY rows
-    buckets = 1 + max(histogram.values(), default=0) // RANKED
+    buckets = 64 + max(histogram.values(), default=0) // RANKED
     keyed = pieces.withColumn("_bt_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("length", "_bt_bucket").agg(F.count("*").alias("n"))
     plan = places(pack(histogram, capacity))
