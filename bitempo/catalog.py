@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import Duck, Spark
-from .plans import graphs, records, states, values  # noqa: F401 - they add their plans
+from .plans import audits, graphs, pages, records, states, validators, values  # noqa: F401 - they add their plans
 from .plans.queries import PLANS
 from .sources.adapters import run
 

@@ -170,8 +170,8 @@ def _sized(d) -> str:
 @operated(plan(Duck(), "hydro", _statements(Duck(), "chunked"), greedy_sql(_sized(Duck()), "day", "event_id", "n", STATEMENT_BYTES)))
 def tide_backfill_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one station and chosen days, packed into statements of bounded size, with a hash of each and the guard's verdict."""
-    greedy_chunks(_rows(spark, sf_dir, "hydro", _sized(Spark())), "day", "event_id", "n", STATEMENT_BYTES).createOrReplaceTempView("bitempo_statements")
-    return spark.sql(_statements(Spark(), "bitempo_statements"))
+    dealt = greedy_chunks(_rows(spark, sf_dir, "hydro", _sized(Spark())), "day", "event_id", "n", STATEMENT_BYTES)
+    return spark.sql(_statements(Spark(), "{dealt}"), dealt=dealt)
 
 
 _STORED = "SELECT report_id, facility, day, CASE WHEN report_id % 6 = 0 AND report_id % 4 > 0 THEN visitors + 1 ELSE visitors END AS visitors FROM reports WHERE day < 1200"

@@ -25,11 +25,6 @@ def haversine(a: str, b: str, c: str, e: str, radius: float) -> str:
 # -- scans and parsers
 
 
-@query
-def scan_table(d):
-    return plan(d, "hydro", f"SELECT station, metric, h, vintage, {round_js('value', 6)} AS value FROM hydro WHERE station = 2 AND metric = 'click' AND h BETWEEN 24 AND 480 ORDER BY h, event_id LIMIT 500").replace("ORDER BY h, event_id", "ORDER BY h, vintage, value")
-
-
 @query
 def scan_env_history(d):
     return plan(d, "snapshots", f"SELECT event_id, node, source, h, coalesce(collected, h) AS known, {round_js('value', 6)} AS value FROM snapshots WHERE node = 3 AND h BETWEEN 10 AND 600 AND coalesce(collected, h) BETWEEN 24 AND 500")
@@ -40,16 +35,6 @@ def scan_env_current(d):
     return plan(d, "snapshots", f"SELECT node, source, h, collected, {round_js('value', 6)} AS value FROM (SELECT *, row_number() OVER (PARTITION BY node, source ORDER BY h DESC, collected DESC, event_id DESC) AS rn FROM snapshots) AS x WHERE rn = 1")
 
 
-@query
-def hydrate_json_row(d):
-    return f"SELECT event_id, user_id, {d.json('props', 'k')} AS k, coalesce({d.json('props', 'missing')}, event_id) AS filled FROM events WHERE {d.json('props', 'k')} IS NOT NULL"
-
-
-@query
-def parse_html_rows(d):
-    return f"SELECT page_id, {d.size(d.found('html', '<a [^>]*>'))} AS n_links, {d.size(d.found('html', '<p[^>]*>'))} AS n_paragraphs FROM pages".replace("'<a [^>]*>', 1", "'<a [^>]*>', 0").replace("'<p[^>]*>', 1", "'<p[^>]*>', 0")
-
-
 @query
 def html_to_text(d):
     bare = d.replace(d.replace("html", "<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>", " "), "<[^>]*>", " ")
@@ -58,27 +43,6 @@ def html_to_text(d):
     return f"SELECT page_id, trim({d.replace(bare, '[ \\t\\r\\n]+', ' ')}) AS text FROM pages"
 
 
-@query
-def parse_listing_page(d):
-    return f"SELECT page_id, url, {d.join(d.found('html', 'href=\"([^\"]*)\"'), ' ')} AS links FROM pages"
-
-
-@query
-def url_normalize(d):
-    return f"SELECT page_id, CASE WHEN {d.like('url', '^https://[a-z0-9.-]+/')} THEN {d.replace('url', '#.*$', '')} END AS url, {d.like('url', '^https://')} AS is_https FROM pages"
-
-
-@query
-def parse_visitor_count(d):
-    inner = d.at(d.found("text", "([0-9][0-9,]*)"), "0")
-    return f"SELECT doc_id, {d.int_or_null(f'''replace(CASE WHEN length({inner}) < 16 THEN {inner} END, ',', '')''')} AS visitors FROM documents"
-
-
-@query
-def discover_months(d):
-    return f"SELECT DISTINCT {d.month(d.days('o_orderdate'))} AS month FROM orders"
-
-
 @query
 def activity_preview(d):
     km = round_js("l_extendedprice / 1000", 2)
@@ -87,21 +51,11 @@ def activity_preview(d):
       concat({d.text(d.days('l_shipdate'))}, '|', {d.text(f'CAST(floor({km} * 10 + 0.5) AS BIGINT)')}) AS duplicate_key FROM lineitem"""
 
 
-@query
-def page_query(d):
-    return "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 100 OFFSET 200"
-
-
 @query
 def classify_finality(d):
     return plan(d, "reports", "SELECT report_id, CASE WHEN NOT operating THEN 'closed' WHEN collected <= day THEN 'interim' WHEN collected - day > 1 AND complete THEN 'final' ELSE 'unknown' END AS finality FROM reports")
 
 
-@query
-def unpivot_indexed_columns(d):
-    return "SELECT s_suppkey, 1 AS i, s_name AS name FROM supplier UNION ALL SELECT s_suppkey, 2, CAST(s_nationkey AS " + ("STRING" if d.name == "spark" else "VARCHAR") + ") FROM supplier WHERE s_nationkey > 0"
-
-
 @query
 def alias_to_group(d):
     return """SELECT p_partkey, min(g) AS group_no FROM part JOIN (SELECT 1 AS g, 'brand#1' AS alias UNION ALL SELECT 2, 'brand#' UNION ALL SELECT 3, 'brand#2') a
@@ -131,27 +85,11 @@ def insert_where_not_exists(d):
     return plan(d, "reports", "SELECT report_id FROM reports n WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM reports WHERE day % 2 = 0) s WHERE s.report_id = n.report_id AND s.visitors IS NOT DISTINCT FROM n.visitors)")
 
 
-@query
-def content_address(d):
-    row = f"concat('{{\"customer\":', {d.text('o_custkey')}, ',\"order\":', {d.text('o_orderkey')}, ',\"status\":\"', o_orderstatus, '\"}}')"
-    return f"SELECT o_orderkey, concat('snapshot-sha256:', {d.sha(row)}) AS id, substr({d.sha(row)}, 1, 24) AS short_id FROM orders"
-
-
-@query
-def integrity_read(d):
-    return f"SELECT doc_id, {d.sha('text')} = {d.sha('''concat(text, CASE WHEN doc_id % 100 = 7 THEN '!' ELSE '' END)''')} AS intact FROM documents"
-
-
 @query
 def anonymize_reporter(d):
     return f"SELECT c_custkey, concat('public-reporter-sha256:', substr({d.sha('''concat('salt|', c_name)''')}, 1, 24)) AS reporter FROM customer"
 
 
-@query
-def backfill_plan(d):
-    return plan(d, "latest", f"SELECT facility, {d.month('day')} AS month, count(*) AS rows_in_month, min(collected) AS first_known, max(collected) AS last_known, {d.sha(d.join(d.each(d.collect('report_id'), 'x', d.text('x')), ','))} AS lineage FROM latest GROUP BY facility, {d.month('day')}")
-
-
 @query
 def migration_backfill(d):
     return "SELECT o.o_orderkey, coalesce(c.c_nationkey, o.o_custkey % 25, 0) AS node FROM orders o LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0) c ON c.c_custkey = o.o_custkey"
@@ -166,11 +104,6 @@ def backup_checksum(d):
     return f"SELECT c_custkey, {d.bytes('name')} AS bytes, CAST({total} AS BIGINT) AS checksum FROM (SELECT c_custkey, c_name AS name FROM customer) AS x"
 
 
-@query
-def kv_load_validate_quarantine(d):
-    return f"SELECT event_id, CASE WHEN {d.json('props', 'k')} IS NULL THEN 'corrupt' WHEN {d.json('props', 'k')} < 10 THEN 'rejected' ELSE 'good' END AS outcome FROM events"
-
-
 # -- scalar families
 
 
@@ -250,26 +183,6 @@ def normalize_digits(d):
     return "SELECT doc_id, length(translate(text, '０１２３４５６７８９', '0123456789')) AS n, translate(substr(lang, 1, 8), 'ed', 'ED') AS lang FROM documents"
 
 
-@query
-def published_value(d):
-    return f"SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL ELSE {round_js('p_retailprice', 2)} END AS value, CASE WHEN p_size % 9 = 0 THEN 'suspended' WHEN p_name = '' THEN 'blank' END AS reason FROM part"
-
-
-@query
-def valid_intensity(d):
-    return plan(d, "rates", "SELECT report_id, species, valid FROM rates")
-
-
-@query
-def missing_fields(d):
-    return f"SELECT o_orderkey, CAST(miss AS BIGINT) AS n_missing, {round_js('miss / 3e0', 6)} AS missing_rate FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN o_totalprice IS NULL THEN 1 ELSE 0 END + CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS miss FROM orders) AS x"
-
-
-@query
-def invalid_vs_missing(d):
-    return "SELECT user_id, count(*) - count(value) AS missing, " + d.count_if("value < 5") + " AS invalid FROM events GROUP BY user_id"
-
-
 # -- joins
 
 
@@ -278,21 +191,6 @@ def join_reports_species(d):
     return plan(d, "reports caught", f"SELECT r.report_id, facility, day, species, {round_js('catch', 2)} AS catch FROM reports r JOIN caught c ON c.report_id = r.report_id")
 
 
-@query
-def join_snapshot_node(d):
-    return plan(d, "snapshots nodes", "SELECT coalesce(n.node, s.node) AS node, count(s.event_id) AS snapshots, n.node IS NULL AS unmatched FROM snapshots s FULL JOIN (SELECT * FROM nodes WHERE node % 4 <> 1) n ON n.node = s.node GROUP BY coalesce(n.node, s.node), n.node IS NULL")
-
-
-@query
-def join_quality_by_key(d):
-    return plan(d, "snapshots", "SELECT a.event_id, count(*) AS matches FROM snapshots a JOIN snapshots b ON a.node = b.node AND a.source = b.source AND a.h = b.h AND a.collected = b.collected GROUP BY a.event_id")
-
-
-@query
-def join_mapping_validity(d):
-    return plan(d, "hydro mappings", "SELECT m.node, m.station, count(*) AS n FROM hydro o JOIN mappings m ON m.station = o.station AND o.h >= m.valid_from AND (m.valid_to IS NULL OR o.h < m.valid_to) GROUP BY m.node, m.station")
-
-
 @query
 def unmapped_stations(d):
     return plan(d, "hydro mappings", "SELECT station, count(*) AS n FROM hydro o WHERE NOT EXISTS (SELECT 1 FROM mappings m WHERE m.station = o.station AND o.h >= m.valid_from AND (m.valid_to IS NULL OR o.h < m.valid_to)) GROUP BY station")
@@ -332,42 +230,17 @@ def _window(d, h: int, by: str) -> str:
       FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY h, collected, event_id) AS first, row_number() OVER (PARTITION BY {by} ORDER BY h DESC, collected DESC, event_id DESC) AS last FROM snapshots WHERE h BETWEEN {T - h} AND {T} AND collected <= {T + 8}) AS w GROUP BY {by}"""
 
 
-@query
-def window_stats(d):
-    return plan(d, "snapshots", " UNION ALL ".join(_window(d, h, "node, source") for h in (3, 6, 12, 24)))
-
-
-@query
-def window_stats_provider_policy(d):
-    return plan(d, "snapshots", f"SELECT node, CASE WHEN count(DISTINCT source) > 1 THEN 0 ELSE count(*) END AS samples, CASE WHEN count(DISTINCT source) > 1 THEN NULL ELSE {round_js('avg(value)')} END AS mean, CASE WHEN count(DISTINCT source) > 1 THEN 'multiple-providers-no-aggregation-policy' END AS reason FROM snapshots WHERE h BETWEEN {T - 6} AND {T} GROUP BY node")
-
-
 @query
 def accumulated_rain(d):
     cols = ", ".join(f"{round_js(f'sum(CASE WHEN s.h > m.top - {h} THEN value ELSE 0 END)', 4)} AS rain_{h}h" for h in (3, 6, 12, 24, 48, 72))
     return plan(d, "snapshots", f"SELECT s.node, {cols} FROM snapshots s JOIN (SELECT node, max(h) AS top FROM snapshots GROUP BY node) m ON m.node = s.node GROUP BY s.node")
 
 
-@query
-def quality_summary(d):
-    return plan(d, "snapshots", f"SELECT node, source, count(*) AS n, {d.count_if(f'collected < {K} - 24')} AS stale, max(collected) AS last_known, {round_js('avg(CASE WHEN value < 10 THEN 1e0 ELSE 0 END)', 4)} AS low_rate FROM snapshots WHERE collected <= {K} GROUP BY node, source")
-
-
-@query
-def env_quality(d):
-    return plan(d, "snapshots", f"SELECT event_id, {round_js(clamp(f'0.9e0 * (1 - (event_id % 16) / 15e0) * (0.5e0 + exp(-greatest({K} - collected, 0) / 18e0) / 2)', '0', '1'))} AS confidence, exp(-greatest({K} - collected, 0) / 18e0) < 0.35 AS stale FROM snapshots")
-
-
 @query
 def current_audit(d):
     return plan(d, "snapshots", "SELECT count(DISTINCT node) AS nodes, count(DISTINCT source) AS providers, count(*) - count(value) AS null_values, count(*) AS n FROM snapshots")
 
 
-@query
-def run_audit_sql(d):
-    return plan(d, "snapshots", f"SELECT source, count(DISTINCT node) AS nodes, count(CASE WHEN value < 10 THEN 1 END) AS failed, max(collected) AS last, {d.collect_set(d.text('node'))} AS node_list FROM snapshots GROUP BY source")
-
-
 @query
 def failed_runs_since(d):
     return plan(d, "snapshots", "SELECT source, count(*) AS failed FROM snapshots WHERE value < 10 AND collected >= 240 GROUP BY source")
@@ -379,53 +252,17 @@ def distance_summary(d):
     return plan(d, "edges", f"SELECT src % 3 AS provider, count(*) AS n, {round_js(f'avg({km})', 3)} AS mean_km, {round_js(f'max({km})', 3)} AS max_km FROM edges GROUP BY src % 3")
 
 
-@query
-def facility_species_profile(d):
-    q = ", ".join(f"{round_js(d.pct('rate', p), 4)} AS p{int(p * 100)}, {round_js(d.pct('ln(1 + rate)', p), 4)} AS log_p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.95))
-    return plan(d, "rates", f"SELECT facility, species, count(*) AS n, {d.count_if('valid')} AS n_valid, {d.count_if('operating')} AS n_operating, {d.count_if('rate > 0')} AS n_positive, {q} FROM rates GROUP BY facility, species")
-
-
 @query
 def visitor_profile(d):
     q = ", ".join(f"{round_js(d.pct('visitors', p), 4)} AS p{int(p * 100)}" for p in (0.1, 0.25, 0.33, 0.5, 0.67, 0.75, 0.9))
     return plan(d, "latest", f"SELECT facility, count(*) AS n, count(*) - count(visitors) AS null_days, {q} FROM latest GROUP BY facility")
 
 
-@query
-def data_quality_profile(d):
-    return plan(d, "obs", f"SELECT {d.count_if('catch < 0')} AS negative, {d.count_if('visitors = 0')} AS zero_visitors, {d.count_if('collected < day')} AS known_before, {d.count_if('NOT operating AND catch > 0')} AS closed_but_caught, count(*) - count(DISTINCT report_id * 8 + species) AS repeated, {d.count_if('catch < 0')} = 0 AS passed FROM obs")
-
-
-@query
-def seabass_bait_summary(d):
-    return plan(d, "rates", "SELECT facility, " + ", ".join(f"{round_js(d.pct(f'CASE WHEN species = {i} THEN rate END', 0.5), 4)} AS median_{i}" for i in range(8)) + f", {round_js(d.pct('rate', 0.9) + ' - ' + d.pct('rate', 0.1), 4)} AS spread FROM rates GROUP BY facility")
-
-
-@query
-def macro_signals(d):
-    return plan(d, "rates", f"SELECT facility, day, species, count(DISTINCT report_id) AS posts, {d.count_if('catch > 0')} AS positive, sum(catch) AS total, {round_js('count(catch) / CAST(count(*) AS DOUBLE)', 4)} AS coverage FROM rates GROUP BY facility, day, species")
-
-
 @query
 def trip_audit(d):
     return f"SELECT role, count(*) AS parsed, {d.count_if('''length(text) > 100''')} AS related, {d.count_if('''length(text) > 100 AND turn > 0''')} AS targeted, {round_js(d.count_if('''length(text) > 100''') + ' / CAST(count(*) AS DOUBLE)', 4)} AS related_rate, CASE WHEN {d.count_if('length(text) > 100')} / CAST(count(*) AS DOUBLE) >= 0.8 THEN 'strong' WHEN {d.count_if('length(text) > 100')} / CAST(count(*) AS DOUBLE) >= 0.4 THEN 'moderate' ELSE 'weak' END AS coverage FROM conversations GROUP BY role"
 
 
-@query
-def coastal_facility_audit(d):
-    return plan(d, "rates", f"SELECT facility, {d.month('day')} AS month, count(DISTINCT day) AS report_days, {round_js('avg(CASE WHEN catch > 0 THEN 1e0 ELSE 0 END)', 4)} AS positive_rate, {round_js(d.pct('catch', 0.5), 4)} AS median_catch, max(catch) AS max_catch FROM rates GROUP BY facility, {d.month('day')}")
-
-
-@query
-def duplicate_key_check(d):
-    return plan(d, "snapshots", "SELECT node, source, h, count(*) AS n FROM snapshots GROUP BY node, source, h HAVING count(*) > 1")
-
-
-@query
-def reconcile(d):
-    return plan(d, "reports caught", "SELECT 'reports' AS name, count(*) AS n FROM reports UNION ALL SELECT 'identities', count(DISTINCT facility * 100000 + day) FROM reports UNION ALL SELECT 'species rows', count(*) FROM caught UNION ALL SELECT 'no species', count(*) FROM reports r WHERE NOT EXISTS (SELECT 1 FROM caught c WHERE c.report_id = r.report_id)")
-
-
 @query
 def presence_rate(d):
     return plan(d, "rates", f"SELECT facility, species, {round_js('avg(CASE WHEN catch > 0 THEN 1e0 ELSE 0 END)', 6)} AS presence FROM rates WHERE operating AND complete GROUP BY facility, species")
@@ -464,21 +301,6 @@ def asof_prediction_snapshots(d):
     return plan(d, "snapshots", f"SELECT event_id, node, source, h, collected FROM (SELECT *, rank() OVER (PARTITION BY node, source, h ORDER BY collected DESC) AS rk FROM snapshots WHERE h <= {T} AND collected <= {K} AND (h <= {K} OR source = 'view')) AS x WHERE rk = 1")
 
 
-@query
-def prepare_snapshots(d):
-    return plan(d, "snapshots", f"SELECT node, source, h, collected, min(value) AS value, count(*) AS copies FROM snapshots WHERE collected <= {K} GROUP BY node, source, h, collected HAVING count(DISTINCT value) = 1")
-
-
-@query
-def latest_valid_value(d):
-    return plan(d, "snapshots", f"SELECT s.node, max(CASE WHEN rn = 1 THEN event_id END) AS event_id, max(CASE WHEN rn = 1 THEN h END) AS h FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY h DESC, collected DESC, source, event_id) AS rn FROM snapshots WHERE value >= 10 AND collected <= {K}) AS s GROUP BY s.node")
-
-
-@query
-def trailing_window_samples(d):
-    return plan(d, "snapshots", f"SELECT w.hours, s.node, s.source, count(*) AS n FROM snapshots s JOIN (SELECT 3 AS hours UNION ALL SELECT 6 UNION ALL SELECT 12 UNION ALL SELECT 24) w ON s.h BETWEEN {T} - w.hours AND {T} GROUP BY w.hours, s.node, s.source")
-
-
 @query
 def latest_vintage_per_node_provider(d):
     return plan(d, "snapshots", "SELECT node, source, max(coalesce(collected, h)) AS vintage FROM snapshots GROUP BY node, source")
@@ -499,11 +321,6 @@ def even_monthly_sample(d):
     return plan(d, "latest", f"SELECT report_id, m, rn FROM (SELECT report_id, {d.month('day')} AS m, row_number() OVER (PARTITION BY {d.month('day')} ORDER BY day, facility, report_id) AS rn FROM latest) AS x ORDER BY rn, m LIMIT 120")
 
 
-@query
-def nearest_day15(d):
-    return plan(d, "latest", f"SELECT m, report_id FROM (SELECT report_id, {d.month('day')} AS m, row_number() OVER (PARTITION BY {d.month('day')} ORDER BY abs(day % 30 - 15), day, facility, report_id) AS rn FROM latest) AS x WHERE rn = 1")
-
-
 @query
 def mark_duplicates(d):
     return plan(d, "reports", "SELECT report_id, count(*) OVER (PARTITION BY facility, day) > 1 AS is_duplicate FROM reports")
@@ -534,29 +351,9 @@ def neighbors(d):
 # -- rules
 
 
-@query
-def reliability_score(d):
-    return plan(d, "evidence", f"SELECT e.doc_id, {round_js(clamp('0.24e0 * (0.5e0 + (e.doc_id % 5) / 10e0) + 0.18e0 * exp(-(e.doc_id % 72) / 18e0) + 0.18e0 * 0.8e0 + 0.22e0 * greatest(0e0, 1 - 0.22e0 * s.n) + 0.18e0 * 0.5e0 - 0.15e0 * least(0.5e0, 0.18e0 * s.n)', '0', '1'), 6)} AS score FROM evidence e JOIN (SELECT source, species, count(*) - 1 AS n FROM evidence GROUP BY source, species) s ON s.source = e.source AND s.species = e.species")
-
-
-@query
-def prepare_mappings(d):
-    return plan(d, "mappings", f"SELECT station, node, valid_from, count(*) OVER (PARTITION BY station) AS per_station, CASE WHEN valid_to IS NOT NULL AND valid_to <= {T} THEN 'expired' WHEN valid_from > {T} THEN 'future' ELSE 'active' END AS state FROM mappings")
-
-
 # -- validators and conversion
 
 
-@query
-def validate_hydro_observation(d):
-    return plan(d, "hydro", "SELECT event_id, concat_ws(',', CASE WHEN collected < h THEN 'known-before-observed' END, CASE WHEN value IS NULL THEN 'missing-value' END, CASE WHEN metric NOT IN ('click', 'view', 'purchase') THEN 'unknown-metric' END) AS errors FROM hydro")
-
-
-@query
-def validate_fixed_node_report(d):
-    return plan(d, "obs", "SELECT report_id, species, concat_ws(',', CASE WHEN NOT complete AND catch = 0 THEN 'zero-without-complete' END, CASE WHEN NOT operating AND catch > 0 THEN 'closed-with-catch' END, CASE WHEN visitors IS NULL THEN 'no-visitors' END) AS errors FROM obs")
-
-
 @query
 def validate_conversation(d):
     return "SELECT conv_id, turn, concat_ws(',', CASE WHEN role NOT IN ('user', 'assistant', 'system') THEN 'role' END, CASE WHEN text = '' THEN 'empty' END, CASE WHEN turn > 0 AND role = 'system' THEN 'late-system' END) AS errors FROM conversations"
@@ -598,12 +395,6 @@ def parse_fixed_width(d):
     return plan(d, "reports", f"SELECT report_id, length(line) AS width, substring(line, 79, 2) AS station, {d.int_or_null('substring(line, 73, 2)')} AS yy, {d.int_or_null('substring(line, 75, 2)')} AS mm, {d.int_or_null('substring(line, 77, 2)')} AS dd, {hours} AS levels, {d.join(d.each(d.upto(8), 'i', told), ',')} AS extrema FROM ({_lines(d)}) AS l")
 
 
-@query
-def fixed_width_to_obs(d):
-    kept = f"SELECT substring(line, 73, 8) AS k, min(line) AS line, count(*) - 1 AS repeats FROM ({_lines(d)}) AS l GROUP BY substring(line, 73, 8) HAVING count(DISTINCT line) = 1"
-    return plan(d, "reports", f"SELECT substring(k, 7, 2) AS station, substring(k, 1, 6) AS ymd, hour, {_level(d, 'hour')} AS level, repeats FROM ({kept}) AS x {d.explode(d.upto(24), 'hour')}")
-
-
 @query
 def fixed_width_conflicts(d):
     return plan(d, "reports", f"SELECT substring(line, 73, 8) AS k, count(*) AS lines, count(DISTINCT line) AS texts FROM ({_lines(d)}) AS l GROUP BY substring(line, 73, 8) HAVING count(DISTINCT line) > 1")
@@ -614,12 +405,6 @@ def slice_by_month(d):
     return plan(d, "reports", f"SELECT substring(line, 79, 2) AS station, substring(line, 73, 4) AS yymm, count(DISTINCT substring(line, 77, 2)) AS days, count(DISTINCT substring(line, 77, 2)) = 28 AS whole FROM ({_lines(d)}) AS l GROUP BY substring(line, 79, 2), substring(line, 73, 4)")
 
 
-@query
-def station_mappings_build(d):
-    km = round_js(haversine("a.lat", "a.lon", "b.lat", "b.lon", RADIUS_KM["graph"]), 3)
-    return plan(d, "nodes mappings", f"SELECT m.station, m.node, {km} AS km FROM mappings m JOIN nodes a ON a.node = m.station JOIN nodes b ON b.node = m.node WHERE (SELECT count(*) FROM mappings x LEFT JOIN nodes n ON n.node = x.node WHERE n.node IS NULL) = 0")
-
-
 # -- further rules and validators
 
 
@@ -633,16 +418,3 @@ def wind_facing(d):
     return "SELECT event_id, CASE WHEN diff <= 30 THEN 'near' WHEN diff >= 150 THEN 'opposite' ELSE 'cross' END AS facing FROM (SELECT event_id, least(abs(a - b), 360 - abs(a - b)) AS diff FROM (SELECT event_id, event_id * 7 % 360 AS a, user_id * 11 % 360 AS b FROM events) AS x) AS y"
 
 
-@query
-def validate_mapping(d):
-    return plan(d, "nodes mappings", "SELECT m.station, m.node, m.valid_from, concat_ws(',', CASE WHEN n.node IS NULL THEN 'unknown-node' END, CASE WHEN m.valid_to <= m.valid_from THEN 'empty-interval' END, CASE WHEN m.valid_from < 0 THEN 'before-start' END) AS errors FROM mappings m LEFT JOIN nodes n ON n.node = m.node")
-
-
-@query
-def validate_station(d):
-    return "SELECT s_suppkey, concat_ws(',', CASE WHEN s_name IS NULL OR trim(s_name) = '' THEN 'name' END, CASE WHEN s_nationkey NOT BETWEEN 0 AND 24 THEN 'nation' END, CASE WHEN count(*) OVER (PARTITION BY s_name) > 1 THEN 'duplicate-name' END, CASE WHEN count(*) OVER (PARTITION BY s_suppkey) > 1 THEN 'duplicate-id' END) AS errors FROM supplier"
-
-
-@query
-def validate_evidence(d):
-    return plan(d, "evidence", f"SELECT doc_id, concat_ws(',', CASE WHEN lat NOT BETWEEN -90 AND 90 OR lon NOT BETWEEN -180 AND 180 THEN 'coordinates' END, CASE WHEN text IS NULL OR trim(text) = '' THEN 'no-text' END, CASE WHEN {d.size('tokens')} = 0 THEN 'no-words' END, CASE WHEN source IS NULL THEN 'no-source' END) AS errors FROM evidence")

@@ -124,72 +124,18 @@ def _windows(d) -> str:
     return "SELECT node, source, count(*) AS n, count(*) - count(value) - CASE WHEN node % 5 = 0 THEN 1 ELSE 0 END AS invalid, min(collected) + CASE WHEN node % 4 = 0 THEN 2000 ELSE 0 END AS first_collected, max(collected) AS last_collected, avg(value) AS mean, max(value) - min(value) AS change FROM snapshots GROUP BY node, source"
 
 
-@query
-def validate_window(d):
-    rules = _errors(sample_count="n < 0", invalid_count="invalid < 0", range_reversed="first_collected > last_collected", mean="mean IS NOT NULL AND NOT abs(mean) < 1e300")
-    return plan(d, "snapshots", f"SELECT node, source, {rules} AS errors, CASE WHEN n < 2 AND change IS NOT NULL THEN 'trend-of-few' ELSE '' END AS warnings FROM ({_windows(d)}) AS w")
-
-
-@query
-def validate_node_features(d):
-    broken = _errors(node="node NOT BETWEEN 0 AND 10", source="source IS NULL OR trim(source) = ''", window="invalid < 0 OR first_collected > last_collected")
-    return plan(d, "snapshots", f"SELECT node, count(*) AS n_windows, {d.count_if('errors <> ' + repr(''))} AS n_broken, {d.collect_set('errors')} AS errors FROM (SELECT node, {broken} AS errors FROM ({_windows(d)}) AS w) AS e GROUP BY node")
-
-
 # -- definitions
 
 
-@query
-def validate_provider(d):
-    made = "SELECT s_suppkey, trim(substring(s_name, 1, CAST(s_suppkey % 20 AS INT))) AS authority, CASE s_suppkey % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'licensed' WHEN 2 THEN 'registry' ELSE 'rumour' END AS kind, CASE s_suppkey % 5 WHEN 0 THEN 'manual-file' WHEN 1 THEN 'documented-download' WHEN 2 THEN 'licensed-distribution' WHEN 3 THEN 'registry-only' ELSE 'scrape' END AS access, CASE WHEN s_suppkey % 6 = 0 THEN 'implemented' ELSE 'parser-implemented' END AS status, s_suppkey % 3 = 0 AS automated FROM supplier"
-    rules = _errors(authority="authority = ''", source_kind="kind NOT IN ('official', 'licensed', 'registry')", access_mode="access NOT IN ('manual-file', 'documented-download', 'licensed-distribution', 'registry-only')", registry_only="access = 'registry-only' AND automated", not_implemented="status <> 'implemented' AND automated")
-    return f"SELECT s_suppkey, {rules} AS errors FROM ({made}) AS p"
-
-
-@query
-def validate_datum(d):
-    made = "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'tp' WHEN 1 THEN 'cd' WHEN 2 THEN 'unknown' END AS kind, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS offset_m, s_suppkey % 7 = 0 AS required, CASE WHEN s_suppkey % 11 > 0 THEN s_name ELSE ' ' END AS description FROM supplier"
-    rules = _errors(required="kind IS NULL AND required", description="kind IS NOT NULL AND trim(description) = ''", unknown_offset="kind = 'unknown' AND offset_m IS NOT NULL", tp_offset="kind = 'tp' AND offset_m <> 0")
-    return f"SELECT s_suppkey, {rules} AS errors, CASE WHEN kind = 'unknown' THEN 'not-comparable' ELSE '' END AS warnings FROM ({made}) AS v"
-
-
-@query
-def validate_run_log(d):
-    rules = _errors(distance="value IS NULL OR value <= 0", seconds="user_id % 40 = 0", kind="event_type NOT IN ('click', 'view', 'purchase')", pace="value * 60 < user_id")
-    return f"SELECT event_id, {rules} AS errors FROM events"
-
-
-@query
-def validate_catch_log(d):
-    rules = _errors(quantity="l_quantity < 2", size="l_extendedprice < 1000", date="l_shipdate IS NULL", species="l_partkey % 8 = 7")
-    return f"SELECT l_orderkey, l_linenumber, {rules} AS errors FROM lineitem"
-
-
 @query
 def read_only_sql_guard(d):
     made = "SELECT o_orderkey, concat(CASE o_orderkey % 5 WHEN 0 THEN ' select ' WHEN 1 THEN 'WITH x AS (SELECT 1) SELECT ' WHEN 2 THEN 'EXPLAIN ' WHEN 3 THEN 'SELECT 1; drop ' ELSE 'SELECT updated, ' END, o_orderstatus) AS q FROM orders"
     return f"SELECT o_orderkey, {d.like('q', '(?i)^[ ]*(SELECT|WITH)[ ]')} AND NOT {d.like('q', MUTATING)} AS allowed FROM ({made}) AS x"
 
 
-@query
-def diagnostic_attribution(d):
-    """Conflicting keys, told to the nodes that their station is mapped to at that hour."""
-    keys = "SELECT station, metric, h FROM hydro GROUP BY station, metric, h, collected HAVING count(DISTINCT value) > 1"
-    return plan(d, "hydro mappings", f"SELECT m.node, k.metric, count(*) AS n_conflicts, min(k.h) AS first_h FROM (SELECT DISTINCT station, metric, h FROM ({keys}) AS c) AS k JOIN mappings m ON m.station = k.station AND k.h >= m.valid_from AND (m.valid_to IS NULL OR k.h < m.valid_to) GROUP BY m.node, k.metric")
-
-
 # -- pages and trips
 
 
-@query
-def parse_area_page(d):
-    challenged = d.like("html", "(?i)enable javascript|checking your browser|captcha")
-    title = d.at(d.found("html", "<title>([^<]*)</title>"), "0")
-    posts = d.int_or_null(f"replace({d.at(d.found('html', '([0-9][0-9,]{0,14})'), '0')}, ',', '')")
-    shown = lambda x: f"CASE WHEN NOT {challenged} THEN {x} END"
-    return f"SELECT page_id, {d.at(d.found('url', '([0-9]+)'), '0')} AS area_id, CASE WHEN {challenged} THEN 'JS_CHALLENGE' ELSE 'PARSED' END AS status, {shown(f'trim({title})')} AS display_name, {shown(posts)} AS total_posts, {shown(d.size(d.found('html', 'href=[^ >]*page=([0-9]+)')))} AS n_pages FROM pages"
-
-
 def _captions(d) -> str:
     """A trip caption for each order, in the notation of the listings."""
     part = lambda k, x: f"CASE WHEN {k} THEN {x} ELSE '' END"

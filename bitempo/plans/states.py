@@ -539,16 +539,6 @@ def sql_check_trigger(d):
     return plan(d, "obs", f"SELECT report_id, species, errors, errors = '' AS stored FROM (SELECT report_id, species, {errors} AS errors FROM ({made}) AS m) AS e")
 
 
-@query
-def parse_detail_page(d):
-    """A page as one record: title, day, words of its body and whether a challenge stood in for it."""
-    challenge = d.like("html", "verify that you'?'?re not a robot|JavaScript is disabled|Enable JavaScript and then reload".replace("'?'?", "[^a-z]?"))
-    first = lambda r: d.at(d.found("html", r), "0")
-    shown = lambda x: f"CASE WHEN NOT {challenge} THEN {x} END"
-    bare = d.replace(d.replace("html", "<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>", " "), "<[^>]*>", " ")
-    return f"SELECT page_id, CASE WHEN {challenge} THEN 'JS_CHALLENGE' WHEN {first('<title>([^<]*)</title>')} IS NULL THEN 'NO_TITLE' ELSE 'PARSED' END AS status, {shown(f'trim({first("<title>([^<]*)</title>")})')} AS title, {shown(first('(20[0-9]{2}-[0-9]{2}-[0-9]{2})'))} AS day, {shown(d.size(d.words(bare)))} AS n_words FROM pages"
-
-
 # -- the graph of corridors and their segments
 
 

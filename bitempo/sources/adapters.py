@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Spark
@@ -9,10 +11,14 @@ from ..functions.dialect import Spark
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of the tables; plans made from them keep the paths they were made with."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+def located(sf_dir: str, sql: str) -> str:
+    """sql with each of TABLES that it names bound to its file under sf_dir: no view of the session is made, so plans over several folders do not meet."""
+    named = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    bound = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in named)
+    if not named:
+        return sql
+    head = re.match(r"WITH (RECURSIVE )?", sql)
+    return f"{head[0]}{bound},\n{sql[head.end():]}" if head else f"WITH {bound}\n{sql}"
 
 
 def views(d: Spark) -> dict[str, str]:
@@ -55,5 +61,4 @@ def plan(d: Spark, uses: str, body: str, recursive: str = "") -> str:
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    register(spark, sf_dir)
-    return spark.sql(sql)
+    return spark.sql(located(sf_dir, sql))

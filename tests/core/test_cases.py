@@ -31,7 +31,6 @@ SCHEMAS = {
 @pytest.fixture
 def rows_of(spark, monkeypatch):
     """Runs a plan over given rows (dicts; what they lack is null) in place of its views."""
-    adapters.register(spark, SF)
 
     def run(name, **tables):
         given = {}
@@ -43,7 +42,7 @@ def rows_of(spark, monkeypatch):
         own = adapters.views
         with monkeypatch.context() as m:
             m.setattr(adapters, "views", lambda d: own(d) | given)
-            return [r.asDict() for r in spark.sql(catalog.PLANS[name](Spark())).collect()]
+            return [r.asDict() for r in adapters.run(spark, SF, catalog.PLANS[name](Spark())).collect()]
 
     return run
 

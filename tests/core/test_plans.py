@@ -40,6 +40,16 @@ def test_plan(spark, oracle, name):
     assert rows([r.asDict() for r in got.collect()], columns) == rows([dict(zip(columns, r)) for r in cursor.fetchall()], columns)
 
 
+def test_ingest_by_partition(spark, tmp_path):
+    schema, key = "node int, day int, h int, value double", ["node", "day", "h"]
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for rows in ([(1, 1, 10, 1.0), (1, 1, 10, 2.0), (2, 2, 30, 3.0)], [(1, 1, 10, 9.0), (3, 3, 50, 4.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        for _ in range(2):
+            ingest(spark, src, schema, out, str(tmp_path / "cp"), key, part="day")
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("node", "day", "h", "value").collect()) == [(1, 1, 10, 1.0), (2, 2, 30, 3.0), (3, 3, 50, 4.0)]
+
+
 def test_replay_equals_batch(spark, tmp_path):
     log = spark.createDataFrame([(1, 10, 5, 1.0), (1, 10, 9, 2.0), (2, 11, 6, 3.0), (1, 10, 5, 1.0)], "node int, h int, collected int, value double")
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
