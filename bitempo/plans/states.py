@@ -248,7 +248,7 @@ def _state(d) -> str:
     """Atmosphere, sea and tide of each node as of T; the tide from the station that is mapped to it, in its newest vintage."""
     level = f"SELECT station, h, vintage, value, row_number() OVER (PARTITION BY station, h ORDER BY vintage DESC, collected DESC, event_id DESC) AS rn FROM hydro WHERE metric = 'click' AND collected <= {T} AND h BETWEEN {T} - 12 AND {T}"
     newest = f"SELECT station, h, value, lag(h) OVER (PARTITION BY station ORDER BY h) AS before, lag(value) OVER (PARTITION BY station ORDER BY h) AS old, row_number() OVER (PARTITION BY station ORDER BY h DESC) AS back FROM ({level}) AS l WHERE rn = 1"
-    tide = f"SELECT m.node, max_by(t.value, m.station * -1) AS level, max_by(CASE WHEN t.before = t.h - 1 THEN t.value - t.old END, m.station * -1) AS slope FROM ({newest}) AS t JOIN mappings m ON m.station = t.station AND m.valid_from <= {T} AND (m.valid_to IS NULL OR {T} < m.valid_to) WHERE t.back = 1 GROUP BY m.node"
+    tide = f"SELECT * FROM (SELECT m.node, t.value AS level, CASE WHEN t.before = t.h - 1 THEN t.value - t.old END AS slope, row_number() OVER (PARTITION BY m.node ORDER BY m.station) AS rn FROM ({newest}) AS t JOIN mappings m ON m.station = t.station AND m.valid_from <= {T} AND (m.valid_to IS NULL OR {T} < m.valid_to) WHERE t.back = 1) AS c WHERE rn = 1"
     return f"SELECT f.*, t.level AS tide_level, t.slope AS tide_slope FROM ({_features(d)}) AS f LEFT JOIN ({tide}) AS t ON t.node = f.node"
 
 
