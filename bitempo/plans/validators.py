@@ -163,7 +163,7 @@ def validate_window(d):
 @query
 def validate_node_features(d):
     k = "event_id"
-    rows = f"SELECT event_id, {spoilt(d.text('node'), f'{k} % 17 = 0', repr(' '))} AS node_id, {k} % 5 AS used, {k} % 3 AS excluded, CASE WHEN {k} % 19 = 0 THEN -2 ELSE {k} % 5 + {k} % 3 + CASE WHEN {k} % 23 = 0 THEN 1 ELSE 0 END END AS given, {k} % 12 / 10e0 AS missing, CASE WHEN {k} % 4 > 0 THEN {k} % 13 / 11e0 END AS confidence, {spoilt('wind', f'{k} % 29 = 0', '-1e0')} AS wind, {spoilt('dir', f'{k} % 31 = 0', '360e0')} AS dir, {spoilt('wave', f'{k} % 37 = 0', 'CAST(' + repr('NaN') + ' AS DOUBLE)')} AS wave, {spoilt('wave_dir', f'{k} % 41 = 0', '-0.5e0')} AS wave_dir, {k} % 43 = 0 AS invalid_source FROM env"
+    rows = f"SELECT event_id, {spoilt(d.text('node'), f'{k} % 17 = 0', repr(' '))} AS node_id, {k} % 5 AS used, {k} % 3 AS excluded, CASE WHEN {k} % 19 = 0 THEN -2 ELSE {k} % 5 + {k} % 3 + CASE WHEN {k} % 23 = 0 THEN 1 ELSE 0 END END AS given, {k} % 12 / 10e0 AS missing, CASE WHEN {k} % 4 > 0 THEN {k} % 13 / 11e0 END AS confidence, {spoilt(spoilt('wind', f'{k} % 53 = 2', 'CAST(' + repr('Infinity') + ' AS DOUBLE)'), f'{k} % 29 = 0', '-1e0')} AS wind, {spoilt('dir', f'{k} % 31 = 0', '360e0')} AS dir, {spoilt(spoilt('wave', f'{k} % 47 = 1', '-0.5e0'), f'{k} % 37 = 0', 'CAST(' + repr('NaN') + ' AS DOUBLE)')} AS wave, {spoilt('wave_dir', f'{k} % 41 = 0', '-0.5e0')} AS wave_dir, {k} % 43 = 0 AS invalid_source FROM env"
     number = lambda x: f"{x} IS NOT NULL AND NOT {S.finite(x)}"
     errors = {
         "nodeId": blank("node_id"), "inputSnapshotCount": "given < 0", "input-is-used-and-excluded": "given <> used + excluded", "missingRate": "missing NOT BETWEEN 0 AND 1", "confidence": "confidence NOT BETWEEN 0 AND 1", "invalid-source-value": "invalid_source", "wind.finite": number("wind"), "wave.finite": number("wave"),

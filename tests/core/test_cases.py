@@ -232,3 +232,64 @@ def test_store_takes_a_batch_whole_or_not(spark, tmp_path):
         with pytest.raises(Conflict):
             write_batch(spark.createDataFrame(bad, schema), path, ["k"])
     assert spark.read.parquet(path).count() == 4
+
+
+def rules_broken(spark, name):
+    found = {}
+    for r in adapters.run(spark, SF, catalog.PLANS[name](Spark())).collect():
+        assert r["valid"] == (r["errors"] == "")
+        for e in filter(None, r["errors"].split(",")):
+            found.setdefault(e, r)
+    return found
+
+
+@pytest.mark.parametrize(("name", "rules"), [("validate_datum", 7), ("validate_hydro_observation", 24), ("validate_station", 16), ("validate_provider", 13), ("validate_mapping", 9), ("validate_evidence", 17), ("validate_window", 5), ("validate_node_features", 12), ("validate_fixed_node_report", 18), ("validate_run_log", 7), ("validate_catch_log", 7)])
+def test_some_row_breaks_each_rule(spark, name, rules):
+    assert len(rules_broken(spark, name)) >= rules
+
+
+def obs(report_id, **fields):
+    return {"report_id": report_id, "facility": 1, "day": 10, "collected": 12, "operating": True, "complete": True, "visitors": 5, "species": 1, **fields}
+
+
+def test_zeros_only_on_whole_operating_days(rows_of):
+    SCHEMAS["obs"] = "report_id long, facility long, day long, collected long, operating boolean, complete boolean, visitors long, species long, catch double"
+    rows = [obs(1, catch=0.0), obs(2, catch=0.0, operating=False), obs(4, catch=0.0, complete=False), obs(5, catch=3.0, complete=False), obs(7, catch=None), obs(31, catch=2.0)]
+    got = {r["report_id"]: r["errors"] for r in rows_of("sql_check_trigger", obs=rows)}
+    refused = "absence-requires-complete-operating-report"
+    assert got[31].startswith("catch-count")
+    assert got[1] == got[5] == got[7] == "" and got[2] == refused and refused in got[4]
+
+
+def test_several_providers_have_no_aggregate(rows_of):
+    env = [snap(1, 398, wind=1.0), {**snap(2, 399, wind=3.0), "source": "b"}, {**snap(4, 397, sst=2.0), "node": 2}, {**snap(5, 399, sst=4.0), "node": 2}, {**snap(20, 400, wind=7.0), "node": 2}]
+    got = {(r["node"], r["field"], r["hours"]): r for r in rows_of("window_stats_provider_policy", env=env)}
+    assert got[1, "wind", 3]["n"] == 0 and got[1, "wind", 3]["mean"] is None and got[1, "wind", 3]["reason"] == "multiple-providers-no-aggregation-policy"
+    one = got[2, "sst", 3]
+    assert (one["n"], one["mean"], one["change"], one["rate"], one["volatility"], one["reason"]) == (2, 3.0, 2.0, 1.0, 1.0, None)
+    lost = got[2, "wind", 3]  # event 20 is made invalid: below zero
+    assert (lost["n"], lost["mean"], lost["reason"]) == (0, None, "source-missing")
+
+
+def test_older_value_stands_in_for_an_invalid_one(rows_of):
+    env = [snap(1, 100, wind=4.0), snap(20, 110, wind=9.0), snap(37, 111, wind=9.0), snap(2, 90, wind=8.0)]
+    got = {r["field"]: r for r in rows_of("latest_valid_value", env=env)}["wind"]
+    assert (got["value"], got["newer_invalid"], got["is_fallback"], got["reason"]) == (4.0, 2, True, "invalid-source-value")
+
+
+def test_windows_hold_both_ends(rows_of):
+    env = [snap(1, 394, sst=1.0), snap(2, 393, sst=5.0), snap(4, 400, sst=3.0), snap(5, 401, sst=9.0)]
+    got = {r["hours"]: r["n"] for r in rows_of("window_stats", env=env) if r["field"] == "sst"}
+    assert got == {3: 1, 6: 2, 12: 3, 24: 3}
+
+
+def test_mappings_hold_from_their_first_hour_to_before_their_last(rows_of):
+    hydro = [{**level(i, h, 0, 1.0, station=2), "metric": "click"} for i, h in enumerate((9, 10, 19, 20))]
+    got = rows_of("join_mapping_validity", hydro=hydro, mappings=[{"station": 2, "node": 4, "valid_from": 10, "valid_to": 20}, {"station": 2, "node": 6, "valid_from": 19, "valid_to": None}, {"station": 2, "node": 999, "valid_from": 0, "valid_to": None}])
+    assert {(r["h"], r["node"]) for r in got} == {(10, 4), (19, 4), (19, 6), (20, 6)}
+
+
+def test_pages_of_a_table(spark):
+    rows = {(r["page"], r["i"]): r for r in adapters.run(spark, SF, catalog.PLANS["parse_html_rows"](Spark())).collect()}
+    assert {"アジ", "ハゼ&ボラ"} <= {r["name"] for r in rows.values()} and {None, 0, 1234} <= {r["count"] for r in rows.values()}
+    assert {(r["low"], r["high"]) for r in rows.values()} == {(12, 18), (20, 20), (None, None)}  # reversed, malformed and unitless sizes are none
