@@ -403,3 +403,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, chunk
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(CASE WHEN len(ws) < 4 THEN ws ELSE ws[i:i + 3] END, ' ') AS x FROM d, unnest(range(1, greatest(len(ws) - 2, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON b.x = a.x AND b.r <> a.r GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * p.shared >= 85 * (x.n + y.n - p.shared)),
+walk AS (SELECT r AS origin, r FROM d UNION SELECT w.origin, e.b FROM walk w JOIN e ON e.a = w.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(o.doc_id) FROM walk w JOIN d o ON o.r = w.r WHERE w.origin = d.r) AS component_id
+FROM d LEFT JOIN n USING (r)
+"""

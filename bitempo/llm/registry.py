@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_format": chat_format.OP1_SQL,
+    "op2_jaccard_join": jaccard_join.OP2_SQL,
     "op4_pii": pii.OP4_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op9_topk_search": topk_search.OP9_SQL,
