@@ -160,3 +160,46 @@ def fixed_width_to_obs(d):
     told = f"SELECT k, line, repeats, CASE WHEN substring(k, 7, 2) NOT IN ('S0', 'S1', 'S2') THEN 'unknown-station' WHEN texts > 1 THEN 'conflict' WHEN repeats > 0 THEN 'duplicate-ignored' ELSE 'read' END AS outcome FROM ({kept}) AS x"
     hours = f"SELECT substring(k, 7, 2) AS station, substring(k, 1, 6) AS ymd, hour, {_level(d, 'hour')} AS level, outcome FROM ({told}) AS t {d.explode(d.upto(24), 'hour')} WHERE outcome IN ('read', 'duplicate-ignored')"
     return plan(d, "reports", f"{hours} UNION ALL SELECT substring(k, 7, 2), substring(k, 1, 6), NULL, NULL, outcome FROM ({told}) AS u WHERE outcome NOT IN ('read', 'duplicate-ignored')")
+
+
+# -- one trip's section of a listing, to its record
+
+
+def _sections(d) -> str:
+    """A section for each order: a heading with date, daypart and target, an image that names the record, and a body of what was seen."""
+    k = "o_orderkey"
+    n = lambda x: d.text(x)
+    some = lambda when, x: f"CASE WHEN {when} THEN {x} ELSE '' END"
+    m = d.text(d.month(d.days("o_orderdate")))
+    heading = f"concat('<h2>', {n(f'CASE WHEN {k} % 97 = 0 THEN 0 ELSE 20 END + CAST(substring({m}, 1, 4) AS INT)')}, '年', {n(f'CAST(substring({m}, 5, 2) AS INT)')}, '月', {n(f'1 + {k} % 31')}, '日(土) ', CASE {k} % 3 WHEN 0 THEN '午前便' WHEN 1 THEN 'ナイト便' ELSE '' END, CASE {k} % 4 WHEN 0 THEN ' シーバス' WHEN 1 THEN ' シーバスゲーム' WHEN 2 THEN ' アジ' ELSE ' 青物' END, '</h2>')"
+    image = f"concat({some(f'{k} % 7 > 0', f'''concat('<img src="/images/1_', {n(k)}, '_a.jpg">')''')}, {some(f'{k} % 13 = 0', f'''concat('<img src="/images/2_', {n(f'{k} + 1')}, '_b.jpg">')''')})"
+    body = "concat(" + ", ".join([
+        "'<p>'", some(f"{k} % 17 = 0", "'強風のため出船中止。'"), some(f"{k} % 5 = 0", f"concat('シーバス', {n(f'{k} % 12')}, '本キャッチ。')"), some(f"{k} % 5 = 1", f"concat('シーバス', {n(f'{k} % 9')}, '本以上ゲット。')"), some(f"{k} % 6 = 1", f"concat({n(f'{k} % 20')}, 'ヒット。')"), some(f"{k} % 6 = 2", f"concat({n(f'{k} % 20')}, 'ヒット以上。')"),
+        some(f"{k} % 8 = 3", "'バイト多数。'"), some(f"{k} % 9 = 4", "'チェイスあり。'"), some(f"{k} % 10 = 5", "'ルアーに付いてくる魚も。'"), some(f"{k} % 11 = 6", "'フックアウト。'"), some(f"{k} % 12 = 7", "'ボイル発生。'"), some(f"{k} % 14 = 8", "'シーバスは反応なし。'"), some(f"{k} % 3 > 0", f"concat({n(f'2 + {k} % 6')}, '時間便。')"), some(f"{k} % 4 > 0", f"concat({n(f'1 + {k} % 8')}, '名様。')"),
+        some(f"{k} % 15 = 1", "'橋脚の明暗と'"), some(f"{k} % 16 = 2", "'ストラクチャー周り。'"), some(f"{k} % 18 = 3", "'濁りが入り、'"), some(f"{k} % 19 = 4", "'潮が動き出すと活性が変わった。'"), some(f"{k} % 21 = 5", "'ベイトは豊富。'"), some(f"{k} % 22 = 6", "'荒川河口で。'"), "'</p>'",
+    ]) + ")"
+    return f"SELECT {k} AS trip, concat({heading}, {image}, {body}) AS html FROM orders"
+
+
+@query
+def parse_trip_record(d):
+    """A section as the record of its trip: when, whether it went and for what, what was landed, touched or seen, with which effort, where, and what of it is lost in evidence."""
+    like, first = d.like, lambda x, r: _first(d, x, r)
+    number = lambda x, r: d.int_or_null(first(x, r))
+    ids = d.distinct(d.found("html", "/images/[0-9]+_([0-9]+)_"))
+    base = f"SELECT trip, {d.size(ids)} AS n_ids, {d.at(ids, '0')} AS one_id, {first('html', '<h2>([^<]*)</h2>')} AS heading, coalesce({first('html', '<p>([^<]*)</p>')}, '') AS body FROM ({_sections(d)}) AS s"
+    y, mo, day = (number("heading", r) for r in ("(20[0-9]{2})年", "年([0-9]{1,2})月", "月([0-9]{1,2})日"))
+    dated = f"SELECT *, {y} AS y, {mo} AS mo, {day} AS dd, CASE WHEN {like('heading', 'ナイト')} THEN 'night' WHEN {like('heading', '午前')} THEN 'morning' ELSE 'unknown' END AS daypart, CASE WHEN {like('body', '中止|欠航')} THEN 'cancelled' ELSE 'completed' END AS status, {like('concat(heading, body)', 'シーバス')} AS mentioned, {like('heading', 'シーバス')} AS in_heading FROM ({base}) AS b"
+    read = f"""SELECT *, CASE WHEN mentioned THEN in_heading END AS targeted, {number('body', 'シーバス([0-9]+)本キャッチ')} AS landed, {number('body', 'シーバス([0-9]+)本以上')} AS landed_least, {number('body', '([0-9]+)ヒット。')} AS hits, {number('body', '([0-9]+)ヒット以上')} AS hits_least, {like('body', 'バイト|アタリ')} AS bite, {like('body', 'チェイス|追尾')} AS chase, {like('body', '追って|付いてくる')} AS follow, {like('body', 'バラシ|フックアウト|ラインブレイク')} AS lost, {like('body', 'ボイル|群れ|姿が見え')} AS visible,
+      {like('body', '反応なし|ノーバイト|釣れず|ノーフィッシュ')} AS zero_said, {number('body', '([0-9]+)時間')} * 60 AS minutes, {number('body', '([0-9]+)名様')} AS anglers, concat_ws(',', CASE WHEN {like('body', '橋脚')} THEN 'bridge' END, CASE WHEN {like('body', '明暗')} THEN 'light-edge' END, CASE WHEN {like('body', 'ストラクチャー')} THEN 'structure' END) AS habitat_clues,
+      concat_ws(',', CASE WHEN {like('body', '濁り')} THEN 'turbidity' END, CASE WHEN {like('body', '潮')} THEN 'tide' END, CASE WHEN {like('body', '風')} THEN 'wind' END, CASE WHEN {like('body', 'ベイト')} THEN 'bait' END) AS environmental_clues, {like('body', '変わった|動き出')} AS change_mentioned, {first('body', '([^。、]*河口)で')} AS location FROM ({dated}) AS d"""
+    real = f"y IS NOT NULL AND mo BETWEEN 1 AND 12 AND dd BETWEEN 1 AND {S.days_in_month('y', 'mo')}"
+    judged = f"SELECT *, coalesce({real}, false) AS real_day, coalesce(landed, landed_least, 0) > 0 AS landed_positive, bite OR lost OR coalesce(hits, hits_least, 0) > 0 AS contact, status = 'completed' AND coalesce(targeted, false) AS effort, status = 'completed' AND coalesce(targeted, false) AND zero_said AS zero_segment FROM ({read}) AS r"
+    zero = "(zero_segment AND NOT landed_positive AND NOT contact)"
+    fields = "concat_ws(',', CASE WHEN landed IS NULL AND landed_least > 0 THEN 'landed-lower-bound' END, CASE WHEN hits IS NULL AND hits_least > 0 THEN 'contact-lower-bound' END, CASE WHEN follow THEN 'follow' END, CASE WHEN visible THEN 'visible-fish' END, CASE WHEN change_mentioned THEN 'condition-change' END)"
+    last = f"SELECT *, {zero} AS zero_candidate, {fields} AS lost_fields, status = 'completed' AND (landed_positive OR contact OR {zero} AND (minutes IS NOT NULL OR anglers IS NOT NULL)) AS convertible FROM ({judged}) AS j"
+    date = f"concat({d.text('y')}, '-', lpad({d.text('mo')}, 2, '0'), '-', lpad({d.text('dd')}, 2, '0'))"
+    problems = "concat_ws(',', CASE WHEN n_ids = 0 THEN 'numeric-detail-id-missing' WHEN n_ids > 1 THEN 'numeric-detail-id-ambiguous' END, CASE WHEN daypart = 'unknown' THEN 'daypart-missing' ELSE 'daypart-only-no-clock' END, CASE WHEN zero_segment AND NOT zero_candidate THEN 'segment-zero-not-trip-zero' END, CASE WHEN status = 'cancelled' THEN 'cancelled-not-zero' END, CASE WHEN lost_fields <> '' THEN 'foundation-information-loss' END)"
+    known = lambda c: f"{c} IS NOT NULL AS {c}_known, {c}"
+    return f"""SELECT trip, CASE WHEN n_ids = 1 THEN concat('post:', one_id) END AS record_id, CASE WHEN real_day THEN {date} END AS event_date, CASE WHEN real_day THEN concat({date}, '-', daypart, '-', CASE WHEN targeted THEN 'seabass' ELSE 'other' END) END AS event_key, CASE WHEN real_day THEN 'ok' ELSE 'record-date-invalid' END AS parse_status, status AS trip_status, daypart, CASE WHEN daypart = 'unknown' THEN 'date-only' ELSE 'daypart' END AS temporal_precision, false AS exact_clock_known, mentioned, targeted,
+      {known('landed')}, landed_least, landed_positive, contact AS contact_present, {known('hits')}, hits_least, bite, chase, follow, lost, visible, effort AS explicit_effort, zero_candidate, zero_segment, {known('minutes')}, CASE WHEN minutes IS NOT NULL THEN 'body' END AS minutes_source, {known('anglers')}, habitat_clues, environmental_clues, change_mentioned, change_mentioned AND landed_positive AS before_after_resolvable, {known('location')}, convertible, CASE WHEN NOT convertible THEN 'not-convertible' WHEN lost_fields = '' THEN 'convertible-without-loss' ELSE 'convertible-with-information-loss' END AS convertibility, lost_fields, {problems} AS diagnostics FROM ({last}) AS l"""

@@ -149,11 +149,6 @@ def _trips(d) -> str:
     return f"SELECT *, CASE WHEN targeted AND said_zero AND coalesce(landed, 0) = 0 THEN 0 ELSE landed END AS catch_count FROM ({base}) AS b"
 
 
-@query
-def parse_trip_record(d):
-    return _trips(d)
-
-
 def _trip_evidence(d) -> str:
     """Every trip that mentions the species as one piece of evidence, its kind chosen from the strongest sign."""
     kind = "CASE WHEN catch_count > 0 THEN 'catch' WHEN bite OR lost OR hits_at_least > 0 THEN 'bite-or-contact' WHEN chase THEN 'fish-observation' WHEN targeted AND catch_count = 0 THEN 'explicit-effort-zero-catch' END"
