@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import Duck, Spark, round_js
 from ..operators.graph import connected_components, reachability, shortest_paths
-from ..operators.shared import folder
+from ..operators.shared import folder, kept
 from ..operators.statements import greedy_chunks, greedy_sql
 from ..operators.store import write_batch
 from ..sources.adapters import plan, run
 from .queries import RADIUS_KM, haversine, query
+from .records import _trip_evidence
 
 #: Queries that are more than one plan, and their SQL.
 OPERATED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,23 @@ def idempotent_batch_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spark.read.schema(given.schema).parquet(path)
     back = given.join(stored.withColumn("_s", F.lit(True)), [given[c].eqNullSafe(stored[c]) for c in given.columns], "left").select(given["report_id"].alias("id"), F.col("_s").isNotNull().alias("is_stored"))
     return outcome.join(back, outcome["report_id"] == back["id"]).select("report_id", "outcome", "is_stored")
+
+
+def _preflight(d) -> str:
+    """What each run (an operator's month) would write; a run in which one source event names two kinds of evidence writes nothing. Even days are stored already."""
+    events = f"SELECT operator, {d.month('floor(start_h / 24)')} AS run, event_key, count(DISTINCT evidence_type) AS kinds, min(trip) AS trip, min(evidence_type) AS evidence_type, min(start_h) AS start_h FROM ({_trip_evidence(d)}) AS e GROUP BY operator, {d.month('floor(start_h / 24)')}, event_key"
+    body = f"concat('{{\"event\":\"', event_key, '\",\"kind\":\"', evidence_type, '\",\"trip\":', {d.text('trip')}, '}}')"
+    return f"SELECT operator, run, event_key, trip, {d.sha(body)} AS content_id, floor(start_h / 24) % 2 = 0 AS was_stored, CASE WHEN kinds > 1 THEN 'COLLISION' WHEN floor(start_h / 24) % 2 = 0 THEN 'EXISTING' ELSE 'WOULD_CREATE' END AS verdict, max(kinds) OVER (PARTITION BY operator, run) > 1 AS aborted FROM ({events}) AS t"
+
+
+@operated(f"SELECT operator, run, event_key, trip, content_id, verdict, aborted, was_stored OR NOT aborted AND verdict = 'WOULD_CREATE' AS stored FROM ({_preflight(Duck())}) AS p")
+def evidence_ingest_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preflight of every run, then, under the apply flag, its write and what the store holds after it."""
+    import uuid
+
+    path, row = f"{folder(spark)}/evidence-{uuid.uuid4().hex}", ["operator", "event_key", "content_id"]
+    told = kept(_rows(spark, sf_dir, "", _preflight(Spark())), "preflight")
+    told.where("was_stored").select(row).write.parquet(path)
+    write_batch(told.where("NOT aborted AND verdict = 'WOULD_CREATE'").select(row), path, ["operator", "event_key"])
+    stored = spark.read.schema(told.select(row).schema).parquet(path).withColumn("_s", F.lit(True))
+    return told.join(stored, row, "left").select("operator", "run", "event_key", "trip", "content_id", "verdict", "aborted", F.col("_s").isNotNull().alias("stored"))

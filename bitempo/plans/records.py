@@ -185,13 +185,6 @@ def validate_external_evidence(d):
     return f"SELECT trip, {rules} AS errors FROM ({dirty}) AS x"
 
 
-@query
-def evidence_ingest_preflight(d):
-    """What a run would write; none of it where one source event names two texts. Even days count as stored already."""
-    told = f"SELECT operator, event_key, count(DISTINCT evidence_type) AS kinds, min(trip) AS trip, min(start_h) AS start_h FROM ({_trip_evidence(d)}) AS e GROUP BY operator, event_key"
-    return f"SELECT operator, event_key, trip, CASE WHEN kinds > 1 THEN 'COLLISION' WHEN floor(start_h / 24) % 2 = 0 THEN 'EXISTING' ELSE 'WOULD_CREATE' END AS verdict, max(kinds) OVER (PARTITION BY operator) > 1 AS aborted FROM ({told}) AS t"
-
-
 @query
 def bulk_insert_json(d):
     """Rows bound as one JSON array a batch, taken apart again."""

@@ -293,3 +293,34 @@ def test_pages_of_a_table(spark):
     rows = {(r["page"], r["i"]): r for r in adapters.run(spark, SF, catalog.PLANS["parse_html_rows"](Spark())).collect()}
     assert {"アジ", "ハゼ&ボラ"} <= {r["name"] for r in rows.values()} and {None, 0, 1234} <= {r["count"] for r in rows.values()}
     assert {(r["low"], r["high"]) for r in rows.values()} == {(12, 18), (20, 20), (None, None)}  # reversed, malformed and unitless sizes are none
+
+
+def test_trip_records_against_a_plain_reading(spark):
+    import re
+    from datetime import date
+
+    from bitempo.plans.pages import _sections
+
+    sections = {r["trip"]: r["html"] for r in adapters.run(spark, SF, _sections(Spark())).collect()}
+    kinds = set()
+    for r in adapters.run(spark, SF, catalog.PLANS["parse_trip_record"](Spark())).collect():
+        html = sections[r["trip"]]
+        heading, body = re.search("<h2>(.*?)</h2>", html)[1], re.search("<p>(.*?)</p>", html)[1]
+        ids = set(re.findall(r"/images/\d+_(\d+)_", html))
+        assert r["record_id"] == (f"post:{ids.pop()}" if len(ids) == 1 else None)
+        m = re.match(r"(20\d\d)年(\d+)月(\d+)日", heading)
+        try:
+            day = date(*map(int, m.groups())).isoformat() if m else None
+        except ValueError:
+            day = None
+        assert r["event_date"] == day and r["parse_status"] == ("ok" if day else "record-date-invalid")
+        number = lambda p: int(x[1]) if (x := re.search(p, body)) else None
+        landed, least, hits, hits_least = number(r"シーバス(\d+)本キャッチ"), number(r"シーバス(\d+)本以上"), number(r"(\d+)ヒット。"), number(r"(\d+)ヒット以上")
+        assert (r["landed"], r["landed_least"], r["hits"], r["hits_least"]) == (landed, least, hits, hits_least)
+        caught = (landed if landed is not None else least or 0) > 0
+        touched = any(w in body for w in ("バイト", "フックアウト")) or (hits if hits is not None else hits_least or 0) > 0
+        went, aimed = "中止" not in body, "シーバス" in heading
+        assert (r["landed_positive"], r["contact_present"], r["explicit_effort"]) == (caught, touched, went and aimed)
+        assert r["zero_candidate"] == (went and aimed and "反応なし" in body and not caught and not touched)
+        kinds.add((r["convertibility"], r["zero_segment"], r["zero_candidate"]))
+    assert len(kinds) >= 5
