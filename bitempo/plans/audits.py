@@ -377,3 +377,18 @@ def clamp_limit(d):
     """Limits that callers ask for, as they are granted: 1 to 500, 100 where none is told."""
     asked = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN -3 WHEN 2 THEN 0 WHEN 3 THEN event_id ELSE 9000 END"
     return f"SELECT event_id, CASE WHEN asked IS NULL THEN 100 ELSE least(greatest(asked, 1), 500) END AS granted FROM (SELECT event_id, {asked} AS asked FROM events) AS e"
+
+
+@query
+def visitor_profile(d):
+    """Each facility's reports, its days without a count and with none, and quantiles of the days that had visitors."""
+    q = ", ".join(f"{round_js(d.pct('CASE WHEN visitors > 0 THEN visitors END', p), 4)} AS p{int(p * 100)}" for p in (0.1, 0.25, 0.33, 0.5, 0.67, 0.75, 0.9))
+    some = "SELECT report_id, facility, CASE WHEN report_id % 29 = 0 THEN 0 ELSE visitors END AS visitors FROM latest"
+    return plan(d, "latest", f"SELECT facility, count(DISTINCT report_id) AS reports, count(*) - count(visitors) AS null_days, {d.count_if('visitors = 0')} AS zero_days, {q} FROM ({some}) AS v GROUP BY facility")
+
+
+@query
+def even_monthly_sample(d):
+    """A sample that takes the first of every month, then the second, and so on, until it is full; the limit is the feature."""
+    rounds = f"SELECT report_id, m, row_number() OVER (PARTITION BY m ORDER BY day, facility, report_id) AS rn FROM (SELECT DISTINCT report_id, facility, day, {d.month('day')} AS m FROM latest) AS x"
+    return plan(d, "latest", f"SELECT report_id, m, rn FROM (SELECT report_id, m, rn, row_number() OVER (ORDER BY rn, m) AS place FROM ({rounds}) AS r) AS p WHERE place <= 120")

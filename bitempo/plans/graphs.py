@@ -13,7 +13,8 @@ from ..operators.shared import folder, kept
 from ..operators.statements import greedy_chunks, greedy_sql
 from ..operators.store import write_batch
 from ..sources.adapters import plan, run
-from .queries import RADIUS_KM, haversine, query
+from ..streaming.ingest import ingest, latest
+from .queries import RADIUS_KM, K, haversine, query
 from .records import _trip_evidence
 
 #: Queries that are more than one plan, and their SQL.
@@ -212,3 +213,21 @@ def evidence_ingest_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_batch(told.where("NOT aborted AND verdict = 'WOULD_CREATE'").select(row), path, ["operator", "event_key"])
     stored = spark.read.schema(told.select(row).schema).parquet(path).withColumn("_s", F.lit(True))
     return told.join(stored, row, "left").select("operator", "run", "event_key", "trip", "content_id", "verdict", "aborted", F.col("_s").isNotNull().alias("stored"))
+
+
+# -- the log as a stream
+
+_LOG = "SELECT node, source, h, collected, min(value) AS value FROM snapshots GROUP BY node, source, h, collected"
+
+
+@operated(plan(Duck(), "snapshots", f"SELECT node, source, h, collected, value FROM (SELECT *, row_number() OVER (PARTITION BY node, source, h ORDER BY collected DESC, value DESC) AS rn FROM ({_LOG}) AS l WHERE collected <= {K}) AS r WHERE rn = 1"))
+def replayed_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log streamed in micro batches into a store, late and repeated rows among them, then read as of K."""
+    import uuid
+
+    at = f"{folder(spark)}/replay-{uuid.uuid4().hex}"
+    log = _rows(spark, sf_dir, "snapshots", _LOG).withColumn("day", F.floor(F.col("h") / 24))
+    log.where("collected % 3 > 0").write.parquet(f"{at}/log")
+    log.where("collected % 3 < 2").write.mode("append").parquet(f"{at}/log")  # late rows, and some that came before
+    ingest(spark, f"{at}/log", log.schema.simpleString()[7:-1].replace(":", " "), f"{at}/store", f"{at}/checkpoint", ["node", "source", "h", "collected", "day"], part="day")
+    return latest(spark.read.schema(log.schema).parquet(f"{at}/store"), ["node", "source", "h"], "collected", K).select("node", "source", "h", "collected", "value")

@@ -167,12 +167,6 @@ def tokenize(d):
     return f"SELECT doc_id, CAST({d.size(d.words('text'))} AS BIGINT) AS n_tokens, CAST({d.size(d.distinct(d.words('text')))} AS BIGINT) AS n_distinct FROM documents"
 
 
-@query
-def text_polarity(d):
-    pos, neg = d.like("lower(text)", "(the|der|les|los) "), d.like("lower(text)", "(and|und|est|una) ")
-    return f"SELECT doc_id, CASE WHEN {pos} AND NOT {neg} THEN 1 WHEN {neg} AND NOT {pos} THEN -1 ELSE 0 END AS polarity, concat_ws(' ', lang, source) AS joined FROM documents"
-
-
 @query
 def calendar_math(d):
     return plan(d, "reports", f"SELECT report_id, {d.month('day')} AS month, {d.month('day + 7')} AS month_in_a_week, (day + 56) % 7 AS weekday FROM reports")
@@ -252,17 +246,6 @@ def distance_summary(d):
     return plan(d, "edges", f"SELECT src % 3 AS provider, count(*) AS n, {round_js(f'avg({km})', 3)} AS mean_km, {round_js(f'max({km})', 3)} AS max_km FROM edges GROUP BY src % 3")
 
 
-@query
-def visitor_profile(d):
-    q = ", ".join(f"{round_js(d.pct('visitors', p), 4)} AS p{int(p * 100)}" for p in (0.1, 0.25, 0.33, 0.5, 0.67, 0.75, 0.9))
-    return plan(d, "latest", f"SELECT facility, count(*) AS n, count(*) - count(visitors) AS null_days, {q} FROM latest GROUP BY facility")
-
-
-@query
-def trip_audit(d):
-    return f"SELECT role, count(*) AS parsed, {d.count_if('''length(text) > 100''')} AS related, {d.count_if('''length(text) > 100 AND turn > 0''')} AS targeted, {round_js(d.count_if('''length(text) > 100''') + ' / CAST(count(*) AS DOUBLE)', 4)} AS related_rate, CASE WHEN {d.count_if('length(text) > 100')} / CAST(count(*) AS DOUBLE) >= 0.8 THEN 'strong' WHEN {d.count_if('length(text) > 100')} / CAST(count(*) AS DOUBLE) >= 0.4 THEN 'moderate' ELSE 'weak' END AS coverage FROM conversations GROUP BY role"
-
-
 @query
 def presence_rate(d):
     return plan(d, "rates", f"SELECT facility, species, {round_js('avg(CASE WHEN catch > 0 THEN 1e0 ELSE 0 END)', 6)} AS presence FROM rates WHERE operating AND complete GROUP BY facility, species")
@@ -316,11 +299,6 @@ def seasonal_anomaly(d):
     return plan(d, "latest", f"SELECT report_id, {round_js('visitors - avg(visitors) OVER (PARTITION BY facility, m)', 4)} AS anomaly FROM (SELECT *, {d.month('day')} % 100 AS m FROM latest) AS x")
 
 
-@query
-def even_monthly_sample(d):
-    return plan(d, "latest", f"SELECT report_id, m, rn FROM (SELECT report_id, {d.month('day')} AS m, row_number() OVER (PARTITION BY {d.month('day')} ORDER BY day, facility, report_id) AS rn FROM latest) AS x ORDER BY rn, m LIMIT 120")
-
-
 @query
 def mark_duplicates(d):
     return plan(d, "reports", "SELECT report_id, count(*) OVER (PARTITION BY facility, day) > 1 AS is_duplicate FROM reports")

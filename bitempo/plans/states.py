@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions import scalars as S
 from ..functions.dialect import clamp, median_of, round_js
 from ..sources.adapters import plan
-from .queries import PLANS, K, T, query
+from .queries import K, T, query
 from .records import _trips
 from .values import ENV
 
@@ -659,7 +659,3 @@ def repost_suspicion(d):
     hashed = f"SELECT doc_id, {said} AS said, {d.sha('text')} AS print FROM documents WHERE text IS NOT NULL"
     copies = f"SELECT print, count(*) - 1 AS siblings FROM ({hashed}) AS h GROUP BY print"
     return f"SELECT h.doc_id, {clamp(f'greatest(CASE WHEN {d.like("h.said", S.REPOST)} THEN 0.45e0 ELSE 0e0 END, least(0.5e0, 0.18e0 * c.siblings))', '0e0', '1e0')} AS suspicion FROM ({hashed}) AS h JOIN ({copies}) AS c ON c.print = h.print"
-
-
-for _name in ("trip_audit", "freshness", "angle_math", "round_clamp", "pace", "text_polarity", "calendar_math", "datum_levels"):
-    assert _name in PLANS  # families that stay beside the plans of their parts
