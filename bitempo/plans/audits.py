@@ -234,7 +234,7 @@ def macro_signals(d):
     """Posts of each area, day and species: each record once, its reporters, counts that are told and how many, and sizes."""
     posts = f"SELECT c.c_nationkey % 6 AS area, {d.days('l.l_shipdate')} AS day, l.l_partkey % 8 AS species, l.l_orderkey * 10 + l.l_linenumber - CASE WHEN l.l_linenumber = 7 THEN 1 ELSE 0 END AS record, {d.sha(d.text('o.o_custkey'))} AS reporter, l.l_quantity, CASE WHEN l.l_orderkey % 3 > 0 THEN CAST(floor(l.l_quantity) AS BIGINT) END AS told, CASE WHEN l.l_orderkey % 4 = 0 THEN l.l_tax * 1000 END AS size, l.l_linenumber FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey"
     once = f"SELECT * FROM (SELECT p.*, l_quantity > 5 AS positive, row_number() OVER (PARTITION BY area, day, species, record ORDER BY l_linenumber) AS rn FROM ({posts}) AS p) AS r WHERE rn = 1"
-    return f"SELECT area, day, species, count(*) AS posts, count(DISTINCT reporter) AS reporters, {d.count_if('positive')} AS positive, sum(told) AS told_sum, count(told) AS told_posts, {round_js('count(told) / CAST(count(*) AS DOUBLE)', 4)} AS coverage, count(CASE WHEN size > 0 THEN 1 END) AS sized, {round_js(d.pct('CASE WHEN size > 0 THEN size END', 0.5), 4)} AS median_size, max(CASE WHEN size > 0 THEN size END) AS max_size FROM ({once}) AS o GROUP BY area, day, species"
+    return f"SELECT area, day, species, count(*) AS posts, count(DISTINCT reporter) AS reporters, {d.count_if('positive')} AS positive, CAST(sum(told) AS BIGINT) AS told_sum, count(told) AS told_posts, {round_js('count(told) / CAST(count(*) AS DOUBLE)', 4)} AS coverage, count(CASE WHEN size > 0 THEN 1 END) AS sized, {round_js(d.pct('CASE WHEN size > 0 THEN size END', 0.5), 4)} AS median_size, max(CASE WHEN size > 0 THEN size END) AS max_size FROM ({once}) AS o GROUP BY area, day, species"
 
 
 @query
@@ -243,7 +243,7 @@ def coastal_facility_audit(d):
     daily = "SELECT facility, day, sum(catch) AS catch, max(CASE WHEN operating THEN 1 ELSE 0 END) AS open FROM rates GROUP BY facility, day"
     runs = f"SELECT facility, m, max(n) AS longest FROM (SELECT facility, {d.month('day')} AS m, count(*) OVER (PARTITION BY facility, {d.month('day')}, day - rn) AS n FROM (SELECT facility, day, row_number() OVER (PARTITION BY facility ORDER BY day) AS rn FROM ({daily}) AS q) AS z) AS y GROUP BY facility, m"
     calendar = S.days_in_month("CAST(floor(m / 100) AS BIGINT)", "m % 100")
-    month = f"SELECT facility, {d.month('day')} AS m, count(*) AS report_days, sum(open) AS open_days, {round_js(f'{d.count_if("catch > 0")} / CAST(count(*) AS DOUBLE)', 4)} AS positive_rate, {round_js(d.pct('catch', 0.5), 4)} AS median_catch, max(catch) AS max_catch FROM ({daily}) AS x GROUP BY facility, {d.month('day')}"
+    month = f"SELECT facility, {d.month('day')} AS m, count(*) AS report_days, CAST(sum(open) AS BIGINT) AS open_days, {round_js(f'{d.count_if("catch > 0")} / CAST(count(*) AS DOUBLE)', 4)} AS positive_rate, {round_js(d.pct('catch', 0.5), 4)} AS median_catch, max(catch) AS max_catch FROM ({daily}) AS x GROUP BY facility, {d.month('day')}"
     joined = f"SELECT a.facility, a.m, a.report_days, a.open_days, r.longest, a.positive_rate, a.median_catch, a.max_catch FROM ({month}) AS a JOIN ({runs}) AS r ON r.facility = a.facility AND r.m = a.m"
     return plan(d, "rates", f"SELECT facility, m AS month, {calendar} AS calendar_days, report_days, open_days, longest, positive_rate, median_catch, max_catch FROM ({joined}) AS j")
 
@@ -278,7 +278,7 @@ def nearest_day15(d):
 def run_audit_sql(d):
     """The latest run of each provider: its nodes, how many went well, and the states that come up."""
     runs = "SELECT source, node, collected AS requested, h AS completed, CASE WHEN value < 10 THEN 'failed' ELSE 'ok' END AS status FROM snapshots"
-    return plan(d, "snapshots", f"SELECT r.source, r.requested, max(r.completed) AS completed, count(DISTINCT r.node) AS nodes, sum(CASE WHEN r.status = 'ok' THEN 1 ELSE 0 END) AS ok, sum(CASE WHEN r.status = 'failed' THEN 1 ELSE 0 END) AS failed, {d.collect_set('r.status')} AS statuses FROM ({runs}) AS r JOIN (SELECT source, max(requested) AS last FROM ({runs}) AS q GROUP BY source) AS l ON l.source = r.source AND l.last = r.requested GROUP BY r.source, r.requested")
+    return plan(d, "snapshots", f"SELECT r.source, r.requested, max(r.completed) AS completed, count(DISTINCT r.node) AS nodes, {d.count_if("r.status = 'ok'")} AS ok, {d.count_if("r.status = 'failed'")} AS failed, {d.collect_set('r.status')} AS statuses FROM ({runs}) AS r JOIN (SELECT source, max(requested) AS last FROM ({runs}) AS q GROUP BY source) AS l ON l.source = r.source AND l.last = r.requested GROUP BY r.source, r.requested")
 
 
 @query

@@ -162,7 +162,7 @@ def _tuples(d) -> str:
 
 def _statements(d, dealt: str) -> str:
     body = d.listed("tuple", "event_id")
-    return f"SELECT day, chunk AS part, count(*) AS n, sum(n) AS bytes, {d.sha(body)} AS sha, NOT {d.like(body, FORBIDDEN)} AS safe FROM {dealt} GROUP BY day, chunk"
+    return f"SELECT day, chunk AS part, count(*) AS n, CAST(sum(n) AS BIGINT) AS bytes, {d.sha(body)} AS sha, NOT {d.like(body, FORBIDDEN)} AS safe FROM {dealt} GROUP BY day, chunk"
 
 
 def _sized(d) -> str:

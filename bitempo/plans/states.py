@@ -405,7 +405,7 @@ def state_chain(d):
 
 def _trip_counts(d) -> str:
     c = d.count_if
-    return f"SELECT operator, count(*) AS parsed, {c('mentioned')} AS related, {c('targeted')} AS targeted, {c('targeted AND catch_count IS NOT NULL')} AS get_known, {c('catch_count = 0 AND targeted')} AS explicit_zero, {c('targeted AND (coalesce(landed, 0) > 0 OR coalesce(hits_at_least, 0) > 0 OR bite OR lost)')} AS any_hit, {c('targeted AND chase')} AS environmental, {c('targeted AND minutes IS NOT NULL')} AS duration_known, {c('anglers IS NOT NULL')} AS anglers_known, {c('daypart IS NOT NULL')} AS daypart_known, {c('daypart = ' + repr('NIGHT'))} AS nights, {c('targeted AND trip % 3 = 0')} AS located, {c('targeted AND trip % 4 = 0')} AS structure, {c('bite')} AS bites, {c('chase')} AS chases, {c('lost')} AS losses, sum(coalesce(landed, 0)) AS landed, min(day) AS first_day, max(day) AS last_day FROM ({_trips(d)}) AS t GROUP BY operator"
+    return f"SELECT operator, count(*) AS parsed, {c('mentioned')} AS related, {c('targeted')} AS targeted, {c('targeted AND catch_count IS NOT NULL')} AS get_known, {c('catch_count = 0 AND targeted')} AS explicit_zero, {c('targeted AND (coalesce(landed, 0) > 0 OR coalesce(hits_at_least, 0) > 0 OR bite OR lost)')} AS any_hit, {c('targeted AND chase')} AS environmental, {c('targeted AND minutes IS NOT NULL')} AS duration_known, {c('anglers IS NOT NULL')} AS anglers_known, {c('daypart IS NOT NULL')} AS daypart_known, {c('daypart = ' + repr('NIGHT'))} AS nights, {c('targeted AND trip % 3 = 0')} AS located, {c('targeted AND trip % 4 = 0')} AS structure, {c('bite')} AS bites, {c('chase')} AS chases, {c('lost')} AS losses, CAST(sum(coalesce(landed, 0)) AS BIGINT) AS landed, min(day) AS first_day, max(day) AS last_day FROM ({_trips(d)}) AS t GROUP BY operator"
 
 
 def _audit(name: str, operator: int):

@@ -39,7 +39,7 @@ scalar("format_pace", lambda d: f"SELECT l_orderkey, l_linenumber, {S.format_pac
 scalar("concat_ws_nonnull", lambda d: "SELECT doc_id, concat_ws(' ', CASE WHEN doc_id % 3 > 0 THEN lang END, nullif(CASE WHEN doc_id % 5 > 0 THEN source ELSE '' END, ''), CASE WHEN doc_id % 2 = 0 THEN 'fact' END) AS joined FROM documents")
 SAID = "SELECT doc_id, concat(lang, CASE doc_id % 6 WHEN 0 THEN ' 釣れた ' WHEN 1 THEN ' 釣れない ' WHEN 2 THEN ' Caught two, no bite after ' WHEN 3 THEN ' ABSENT ' WHEN 4 THEN ' hit ' ELSE ' ' END, source) AS said FROM documents"
 scalar("regex_polarity", lambda d: f"SELECT doc_id, {S.polarity(d, 'said', *S.POLARITY)} AS polarity FROM ({SAID}) AS s")
-scalar("json_extract_null_checks", lambda d: f"SELECT event_type, sum(CASE WHEN {d.json('props', 'k')} IS NULL THEN 1 ELSE 0 END) AS without_k, sum(CASE WHEN {d.json('props', 'distance')} IS NULL THEN 1 ELSE 0 END) AS without_distance FROM events GROUP BY event_type")
+scalar("json_extract_null_checks", lambda d: f"SELECT event_type, CAST(sum(CASE WHEN {d.json('props', 'k')} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_k, CAST(sum(CASE WHEN {d.json('props', 'distance')} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_distance FROM events GROUP BY event_type")
 
 #: Times as texts; months, days, hours, fractions and zones that do not exist come up.
 STAMP = """SELECT event_id, concat(lpad({y}, 4, '0'), '-', lpad({m}, 2, '0'), '-', lpad({day}, 2, '0')) AS day_text, concat(lpad({h}, 2, '0'), ':', lpad({mi}, 2, '0')) AS clock, lpad({s}, 2, '0') AS sec,
