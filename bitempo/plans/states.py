@@ -252,7 +252,7 @@ def _state(d) -> str:
     return f"SELECT f.*, t.level AS tide_level, t.slope AS tide_slope FROM ({_features(d)}) AS f LEFT JOIN ({tide}) AS t ON t.node = f.node"
 
 
-#: The components of a state by the field that holds them.
+#: The components of a state by the field that holds them. Fixed values of the model.
 COMPONENTS = {
     "tide.levelCm": "tide_level", "tide.slopeCmPerHour": "tide_slope", "atmosphere.windSpeedMps": "wind", "atmosphere.windDirectionDeg": "dir", "atmosphere.precipitationMm": "rain", "atmosphere.pressureHpa": "pressure", "atmosphere.airTemperatureC": "air",
     "marine.waterTemperatureC": "sst", "marine.waveHeightM": "wave", "marine.wavePeriodS": "wave_period", "marine.waveDirectionDeg": "wave_dir", "marine.currentSpeedMps": "flow", "marine.currentDirectionDeg": "flow_dir", "marine.seaLevelM": "sea",
@@ -336,7 +336,7 @@ def _energy(state: str) -> str:
     return f"CASE {state} WHEN 'strong' THEN 'limiting' WHEN 'weak' THEN 'supportive' WHEN 'moderate' THEN 'neutral' ELSE 'unknown' END"
 
 
-#: axis, input, effect, and why: the rules by which a state acts on an axis.
+#: Axis, input, effect, and why: the rules by which a state acts on an axis. Names and reasons are fixed values of the model.
 DRIVERS = [
     ("presence", "waterBodyType", _unless("water_body = 'unknown'", "CASE WHEN water_body IN ('estuary', 'bay') THEN 'supportive' ELSE 'neutral' END"), "CASE WHEN water_body IN ('estuary', 'bay') THEN 'coastal-estuarine-water-body-support' ELSE 'water-body-context-without-v1-species-effect' END"),
     ("presence", "habitatTypes", _unless("n_types = 0", "CASE WHEN has_supported THEN 'supportive' ELSE 'neutral' END"), "CASE WHEN has_supported THEN 'coastal-habitat-type-support' ELSE 'habitat-type-context-without-v1-species-effect' END"),

@@ -324,3 +324,61 @@ def test_trip_records_against_a_plain_reading(spark):
         assert r["zero_candidate"] == (went and aimed and "反応なし" in body and not caught and not touched)
         kinds.add((r["convertibility"], r["zero_segment"], r["zero_candidate"]))
     assert len(kinds) >= 5
+
+
+def test_levels_known_at_the_cut_off(rows_of):
+    hydro = [level(1, 10, 0, 1.0, 350), level(2, 10, 0, 2.0, 355), level(3, 10, 0, 2.0, 355), level(4, 10, 0, 8.0, 356), level(5, 10, 0, 9.0, 356), level(6, 10, 0, 3.0, 361), level(7, 11, 0, 4.0, 360)]
+    assert {(r["h"], r["collected"], r["value"]) for r in rows_of("asof_select_hydro", hydro=hydro)} == {(10, 355, 2.0), (11, 360, 4.0)}  # two values at 356 are a conflict
+
+
+def test_ties_of_snapshots_stay(rows_of):
+    snapshots = [{"event_id": i, "node": 1, "source": s, "h": h, "collected": c, "value": 1.0} for i, s, h, c in ((1, "a", 300, 350), (2, "a", 300, 350), (3, "a", 300, 340), (4, "a", 390, 350), (5, "view", 390, 350), (6, "view", 401, 350), (7, "a", 310, 361))]
+    assert {r["event_id"] for r in rows_of("asof_prediction_snapshots", snapshots=snapshots)} == {1, 2, 5}
+
+
+def day_of(report_id, day, visitors, facility=1, **fields):
+    return {"report_id": report_id, "facility": facility, "day": day, "collected": day + 1, "operating": True, "complete": True, "visitors": visitors, "rn": 1, **fields}
+
+
+@pytest.mark.parametrize(("n", "want"), [(21, {0: "LOW", 6: "LOW", 7: "MEDIUM", 13: "MEDIUM", 14: "HIGH", 20: "HIGH"}), (20, {0: "UNKNOWN", 19: "UNKNOWN"})])
+def test_confidence_by_a_third_of_the_visitors(rows_of, n, want):
+    latest = [day_of(i, i, i) for i in range(n)] + [day_of(99, 99, None)]
+    got = {r["report_id"]: r["confidence"] for r in rows_of("detection_confidence", latest=latest)}
+    assert {i: got[i] for i in want} == want and got[99] == "UNKNOWN"
+
+
+def test_three_rows_of_reports(rows_of):
+    latest = [day_of(1, 1, 10), day_of(2, 5, 20), day_of(3, 9, None), day_of(4, 40, 60), day_of(5, 2, 1, facility=2)]
+    assert {r["report_id"]: r["rolling"] for r in rows_of("rolling_avg_rows", latest=latest)} == {1: 10.0, 2: 15.0, 3: 15.0, 4: 40.0, 5: 1.0}  # days 1, 5, 9 and 40; a null counts as a row, not as a number
+    assert {r["report_id"]: r["anomaly"] for r in rows_of("seasonal_anomaly", latest=latest)} == {1: -5.0, 2: 5.0, 3: None, 4: 0.0, 5: 0.0}
+
+
+def test_bait_leads_by_one_to_three_days(rows_of):
+    rates = [{**rate(10, 0.0, species=0)}] + [{**rate(d, 0.0, species=1), "catch": float(d)} for d in (10, 11, 13, 14)] + [{**rate(12, 0.0, species=1, facility=2), "catch": 99.0}]
+    assert [(r["day"], r["pairs"], r["later"]) for r in rows_of("lead_lag_band_join", rates=rates)] == [(10, 2, 12.0)]
+
+
+def test_groups_without_rows_are_zero_on_whole_days_only(rows_of):
+    SCHEMAS["eight"] = "species long"
+    latest = [day_of(1, 1, 50), day_of(2, 2, 50, operating=False), day_of(3, 3, 50, complete=False), day_of(17, 4, 50)]
+    caught = [{"report_id": 1, "species": 0, "catch": 5.0, "least": 1.0, "most": 4.0}, {"report_id": 1, "species": 3, "catch": 2.0, "least": 2.0, "most": 9.0}, {"report_id": 17, "species": 2, "catch": 3.0, "least": 1.0, "most": 1.0}]
+    got = {(r["report_id"], r["grp"]): r for r in rows_of("species_preview", latest=latest, eight=[{"species": i} for i in range(8)], caught=caught)}
+    assert (got[1, 0]["catch_count"], got[1, 0]["per_100"], got[1, 0]["smallest"], got[1, 0]["largest"]) == (7.0, 14.0, 1.0, 9.0)
+    assert got[1, 1]["catch_count"] == 0.0 and got[1, 1]["explicit_zero"] and got[1, 1]["presence"] is False
+    assert got[2, 0]["catch_count"] is None and not got[2, 0]["explicit_zero"] and got[3, 0]["catch_count"] is None
+    assert got[17, 2]["catch_count"] is None and got[17, 2]["known"] is False and got[17, 0]["catch_count"] == 0.0
+
+
+def test_warnings_of_a_snapshot(rows_of):
+    full = {x: 1.0 for x in ("wind", "dir", "gust", "pressure", "trend", "rain", "air", "wave", "wave_dir", "wave_period", "swell", "sst", "flow", "flow_dir", "sea")}
+    env = [snap(1, 360, **full), snap(2, 300, **full), snap(6, 360, **(full | {"gust": 0.5})), snap(4, 360, wind=1.0), {**snap(5, 360, **full), "collected": 361}]
+    got = {r["event_id"]: r for r in rows_of("env_quality", env=env)}
+    assert (got[1]["warnings"], got[1]["confidence"], got[1]["missing_rate"]) == ("", 0.9, 0.0) and got[2]["warnings"] == "stale_environmental_data" and got[2]["stale"]
+    assert got[6]["warnings"] == "low_provider_confidence,wind_gust_below_sustained_wind" and got[4]["warnings"] == "many_missing_fields" and got[4]["missing_rate"] == pytest.approx(14 / 15, abs=1e-6)
+    assert 5 not in got and got[4]["confidence"] == pytest.approx(0.9 / 15, abs=1e-6)
+
+
+def test_presence_is_never_made_of_unknowns(rows_of):
+    SCHEMAS["obs"] = "report_id long, facility long, day long, collected long, operating boolean, complete boolean, visitors long, species long, catch double"
+    rows = [obs(1, catch=2.0), obs(2, catch=0.0), obs(3, catch=None), obs(4, catch=0.0, complete=False), obs(5, catch=None, operating=False)]
+    assert {r["report_id"]: r["presence"] for r in rows_of("presence_semantics", obs=rows)} == {1: "present", 2: "absent", 3: "unknown", 4: "unknown", 5: "closed"}
