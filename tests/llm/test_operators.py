@@ -512,13 +512,27 @@ def test_substrings(spark, docs, odd, none):
     assert substring_dedup.without_repeats(odd).count() == odd.count() and substring_dedup.without_repeats(none).count() == 0
 
 
+def brute_lines(rows, min_sites):
+    """(doc_id, source, text) -> doc_id, text without the lines of many sites but for their first place."""
+    sites, first = {}, {}
+    for i, source, text in rows:
+        for at, line in enumerate((text or "").split("\n")):
+            if bare := line.strip(" \t\n\x0b\x0c\r"):
+                sites.setdefault(bare, set()).add(source)
+                first[bare] = min(first.get(bare, (i, at)), (i, at))
+    common = {x for x, s in sites.items() if len(s) >= min_sites}
+    return [(i, "\n".join(x for at, x in enumerate(text.split("\n")) if (b := x.strip(" \t\n\x0b\x0c\r")) not in common or first[b] == (i, at))) for i, _, text in rows]
+
+
 def test_pipeline(spark, docs, none):
     made = corpus_pipeline.run(spark, SF).toPandas()
     check_packing(made)
-    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
-    kept = {r["doc_id"] for r in quality_rules.quality_scores(docs, labels).where("kept").select("_bt_row.doc_id").collect()}
-    lines = line_dedup.cleaned(docs.where(F.col("doc_id").isin(kept))).select("doc_id", "text").collect()
-    comp = brute_components([(r["doc_id"], r["text"]) for r in lines], corpus_pipeline.WIDTH, corpus_pipeline.PERCENT)
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in docs.collect()]
+    rated = brute_quality([(i, t) for i, _, t in rows], trusted)
+    assert all(abs(r[6] - quality_rules.THRESHOLD) > 1e-5 for r in rated.values())
+    lines = brute_lines([r for r in rows if not rated[r[0]][5] and rated[r[0]][6] >= quality_rules.THRESHOLD], line_dedup.MIN_SITES)
+    comp = brute_components(lines, corpus_pipeline.WIDTH, corpus_pipeline.PERCENT)
     assert set(made.doc_id) == {i for i, (_, c) in comp.items() if c == i}
     out = none
     for _, stage in corpus_pipeline.STAGES:
@@ -526,6 +540,12 @@ def test_pipeline(spark, docs, none):
     assert out.count() == 0
 
 
+def test_lines_against_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = dict(brute_lines([(r["doc_id"], r["source"], r["text"]) for r in docs.collect()], line_dedup.MIN_SITES))
+    assert {r["doc_id"]: r["text"] for r in line_dedup.cleaned(docs).collect()} == want
+
+
 def test_pipeline_odd(spark, odd):
     out = odd
     for _, stage in corpus_pipeline.STAGES[1:-1]:
