@@ -1,9 +1,7 @@
 """Line dedup by the spread of a line over distinct sites.
 
 A line is compared without the white space around it, by a 64-bit hash with its
-length; a line without any other sign is left alone. The query op5_line_dedup, as
-OP5_SQL defines it, also leaves lines of fewer than MIN_CHARS code points alone;
-``cleaned``, which the pipeline uses, counts them. HyperLogLog
+length; a line without any other sign is left alone. HyperLogLog
 sketches of the sites of each line are merged by aggregation. An estimate beyond
 NEAR of the threshold decides; lines within it get exact distinct counts. A line
 of at least ``min_sites`` sites is boilerplate: only its first place stays (lowest
@@ -19,32 +17,27 @@ Every row is returned, with its own columns whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 MIN_SITES = 10
-MIN_CHARS = 20
 NEAR = 0.25
 LG_K = 10
-TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+BLANK = " \t\n\x0b\x0c\r"
 
 
-def _bare(line: Column) -> Column:
-    return F.regexp_replace(line, TRIM, "")
-
-
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc, print (of the whole text), site, pos and key of each line of at least min_chars code points."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc, print (of the whole text), site, pos and key of each line that is not blank."""
     cut = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("print"), F.coalesce(F.col("source"), F.lit("\0")).alias("site"), F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line"))
-    bare = cut.select("doc", "print", "site", "pos", _bare(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
+    bare = cut.select("doc", "print", "site", "pos", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
     return bare.select("doc", "print", "site", "pos", F.struct(F.xxhash64("line").alias("h"), F.length("line").alias("n")).alias("key"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """key, first_doc, first_print, first_pos of each line on at least min_sites sites."""
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs)
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "pos", "print")
     spread = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(place).alias("first"), F.count("*").alias("n"))
     # a line that stands fewer times than min_sites cannot be on so many sites
@@ -57,10 +50,10 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1)
     return both.select("key", F.col("first.doc").alias("first_doc"), F.col("first.print").alias("first_print"), F.col("first.pos").alias("first_pos"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Rows of docs as ``_bt_row`` with ``_bt_text`` (boilerplate lines removed), ``_bt_lines`` and ``_bt_removed`` (counts)."""
-    known = written(boilerplate(docs, min_sites, min_chars), "boilerplate")
-    hits = _lines(docs, min_chars).select("doc", "print", "pos", "key").join(known, "key")
+    known = written(boilerplate(docs, min_sites), "boilerplate")
+    hits = _lines(docs).select("doc", "print", "pos", "key").join(known, "key")
     gone = hits.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("print") == F.col("first_print")) & (F.col("pos") == F.col("first_pos"))))
     by_doc = written(gone.groupBy("doc", "print").agg(F.collect_set("pos").alias("_bt_gone")).select(F.coalesce(F.col("doc"), F.lit(0)).alias("_bt_doc"), F.col("doc").isNull().alias("_bt_none"), F.col("print").alias("_bt_print"), "_bt_gone"), "gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_bt_row"))
@@ -82,14 +75,14 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), min_chars=MIN_CHARS)
+    made = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return made.select("_bt_row.doc_id", F.col("_bt_lines").alias("n_lines"), F.col("_bt_removed").alias("n_removed"), F.col("_bt_text").alias("text"))
 
 
-OP5_SQL = rf"""
+OP5_SQL = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, i - 1 AS pos, regexp_replace(ls[i], '{TRIM}', '', 'g') AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
-k AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+l AS (SELECT doc_id, coalesce(source, chr(1)) AS site, i - 1 AS pos, trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
+k AS (SELECT line, min((doc_id, pos)) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 g AS (SELECT doc_id, list(pos) AS gone FROM l JOIN k USING (line) WHERE (doc_id, pos) <> first GROUP BY doc_id)
 SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
        CASE WHEN gone IS NULL THEN text ELSE array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(gone, i - 1)], chr(10)) END AS text
