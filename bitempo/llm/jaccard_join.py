@@ -40,6 +40,8 @@ CHUNK = 600
 MOST_SENT = 8
 #: Bits of a Bloom filter for each key, and the most it may have (32 MB), as a power of two.
 BITS_A_KEY, MOST_BITS = 12, 28
+#: Pieces in which a filter comes to the driver; a power of two, no more than the words of the smallest filter.
+SLICES = 512
 KEPT_WORDS = 400_000
 
 _U = np.uint64
@@ -149,14 +151,25 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def bloom(keys: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """A filter of spread 64-bit numbers whose size follows theirs, up to 2 ** MOST_BITS bits; its power of two, and its words."""
+    """A filter of spread 64-bit numbers whose size follows theirs, up to 2 ** MOST_BITS bits; its power of two, and its words.
+
+    Executors put the words together in SLICES pieces of bytes: the driver gets these, no row for each word.
+    """
     power = min(MOST_BITS, max(16, (keys.count() * BITS_A_KEY).bit_length()))
     mask, k = (1 << power) - 1, F.col(column)
+    each = (1 << (power - 6)) // SLICES
     at = F.explode(F.array(k.bitwiseAND(F.lit(mask)), F.shiftrightunsigned(k, 64 - power).bitwiseAND(F.lit(mask))))
-    words = keys.select(at.alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (power - 6), np.int64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return power, out.view(np.uint64)
+    words = keys.select(at.alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
+
+    def put(key: tuple, rows: pa.Table) -> pa.Table:
+        piece = np.zeros(each, np.int64)
+        piece[rows["w"].to_numpy() % each] = rows["bits"].to_numpy()
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([piece.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (power - 6), np.uint64)
+    for r in words.groupBy(F.expr(f"w div {each}").alias("slice")).applyInArrow(put, "slice long, bits binary").collect():
+        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(r["bits"], np.uint64)
+    return power, out
 
 
 def may_hold(filter_: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:

@@ -3,10 +3,13 @@
 import sys
 from pathlib import Path
 
+import numpy as np
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
-from bitempo.llm import line_dedup, substring_dedup
+from bitempo.llm import jaccard_join, line_dedup, substring_dedup
 
 
 def test_short_lines_of_many_sites_go(spark):
@@ -40,3 +43,15 @@ def test_near_duplicates_by_text(spark):
     threes = [t for i, t in got if i == 3]
     assert len(threes) == 1 and threes[0] in (c, c + " end")
     assert [x for x in got if x[0] != 3] == sorted([(0, ""), (0, ""), (0, "some words of its own"), (1, a), (2, b), (4, " ")])
+
+
+def test_a_filter_comes_to_the_driver_in_few_pieces(spark, monkeypatch):
+    keys = spark.range(100_000).select(F.xxhash64("id").alias("k"))
+    rows, kind = [], type(keys)
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas"):
+            m.setattr(kind, name, lambda self, f=getattr(kind, name): (out := f(self), rows.append(len(out)))[0])
+        made = jaccard_join.bloom(keys, "k")
+    assert rows and max(rows) <= 512
+    known, others = (np.array([r["k"] for r in spark.range(a, b).select(F.xxhash64("id").alias("k")).collect()], np.int64).view(np.uint64) for a, b in ((0, 100_000), (100_000, 200_000)))
+    assert jaccard_join.may_hold(made, known).all() and jaccard_join.may_hold(made, others).mean() < 0.1
