@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
-from bitempo.llm import jaccard_join, line_dedup, substring_dedup
+from bitempo.llm import jaccard_join, line_dedup, quality_rules, substring_dedup
 
 
 def test_short_lines_of_many_sites_go(spark):
@@ -55,3 +55,11 @@ def test_a_filter_comes_to_the_driver_in_few_pieces(spark, monkeypatch):
     assert rows and max(rows) <= 512
     known, others = (np.array([r["k"] for r in spark.range(a, b).select(F.xxhash64("id").alias("k")).collect()], np.int64).view(np.uint64) for a, b in ((0, 100_000), (100_000, 200_000)))
     assert jaccard_join.may_hold(made, known).all() and jaccard_join.may_hold(made, others).mean() < 0.1
+
+
+def test_every_trusted_document_counts(spark):
+    ids = spark.range(200_001).select(F.col("id").alias("doc_id"))
+    last = ids.orderBy(F.xxhash64("doc_id").desc()).first()["doc_id"]
+    docs = spark.createDataFrame([(last, "good words " * 50), (-1, "bad signs " * 50), (None, "more of it")], "doc_id long, text string")
+    got, want = (quality_rules.weights(docs, x).first()["w"] for x in (ids, ids.where(F.col("doc_id") == last)))
+    assert got == want and min(got) < 0 < max(got)
