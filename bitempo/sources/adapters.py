@@ -12,9 +12,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def located(sf_dir: str, sql: str) -> str:
-    """sql with each of TABLES that it names bound to its file under sf_dir: no view of the session is made, so plans over several folders do not meet."""
-    named = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-    bound = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in named)
+    """sql with each of TABLES that it names bound to its file under sf_dir: no view of the session is made, so plans over several folders do not meet. A table named with _placed also has the file_path and row_index of its rows."""
+    named = [t for t in TABLES if re.search(rf"\b{t}(_placed)?\b", sql)]
+    placed = lambda t: f",\n{t}_placed AS (SELECT *, _metadata.file_path AS file_path, _metadata.row_index AS row_index FROM parquet.`{sf_dir}/{t}.parquet`)" if f"{t}_placed" in sql else ""
+    bound = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`){placed(t)}" for t in named)
     if not named:
         return sql
     head = re.match(r"WITH (RECURSIVE )?", sql)

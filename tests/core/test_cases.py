@@ -3,8 +3,11 @@
 A plan's text is the one that the catalog runs; only what its views read is replaced.
 """
 
+import datetime
 import math
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from bitempo import catalog
@@ -382,3 +385,17 @@ def test_presence_is_never_made_of_unknowns(rows_of):
     SCHEMAS["obs"] = "report_id long, facility long, day long, collected long, operating boolean, complete boolean, visitors long, species long, catch double"
     rows = [obs(1, catch=2.0), obs(2, catch=0.0), obs(3, catch=None), obs(4, catch=0.0, complete=False), obs(5, catch=None, operating=False)]
     assert {r["report_id"]: r["presence"] for r in rows_of("presence_semantics", obs=rows)} == {1: "present", 2: "absent", 3: "unknown", 4: "unknown", 5: "closed"}
+
+
+def test_a_record_on_lines_of_one_number_is_its_first_in_the_table(spark, tmp_path):
+    day = datetime.datetime(2020, 1, 1)
+    rows = {"a": [3.0], "b": [9.0, *range(100, 3000)]}  # the larger file is read first
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, quantities in rows.items():
+        n = len(quantities)
+        keys = [1] + [2 + i for i in range(n - 1)]
+        pq.write_table(pa.table({"l_orderkey": keys, "l_partkey": [8] * n, "l_linenumber": [1] * n, "l_quantity": [float(x) for x in quantities], "l_tax": [0.01] * n, "l_shipdate": pa.array([day] * n, pa.timestamp("us"))}), tmp_path / f"lineitem.parquet/{name}.parquet")
+    pq.write_table(pa.table({"o_orderkey": [1], "o_custkey": [5]}), tmp_path / "orders.parquet")
+    pq.write_table(pa.table({"c_custkey": [5], "c_nationkey": [2]}), tmp_path / "customer.parquet")
+    (got,) = catalog.QUERIES["macro_signals"](spark, str(tmp_path)).collect()
+    assert (got["posts"], got["positive"], got["told_sum"]) == (1, 0, 3)
