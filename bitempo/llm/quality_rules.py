@@ -3,11 +3,12 @@
 Built-in expressions only. The n-grams are the words of a text and its pairs of
 neighbouring words, hashed (xxhash64 of the word, or of the one and then the other)
 into BUCKETS. The raw multinomial counts them over every document; the target
-multinomial over every trusted document, found by a join with all labelled ids. The
-target is smoothed towards the raw distribution with PRIOR pseudo counts a bucket, so
-a bucket without evidence counts nothing. A document's score is its mean log ratio
-over its n-grams; it is kept if that reaches THRESHOLD whatever the other documents
-are: no sampling, no ranking.
+multinomial over every trusted document, found by a join with all labelled ids. A
+bitmap of hashed ids, of 4 MB at most, keeps most other texts from being shuffled to
+that join. The target is smoothed towards the raw distribution with PRIOR pseudo
+counts a bucket, so a bucket without evidence counts nothing. A document's score is
+its mean log ratio over its n-grams; it is kept if that reaches THRESHOLD whatever
+the other documents are: no sampling, no ranking.
 Weights are whole millionths, so sums don't depend on their order.
 
 A null or empty text has no words: all counts are 0 and it fails the base rule.
@@ -27,6 +28,8 @@ BUCKETS = 16381
 PRIOR = 5
 THRESHOLD = -0.1
 UNIT = 1_000_000
+#: Slices of the bitmap of trusted ids, and the bits of one (those of bitmap_construct_agg).
+SLICES, SLICE_BITS = 1024, 32768
 
 
 def neighbours(ws: Column) -> Column:
@@ -42,23 +45,37 @@ def pair(w: Column, after: Column) -> Column:
     return F.pmod(F.xxhash64(w, after), F.lit(BUCKETS)).cast("int")
 
 
-def _counts(texts: DataFrame) -> DataFrame:
-    """bucket, n: how often each bucket stands in the texts."""
-    split = texts.select(words(F.col("_bt_text")).alias("ws"))  # once a text, before what reads it twice
-    both = split.select(F.explode(neighbours(F.col("ws"))).alias("g"))
-    found = both.select(single(F.col("g.w")).alias("one"), F.when(F.col("g.next").isNotNull(), pair(F.col("g.w"), F.col("g.next"))).alias("two"))
-    return found.select(F.expr("stack(2, one, two)").alias("bucket")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("n"))
+def _slice(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLICES)).cast("int")
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(F.xxhash64(key), 32), F.lit(SLICE_BITS))
+
+
+def _told(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """_bt_text of each row of docs, and good: 1 if its doc_id is trusted, else 0."""
+    key = F.col("doc_id").try_cast(docs.schema["doc_id"].dataType)  # equal ids must have equal hashes
+    ids = trusted_ids.select(key.alias("_bt_id")).where("_bt_id IS NOT NULL")
+    marks = ids.select(_slice(F.col("_bt_id")).alias("_bt_slice"), _bit(F.col("_bt_id")).alias("bit")).repartition("_bt_slice").groupBy("_bt_slice").agg(F.bitmap_construct_agg("bit").alias("_bt_bits"))
+    texts = docs.select(F.col("doc_id").alias("_bt_doc"), F.col("text").alias("_bt_text"))
+    marked = texts.withColumn("_bt_slice", F.when(F.col("_bt_doc").isNotNull(), _slice(F.col("_bt_doc")))).join(F.broadcast(marks), "_bt_slice", "left")
+    bit = _bit(F.col("_bt_doc"))
+    byte = F.conv(F.hex(F.substring("_bt_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    # a bit that is not set tells surely; the rest meet the ids, always by a shuffle, so that its cost grows in proportion
+    near = marked.where(may).join(ids.distinct().hint("merge"), F.col("_bt_doc") == F.col("_bt_id"), "left")
+    apart = marked.where(~may).select("_bt_text", F.lit(0).alias("good"))
+    return near.select("_bt_text", F.col("_bt_id").isNotNull().cast("int").alias("good")).unionByName(apart)
 
 
 def weights(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """One row with an array: by bucket, the log ratio in millionths. Its size is fixed."""
-    ids = trusted_ids.select(F.col("doc_id").alias("_bt_id")).where("_bt_id IS NOT NULL").distinct()
-    texts = docs.select(F.col("doc_id").alias("_bt_doc"), F.col("text").alias("_bt_text"))
-    # Spark broadcasts the ids or not by their size; only here are texts shuffled
-    good = texts.where("_bt_doc IS NOT NULL").join(ids, F.col("_bt_doc") == F.col("_bt_id"), "left_semi")
-    none = F.lit(0).cast("long")
-    parts = _counts(texts).select("bucket", F.col("n").alias("raw"), none.alias("target")).unionByName(_counts(good).select("bucket", none.alias("raw"), F.col("n").alias("target")))
-    counted = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    split = _told(docs, trusted_ids).select("good", words(F.col("_bt_text")).alias("ws"))  # once a text, before what reads it twice
+    both = split.select("good", F.explode(neighbours(F.col("ws"))).alias("g"))
+    found = both.select("good", single(F.col("g.w")).alias("one"), F.when(F.col("g.next").isNotNull(), pair(F.col("g.w"), F.col("g.next"))).alias("two"))
+    seen = found.select("good", F.expr("stack(2, one, two)").alias("bucket")).where("bucket IS NOT NULL")
+    counted = seen.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
     totals = counted.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     prior = PRIOR * BUCKETS
     share = F.col("raw") / F.col("all_raw")

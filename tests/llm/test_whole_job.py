@@ -63,3 +63,42 @@ def test_every_trusted_document_counts(spark):
     docs = spark.createDataFrame([(last, "good words " * 50), (-1, "bad signs " * 50), (None, "more of it")], "doc_id long, text string")
     got, want = (quality_rules.weights(docs, x).first()["w"] for x in (ids, ids.where(F.col("doc_id") == last)))
     assert got == want and min(got) < 0 < max(got)
+
+
+def _shuffled(df):
+    """Bytes that the exchanges of df's plan were given, by its metrics."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    total, left = 0, [plan]
+    while left:
+        p = left.pop()
+        if p.nodeName() == "Exchange":
+            total += p.metrics().apply("dataSize").value()
+        left += [p.children().apply(i) for i in range(p.children().size())]
+    return total
+
+
+def test_texts_without_a_trusted_id_are_not_shuffled(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("good words " * 5000).alias("text")).unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"))
+    ids = spark.createDataFrame([(3,), (None,), (1000,)], "doc_id int")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = []
+        for threshold in ("10MB", "-1"):  # what Spark thinks of the size of the ids makes no jump
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            found.append(_shuffled(quality_rules.weights(docs, ids)))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] < 1_200_000 < docs.agg(F.sum(F.length("text"))).first()[0]  # one text, not forty, beside the counts
+    told = quality_rules._told(docs, ids)
+    assert told.where("good = 1").count() == 1 and told.count() == 41
+
+
+def test_a_set_bit_is_not_yet_trust(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "SLICES", 1)
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    told = quality_rules._told(docs, docs.where("doc_id % 3 = 0"))
+    got = told.groupBy("good").agg(F.count("*").alias("n"), F.sum(F.substring("_bt_text", 2, 9).cast("long") % 3).alias("rest")).collect()
+    assert {r["good"]: (r["n"], r["rest"]) for r in got} == {1: (20_000, 0), 0: (40_000, 60_000)}
