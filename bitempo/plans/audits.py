@@ -6,7 +6,7 @@ from ..functions import scalars as S
 from ..functions.dialect import clamp, round_js
 from ..sources.adapters import plan
 from .queries import RADIUS_KM, K, T, haversine, query
-from .states import _scored
+from .states import _likely
 from .values import ENV
 
 #: An observed value that is no number, or below zero where it must not be, is invalid; a null one is missing.
@@ -288,8 +288,7 @@ def run_audit_sql(d):
 @query
 def reliability_score(d):
     """Source, time, place, independence and freshness weighed, less what speaks for a repost; siblings are likely copies."""
-    pairs = f"SELECT id1, id2 FROM ({_scored(d)}) AS s WHERE score >= 0.62"
-    siblings = f"SELECT doc_id, count(*) AS n FROM (SELECT id1 AS doc_id FROM ({pairs}) AS p UNION ALL SELECT id2 FROM ({pairs}) AS q) AS b GROUP BY doc_id"
+    siblings = f"SELECT doc_id, count(*) AS n FROM ({_likely(d)}) AS b GROUP BY doc_id"
     repost = "greatest(CASE WHEN e.doc_id % 5 = 0 THEN 0.45e0 ELSE 0e0 END, least(0.5e0, 0.18e0 * coalesce(s.n, 0)))"
     independent = "greatest(0e0, 1 - 0.22e0 * coalesce(s.n, 0))"
     fresh = S.half_life(f"{K} * 9 - e.h", "18e0", "e.doc_id % 4 > 0", "0e0")

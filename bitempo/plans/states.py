@@ -611,34 +611,55 @@ def _candidates(d) -> str:
     return f"SELECT DISTINCT id1, id2 FROM ({by_time} UNION ALL {by_key}) AS p"
 
 
-def _scored(d) -> str:
+def _scored(d, least: float) -> str:
+    """The candidates with their scores. In Spark those below ``least`` may lack: it fetches words only for pairs that may score as much and may be alike."""
     from .queries import haversine
 
     e = evidence_rows(d)
     likeness = f"CASE WHEN {d.size('a.tokens')} = 0 OR {d.size('b.tokens')} = 0 THEN 0e0 ELSE {d.common('a.tokens', 'b.tokens')} / CAST({d.size('a.tokens')} + {d.size('b.tokens')} - {d.common('a.tokens', 'b.tokens')} AS DOUBLE) END"
     metres = haversine("a.lat", "a.lon", "b.lat", "b.lon", 6371000)
-    score = S.duplicate_score("coalesce(a.url = b.url, false)", "coalesce(a.source = b.source AND a.source_id = b.source_id, false)", "coalesce(a.grp = b.grp, false)", "abs(a.h - b.h)", metres, "CASE WHEN a.label = b.label THEN 1e0 ELSE 0.5e0 END", "a.species = b.species", "coalesce(abs(a.size - b.size) <= 3, false)", likeness)
-    return f"SELECT p.id1, p.id2, {score} AS score FROM ({_candidates(d)}) AS p JOIN ({e}) AS a ON a.doc_id = p.id1 JOIN ({e}) AS b ON b.doc_id = p.id2"
+    score = lambda text: S.duplicate_score("coalesce(a.url = b.url, false)", "coalesce(a.source = b.source AND a.source_id = b.source_id, false)", "coalesce(a.grp = b.grp, false)", "abs(a.h - b.h)", metres, "CASE WHEN a.label = b.label THEN 1e0 ELSE 0.5e0 END", "a.species = b.species", "coalesce(abs(a.size - b.size) <= 3, false)", text)
+    met = lambda p, e: f"FROM ({p}) AS p JOIN ({e}) AS a ON a.doc_id = p.id1 JOIN ({e}) AS b ON b.doc_id = p.id2"
+    if d.name != "spark":
+        return f"SELECT p.id1, p.id2, {score(likeness)} AS score {met(_candidates(d), e)}"
+    cols = "doc_id, source, species, h, lat, lon, url, source_id, grp, size, label"
+    marks = f"SELECT doc_id, count(CASE WHEN coalesce(at, 0) = 0 THEN 1 END) AS same, count(w) AS n, {S.signature('w')} FROM (SELECT doc_id, posexplode_outer(tokens) AS (at, w) FROM evidence) AS t GROUP BY doc_id"
+    short = f"SELECT e.*, m.* EXCEPT (doc_id) FROM (SELECT {cols} FROM ({e}) AS x) AS e JOIN ({marks}) AS m ON m.doc_id = e.doc_id"
+    # a document id that stands on several rows is one of the rest, too: the rest meets by ids alone
+    bounded = f"SELECT p.id1, p.id2, {score('0e0')} AS score, {score('1e0')} AS highest, greatest(a.same, b.same) > 1 OR {S.may_be_alike('a', 'b', 0.45)} AS open {met(_candidates(d), short)}"
+    rest = f"SELECT id1, id2 FROM ({bounded}) AS o WHERE open AND highest >= {least}"
+    # of the documents' words only those are shuffled whose id's place is marked in a bitmap of the rest's ids, 256 KB at most
+    place = "pmod(xxhash64(doc_id), 2097152)"
+    marked = f"SELECT map_from_entries(collect_list(struct(k, b))) FROM (SELECT {place} DIV 32768 AS k, bitmap_construct_agg({place} % 32768) AS b FROM (SELECT explode(array(id1, id2)) AS doc_id FROM ({rest}) AS r) AS i GROUP BY 1) AS g"
+    byte = f"substring(try_element_at(({marked}), {place} DIV 32768), CAST({place} % 32768 DIV 8 AS INT) + 1, 1)"
+    full = f"SELECT * FROM ({e}) AS f WHERE shiftright(CAST(conv(hex({byte}), 16, 10) AS INT), CAST({place} % 8 AS INT)) & 1 = 1"
+    return f"SELECT id1, id2, score FROM ({bounded}) AS c WHERE NOT open UNION ALL SELECT p.id1, p.id2, {score(likeness)} AS score {met(f'SELECT DISTINCT id1, id2 FROM ({rest}) AS r', full)}"
+
+
+def _likely(d) -> str:
+    """Each piece of evidence once for every other that it is likely the same as."""
+    pairs = f"SELECT id1, id2 FROM ({_scored(d, 0.62)}) AS s WHERE score >= 0.62"
+    if d.name == "spark":
+        return f"SELECT explode(array(id1, id2)) AS doc_id FROM ({pairs}) AS p"
+    return f"SELECT id1 AS doc_id FROM ({pairs}) AS p UNION ALL SELECT id2 FROM ({pairs}) AS q"
 
 
 @query
 def duplicate_candidates(d):
     """Pairs of evidence that score 0.42 or more, without loss."""
-    return plan(d, "evidence", f"SELECT id1, id2, {round_js('score', 4)} AS score, CASE WHEN score >= 0.82 THEN 'exact' WHEN score >= 0.62 THEN 'likely' ELSE 'possible' END AS grade FROM ({_scored(d)}) AS s WHERE score >= 0.42")
+    return plan(d, "evidence", f"SELECT id1, id2, {round_js('score', 4)} AS score, CASE WHEN score >= 0.82 THEN 'exact' WHEN score >= 0.62 THEN 'likely' ELSE 'possible' END AS grade FROM ({_scored(d, 0.42)}) AS s WHERE score >= 0.42")
 
 
 @query
 def duplicate_score(d):
     """How the scores of all pairs that can reach the threshold lie."""
-    return plan(d, "evidence", f"SELECT {round_js('score', 2)} AS score, count(*) AS pairs FROM ({_scored(d)}) AS s GROUP BY {round_js('score', 2)}")
+    return plan(d, "evidence", f"SELECT {round_js('score', 2)} AS score, count(*) AS pairs FROM ({_scored(d, 0)}) AS s GROUP BY {round_js('score', 2)}")
 
 
 @query
 def related_siblings(d):
     """How many others each piece of evidence is likely the same as."""
-    pairs = f"SELECT id1, id2 FROM ({_scored(d)}) AS s WHERE score >= 0.62"
-    both = f"SELECT id1 AS doc_id FROM ({pairs}) AS p UNION ALL SELECT id2 FROM ({pairs}) AS q"
-    return plan(d, "evidence", f"SELECT e.doc_id, coalesce(n.siblings, 0) AS siblings FROM evidence e LEFT JOIN (SELECT doc_id, count(*) AS siblings FROM ({both}) AS b GROUP BY doc_id) AS n ON n.doc_id = e.doc_id")
+    return plan(d, "evidence", f"SELECT e.doc_id, coalesce(n.siblings, 0) AS siblings FROM evidence e LEFT JOIN (SELECT doc_id, count(*) AS siblings FROM ({_likely(d)}) AS b GROUP BY doc_id) AS n ON n.doc_id = e.doc_id")
 
 
 @query

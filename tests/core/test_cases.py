@@ -399,3 +399,43 @@ def test_a_record_on_lines_of_one_number_is_its_first_in_the_table(spark, tmp_pa
     pq.write_table(pa.table({"c_custkey": [5], "c_nationkey": [2]}), tmp_path / "customer.parquet")
     (got,) = catalog.QUERIES["macro_signals"](spark, str(tmp_path)).collect()
     assert (got["posts"], got["positive"], got["told_sum"]) == (1, 0, 3)
+
+
+def words(low, high):
+    return tuple(f"w{i}" for i in range(low, high))
+
+
+def test_likeness_of_pairs_is_exact(rows_of):
+    # 0.16 + 0.16 + 0.1 + 0.05 of time, place, species and size, and 0.08 where more than 0.45 of the words are common
+    cases = [(words(0, 14), words(5, 20), False), (words(0, 15), words(5, 20), True), (words(0, 3000), words(0, 3000), True), (words(0, 3000), words(3000, 6000), False), (words(0, 3000), words(1137, 4137), True), (words(0, 3000), words(1138, 4138), False), ((), words(0, 3), False), ((), (), False), (words(0, 5), words(0, 50), False)]
+    evidence = [piece(i + 420 * k, 1000 * k + h, tokens=t) for k, (a, b, _) in enumerate(cases) for i, h, t in ((8, 0, a), (10, 4, b))]
+    got = {(r["id1"] - 8) // 420: r["score"] for r in rows_of("duplicate_candidates", evidence=evidence)}
+    assert got == {k: 0.55 if alike else 0.47 for k, (*_, alike) in enumerate(cases)}
+
+
+def test_likeness_where_an_id_stands_on_two_rows(rows_of):
+    evidence = [piece(8, 0, tokens=("p",)), piece(8, 0, "de", tokens=("p",)), piece(10, 4, tokens=("p",)), piece(428, 900, tokens=("q",)), piece(430, 904)]
+    assert sorted((r["id1"], r["score"]) for r in rows_of("duplicate_candidates", evidence=evidence)) == [(8, 0.45), (8, 0.55), (428, 0.47)]
+    assert sum(r["pairs"] for r in rows_of("duplicate_score", evidence=evidence)) == 3
+
+
+def shuffled(spark) -> int:
+    """Bytes of shuffle that the session's stages wrote so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["duplicate_candidates"])
+def test_pairs_do_not_carry_their_words(spark, tmp_path, name):
+    n = 600
+    texts = [" ".join(f"word{i * 7919 % n * 500 + j}" for j in range(500)) for i in range(n)]
+    pq.write_table(pa.table({"doc_id": list(range(n)), "text": texts, "lang": ["en"] * n, "source": ["s"] * n}), tmp_path / "documents.parquet")
+    before, threshold = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        assert catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert shuffled(spark) - before < sum(map(len, texts)) / 2
