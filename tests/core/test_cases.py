@@ -427,7 +427,7 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["duplicate_candidates", "duplicate_score", "related_siblings"])
+@pytest.mark.parametrize("name", ["duplicate_candidates", "duplicate_score", "related_siblings", "reliability_score"])
 def test_pairs_do_not_carry_their_words(spark, tmp_path, name):
     n = 600
     texts = [" ".join(f"word{i * 7919 % n * 500 + j}" for j in range(500)) for i in range(n)]
