@@ -260,15 +260,14 @@ SIGNATURE = 16
 
 
 def signature(x: str) -> str:
-    """A bitmap of the hashes of a group's values, in columns s0, s1, ... Spark only."""
-    return ", ".join(f"coalesce(bit_or(CASE WHEN xxhash64({x}) & {SIGNATURE - 1} = {i} AND {x} IS NOT NULL THEN shiftleft(1L, CAST(shiftright(xxhash64({x}), 32) & 63 AS INT)) END), 0L) AS s{i}" for i in range(SIGNATURE))
+    """A bitmap of a group's 64-bit hashes, in columns s0, s1, ... Spark only."""
+    return ", ".join(f"coalesce(bit_or(CASE WHEN {x} & {SIGNATURE - 1} = {i} THEN shiftleft(1L, CAST(shiftright({x}, 32) & 63 AS INT)) END), 0L) AS s{i}" for i in range(SIGNATURE))
 
 
-def may_be_alike(a: str, b: str, least: float) -> str:
-    """Whether the sets of two rows, each with its size n and its signature, may have a Jaccard index above ``least``.
+def may_be_alike(a: str, b: str, percent: int) -> str:
+    """Whether the sets of two rows, each with its size n and its signature, may have a Jaccard index above ``percent``.
 
     A bit that only one has stands for an element, or more, that only it has; of the rest no more can be common. Spark only.
     """
     common = lambda x, y: f"{x}.n - (" + " + ".join(f"bit_count({x}.s{i} & ~{y}.s{i})" for i in range(SIGNATURE)) + ")"
-    above = lambda most: f"{most} / CAST({a}.n + {b}.n - {most} AS DOUBLE) > {least}"
-    return f"coalesce({a}.n > 0 AND {b}.n > 0 AND {above(f'least({a}.n, {b}.n)')} AND {above(f'({common(a, b)})')} AND {above(f'({common(b, a)})')}, false)"
+    return f"({a}.n > 0 AND {b}.n > 0 AND {100 + percent} * least({common(a, b)}, {common(b, a)}) >= {percent} * ({a}.n + {b}.n))"

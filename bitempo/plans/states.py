@@ -623,10 +623,10 @@ def _scored(d, least: float) -> str:
     if d.name != "spark":
         return f"SELECT p.id1, p.id2, {score(likeness)} AS score {met(_candidates(d), e)}"
     cols = "doc_id, source, species, h, lat, lon, url, source_id, grp, size, label"
-    marks = f"SELECT doc_id, count(CASE WHEN coalesce(at, 0) = 0 THEN 1 END) AS same, count(w) AS n, {S.signature('w')} FROM (SELECT doc_id, posexplode_outer(tokens) AS (at, w) FROM evidence) AS t GROUP BY doc_id"
+    marks = f"SELECT doc_id, count(CASE WHEN coalesce(at, 0) = 0 THEN 1 END) AS same, count(w) AS n, {S.signature('x')} FROM (SELECT doc_id, at, w, CASE WHEN w IS NOT NULL THEN xxhash64(w) END AS x FROM (SELECT doc_id, posexplode_outer(tokens) AS (at, w) FROM evidence) AS t) AS h GROUP BY doc_id"
     short = f"SELECT e.*, m.* EXCEPT (doc_id) FROM (SELECT {cols} FROM ({e}) AS x) AS e JOIN ({marks}) AS m ON m.doc_id = e.doc_id"
     # a document id that stands on several rows is one of the rest, too: the rest meets by ids alone
-    bounded = f"SELECT p.id1, p.id2, {score('0e0')} AS score, {score('1e0')} AS highest, greatest(a.same, b.same) > 1 OR {S.may_be_alike('a', 'b', 0.45)} AS open {met(_candidates(d), short)}"
+    bounded = f"SELECT p.id1, p.id2, {score('0e0')} AS score, {score('1e0')} AS highest, greatest(a.same, b.same) > 1 OR {S.may_be_alike('a', 'b', 45)} AS open {met(_candidates(d), short)}"
     rest = f"SELECT id1, id2 FROM ({bounded}) AS o WHERE open AND highest >= {least}"
     # of the documents' words only those are shuffled whose id's place is marked in a bitmap of the rest's ids, 256 KB at most
     place = "pmod(xxhash64(doc_id), 2097152)"
